@@ -3,9 +3,9 @@
 Every module has ``QUERIES`` (name -> function of session and table folder) and ``ORACLES`` (name -> SQL).
 """
 
-from blockloom.catalog import extraction, tokens
+from blockloom.catalog import extraction, packed, tokens
 
-MODULES = (extraction, tokens)
+MODULES = (extraction, tokens, packed)
 
 
 def all_queries() -> dict:
