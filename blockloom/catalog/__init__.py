@@ -3,9 +3,9 @@
 Every module has ``QUERIES`` (name -> function of session and table folder) and ``ORACLES`` (name -> SQL).
 """
 
-from blockloom.catalog import extraction, packed, tokens
+from blockloom.catalog import extraction, files, language, packed, streams, tokens
 
-MODULES = (extraction, tokens, packed)
+MODULES = (extraction, tokens, packed, files, streams, language)
 
 
 def all_queries() -> dict:

@@ -324,10 +324,13 @@ ORACLES = {
         SELECT i // {BATCH} AS step, i % {BATCH} AS slot, row_index, {id_facts_sql('inp', 'inp')}, {id_facts_sql('lab', 'lab')}
         FROM w JOIN k USING (row_index)""",
     "sample_windows": f"""
-        {_STREAM}, a AS (SELECT list(tok ORDER BY pos) AS tokens, count(*) AS n FROM t),
-        w AS (SELECT i, {draw_sql('i')} % (n - {BLOCK}) AS start FROM (SELECT n, unnest(range(n // {BLOCK} // {BATCH} * {BATCH})) AS i FROM a)),
-        x AS (SELECT i, start, tokens[start + 1:start + {BLOCK}] AS inp, tokens[start + 2:start + {BLOCK} + 1] AS lab FROM w, a)
-        SELECT i // {BATCH} AS step, i % {BATCH} AS slot, start, {id_facts_sql('inp', 'inp')}, {id_facts_sql('lab', 'lab')} FROM x""",
+        {_STREAM}, r AS (SELECT pos // {BLOCK} AS block_id, list(tok ORDER BY pos) AS tokens FROM t GROUP BY 1),
+        n AS (SELECT count(*) AS n FROM t),
+        w AS (SELECT i, {draw_sql('i')} % (n - {BLOCK}) AS start FROM (SELECT n, unnest(range(n // {BLOCK} // {BATCH} * {BATCH})) AS i FROM n)),
+        x AS (SELECT i, start, start % {BLOCK} AS off, list_concat(f.tokens, g.tokens) AS pair
+              FROM w JOIN r f ON f.block_id = start // {BLOCK} LEFT JOIN r g ON g.block_id = start // {BLOCK} + 1),
+        y AS (SELECT i, start, pair[off + 1:off + {BLOCK}] AS inp, pair[off + 2:off + {BLOCK} + 1] AS lab FROM x)
+        SELECT i // {BATCH} AS step, i % {BATCH} AS slot, start, {id_facts_sql('inp', 'inp')}, {id_facts_sql('lab', 'lab')} FROM y""",
     "synthetic_tokens": f"""
         WITH n AS (SELECT CAST(floor(sum(length(text)) * 0.25::DOUBLE) AS BIGINT) AS n FROM documents),
         i AS (SELECT n, unnest(range(n)) AS pos FROM n)

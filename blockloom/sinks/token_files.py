@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from blockloom.sources.storage import locate
+from blockloom.sources.storage import locate, register_source
 
 BATCH_ROWS = 4096
 ROW_SCHEMA = pa.schema([
@@ -119,7 +119,7 @@ class TokenFileSink(DataSource):
 
 def write_token_files(df: DataFrame, path: str, kind: str, compression: str = "none") -> None:
     """Write rows, already grouped by ``file_name`` inside their partitions."""
-    df.sparkSession.dataSource.register(TokenFileSink)
+    register_source(df.sparkSession, TokenFileSink)
     (
         df.write.format("token_files").mode("append")
         .option("path", path).option("kind", kind).option("compression", compression).save()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from blockloom.sources.storage import list_files, locate
+from blockloom.sources.storage import list_files, locate, register_source
 
 SUFFIXES = (".arrow", ".ipc")
 ORDER_FIELDS = [("_file", pa.string()), ("_block", pa.int64()), ("_pos", pa.int64())]
@@ -81,7 +81,7 @@ class ArrowIpcSource(DataSource):
 
 def read_arrow(spark, *paths: str, schema=None, **options):
     """Records of Arrow IPC files with their order columns."""
-    spark.dataSource.register(ArrowIpcSource)
+    register_source(spark, ArrowIpcSource)
     reader = spark.read.format("arrow_ipc").option("paths", json.dumps(list(paths)))
     for key, value in options.items():
         reader = reader.option(key, str(value))

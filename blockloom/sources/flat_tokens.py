@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from blockloom.sources.storage import list_files, locate
+from blockloom.sources.storage import list_files, locate, register_source
 
 TOKEN_BYTES = 4
 
@@ -82,7 +82,7 @@ class FlatTokenSource(DataSource):
 
 def read_flat_tokens(spark: SparkSession, *paths: str, run: int = 1024, **options) -> DataFrame:
     """The token stream of flat files in runs of ``run`` tokens: ``(start, n, ids)``."""
-    spark.dataSource.register(FlatTokenSource)
+    register_source(spark, FlatTokenSource)
     reader = spark.read.format("flat_tokens").option("paths", json.dumps(list(paths))).option("run", str(run))
     for key, value in options.items():
         reader = reader.option(key, str(value))

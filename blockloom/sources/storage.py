@@ -4,6 +4,16 @@ from __future__ import annotations
 
 from pyarrow import fs
 
+_registered: set[tuple[str, str]] = set()
+
+
+def register_source(spark, source: type) -> None:
+    """Register a Python data source once per application."""
+    key = (spark.sparkContext.applicationId, source.name())
+    if key not in _registered:
+        spark.dataSource.register(source)
+        _registered.add(key)
+
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI or an absolute path; Spark writes local URIs with one slash."""

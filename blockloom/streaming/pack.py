@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from blockloom.operators.tokenize import EOS_ID, ByteTokenizer
+from blockloom.fixed import SEED
+from blockloom.functions.draws import draw_below
+from blockloom.operators.packing import finish_tail
+from blockloom.operators.tokenize import EOS_ID, PAD_ID, ByteTokenizer
+from blockloom.session import STATE_STORE
 
 OUTPUT = "lane STRING, block_id BIGINT, complete BOOLEAN, tokens ARRAY<INT>"
 
@@ -50,13 +54,20 @@ class PackProcessor(StatefulProcessor):
         pass
 
 
-def stream_pack(docs: DataFrame, block_size: int, lane: str = "lane", tokenizer=None, eos_id: int = EOS_ID) -> DataFrame:
-    """``(lane, block_id, complete, tokens)`` of a stream ``(lane, text)``.
+def lanes(source: str, document: str, per_source: int, seed: int = SEED) -> Column:
+    """Lane name of a document: its source and one of ``per_source`` hash classes.
 
-    A lane is packed in arrival order by one task at a time; derive it from source and a hash of the document id
-    (``lanes``), so that a busy source is spread over as many lanes as it needs.
+    A lane is packed by one task at a time, so a busy source gets as many lanes as its rate needs.
     """
+    drawn = draw_below(F.lit(per_source).cast("long"), seed, F.col(document))
+    return F.concat_ws("/", F.col(source), drawn.cast("string"))
+
+
+def stream_pack(docs: DataFrame, block_size: int, lane: str = "lane", tokenizer=None, eos_id: int = EOS_ID) -> DataFrame:
+    """``(lane, block_id, complete, tokens)`` of a stream ``(lane, text)``, in arrival order per lane."""
     tokenizer = tokenizer or ByteTokenizer()
+    # Map state needs the RocksDB store; memory then holds the tails of the lanes in use, nothing more.
+    docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     ids = docs.select(F.col(lane).alias("lane"), tokenizer.ids(F.col("text")).alias("ids"))
     return ids.groupBy("lane").transformWithStateInPandas(
         statefulProcessor=PackProcessor(block_size + 1, eos_id), outputStructType=OUTPUT,
@@ -64,6 +75,10 @@ def stream_pack(docs: DataFrame, block_size: int, lane: str = "lane", tokenizer=
     )
 
 
-def lanes(source: str, document: str, per_source: int):
-    """Lane name of a document: its source and one of ``per_source`` hash classes."""
-    return F.concat_ws("/", F.col(source), F.pmod(F.xxhash64(document), F.lit(per_source)).cast("string"))
+def flushed_blocks(packed: DataFrame, block_size: int, pad_id: int = PAD_ID) -> DataFrame:
+    """Blocks of the written stream so far: all full ones, and the latest tail of every lane, padded."""
+    tails = packed.where(~F.col("complete")).groupBy("lane").agg(
+        F.max(F.struct("block_id", F.size("tokens").alias("n"), "tokens")).alias("last")
+    ).select("lane", "last.block_id", "last.tokens")
+    full = packed.where("complete").select("lane", "block_id", "tokens")
+    return finish_tail(full.unionByName(tails), block_size, pad_id)
