@@ -33,8 +33,12 @@ def child(value: Column, dtype: T.DataType, segment: str) -> Value | None:
         position = _position(segment)
         return None if position is None else (_item(value, position), dtype.elementType)
     if isinstance(dtype, T.VariantType):
-        quoted = segment.replace("\\", "\\\\").replace("'", "\\'")
-        found = F.try_variant_get(value, f"$['{quoted}']", "variant")
+        # JSON paths know no escapes, so the quote is one the name does not contain.
+        quote = "'" if "'" not in segment else '"'
+        if quote in segment:
+            found = F.try_element_at(F.try_variant_get(value, "$", "map<string, variant>"), F.lit(segment))
+        else:
+            found = F.try_variant_get(value, f"$[{quote}{segment}{quote}]", "variant")
         position = _position(segment)
         if position is not None:
             found = F.coalesce(found, _item(F.try_variant_get(value, "$", "array<variant>"), position))

@@ -7,7 +7,9 @@ column ``v``, since their shape may change from row to row.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,13 +119,8 @@ def read_csv(
     return df.where(F.col("_extra").isNull()).drop("_extra")
 
 
-def read_text(spark: SparkSession, *paths: str, mode: str = "paragraphs", newline: str = "\n") -> DataFrame:
-    """Text as one ``text`` record per line, per blank-line-separated paragraph, or per file.
-
-    Paragraphs are cut at two newlines by the reader, so large files split. A record that still holds carriage
-    returns is normalised and cut again, which makes the result right for any newline; for large files with
-    Windows newlines pass ``newline="\\r\\n"`` so that they split as well.
-    """
+def read_text(spark: SparkSession, *paths: str, mode: str = "paragraphs") -> DataFrame:
+    """Text as one ``text`` record per line, per blank-line-separated paragraph, or per file; any newline style."""
     if mode == "lines":
         df = spark.read.text(list(paths))
         return _with_order(df).select(F.make_valid_utf8("value").alias("text"), *ORDER)
@@ -132,14 +129,65 @@ def read_text(spark: SparkSession, *paths: str, mode: str = "paragraphs", newlin
         return df.select(F.regexp_replace(F.make_valid_utf8("value"), "\r\n?", "\n").alias("text"), *ORDER)
     if mode != "paragraphs":
         raise ValueError(f"unknown text mode {mode!r}; known: {', '.join(TEXT_MODES)}")
-    df = _with_order(spark.read.text(list(paths), lineSep=newline * 2))
-    raw = F.make_valid_utf8("value")
-    unified = F.when(F.contains(raw, F.lit("\r")), F.regexp_replace(raw, "\r\n?", "\n")).otherwise(raw)
-    parts = F.filter(
-        F.transform(F.split(unified, "\n\n"), lambda p: F.btrim(p, F.lit("\n"))), lambda p: p != ""
+    return _paragraphs(read_text(spark, *paths, mode="lines"))
+
+
+def _line_runs(batches):
+    """Join the lines of each Arrow batch into runs that start at a blank line or where a split starts.
+
+    ``_pid`` counts the blank lines of the split so far. Runs at the edge of a batch may go on in the next one.
+    """
+    file, block, blanks = None, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        text, files, blocks = batch.column("text"), batch.column("_file"), batch.column("_block").to_numpy()
+        blank = pc.equal(text, "").to_numpy(zero_copy_only=False)
+        changed = np.append(
+            (files[0].as_py(), blocks[0]) != (file, block),
+            (blocks[1:] != blocks[:-1]) | pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False),
+        )
+        begins = np.flatnonzero(blank | changed | (np.arange(len(blank)) == 0))
+        # Blank lines so far, counted anew from every split.
+        seen = np.cumsum(blank) + (0 if changed[0] else blanks)
+        before = np.where(changed, seen - blank, 0)
+        pid = seen - np.maximum.accumulate(before)
+        edges = np.append(begins, len(blank))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), text), "\n")
+        place = pa.array(begins)
+        edge = changed[begins] | np.append(changed[begins][1:], True)
+        edge[0] = True
+        yield pa.RecordBatch.from_arrays(
+            [files.take(place), pa.array(blocks[begins]), batch.column("_pos").take(place), pa.array(pid[begins]),
+             pa.array(edge), joined],
+            names=["_file", "_block", "_pos", "_pid", "_edge", "text"],
+        )
+        file, block, blanks = files[-1].as_py(), blocks[-1], int(pid[-1])
+
+
+def _paragraphs(lines: DataFrame) -> DataFrame:
+    """Paragraphs of lines in scan order.
+
+    Lines are joined where they are read, without a shuffle. A paragraph is known by the number of blank lines
+    before it in its file; only the runs at split and batch borders, a few per split, are brought together.
+    (A reader that splits files at two newlines would be simpler, but it repeats records where a run of three
+    or more newlines meets a split border.)
+    """
+    schema = "_file STRING, _block BIGINT, _pos BIGINT, _pid BIGINT, _edge BOOLEAN, text STRING"
+    runs = materialize(lines.select("text", *ORDER).mapInArrow(_line_runs, schema), "runs")
+    splits = runs.groupBy("_file", "_block").agg(F.max("_pid").alias("_blanks"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.select("_file", "_block", F.coalesce(F.sum("_blanks").over(earlier), F.lit(0)).alias("_base"))
+    placed = runs.join(bases, ["_file", "_block"]).withColumn("_id", F.col("_base") + F.col("_pid"))
+    inner = placed.where(~F.col("_edge")).select("_file", "_id", "text")
+    parts = F.sort_array(F.collect_list(F.struct("_block", "_pos", "text")))
+    merged = placed.where("_edge").groupBy("_file", "_id").agg(F.array_join(parts["text"], "\n").alias("text"))
+    text = F.btrim("text", F.lit("\n"))
+    return (
+        inner.unionByName(merged).select(
+            text.alias("text"), "_file", F.lit(0).cast("long").alias("_block"), F.col("_id").alias("_pos")
+        ).where(F.col("text") != "")
     )
-    cut = df.select(F.explode(parts).alias("text"), "_file", "_block")
-    return cut.withColumn("_pos", F.monotonically_increasing_id())
 
 
 def read_records(

@@ -25,9 +25,15 @@ def locate(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def list_files(uris: list[str], suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
-    """``(uri, size)`` of the files named, or found directly in the directories named, in name order."""
+    """``(uri, size)`` of the files named, or found directly in the directories named, in name order.
+
+    ``directory/*.ext`` narrows a directory to one extension.
+    """
     found = []
     for uri in uris:
+        if "/*" in uri:
+            uri, _, extension = uri.rpartition("/*")
+            suffixes = (extension,)
         system, path = locate(uri)
         info = system.get_file_info(path)
         if info.type == fs.FileType.Directory:
