@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockloom.catalog.common import (
     BLOCK, SHARD, TEXT_FACTS, documents, id_facts, id_facts_sql, strip_sql, table, text_facts,
 )
+from blockloom.operators.packing import number_documents
 from blockloom.plans.pipeline import Config, run_pipeline
 from blockloom.session import fresh_path, materialize
 from blockloom.sources import files as S
@@ -129,7 +130,8 @@ def scan_text_paragraphs(spark, sf_dir):
     spread = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("\n\n\n")), "$", "\n\n")
     folder = land(documents(spark, sf_dir), spread, ".txt")
     docs = S.read_documents(spark, folder, {"type": "field", "field": "text"}, min_chars=1)
-    return docs.select(F.col("ord").alias("place"), *text_facts())
+    placed = number_documents(docs)  # paragraph orders have gaps, places have none
+    return placed.select(F.col("block_id").alias("place"), *text_facts())
 
 
 def scan_text_file(spark, sf_dir):

@@ -9,6 +9,7 @@ from blockloom.operators import nexttoken as N
 from blockloom.operators.packing import pack_blocks, shift_labels
 from blockloom.operators.splits import split_blocks
 from blockloom.operators.tokenize import BYTE_VOCAB_SIZE, ByteTokenizer
+from blockloom.session import materialize
 
 K, TOP_P, TEMPERATURE, PENALTY = 5, 0.9, 0.8, 1.001
 
@@ -40,9 +41,9 @@ def bigram_counts(spark, sf_dir):
 
 
 def heldout_perplexity(spark, sf_dir):
-    # One pass over the blocks serves both splits: pairs are counted with their split.
-    rows = _rows(spark, sf_dir)
-    train, val = (N.bigram_counts(rows.where(F.col("split") == s)) for s in ("train", "val"))
+    # One pass over the blocks serves both splits; the counts have at most two rows per pair of vocabulary entries.
+    counts = materialize(N.bigram_counts(_rows(spark, sf_dir), keys=("split",)), "pairs")
+    train, val = (counts.where(F.col("split") == s).drop("split") for s in ("train", "val"))
     result = N.heldout_perplexity(train, val, BYTE_VOCAB_SIZE)
     return result.select("n_pairs", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
 
@@ -53,11 +54,11 @@ def topk_next(spark, sf_dir):
 
 def nucleus_next(spark, sf_dir):
     kept = N.nucleus_next(_scored(spark, sf_dir), TOP_P)
-    return kept.select("context", "token", F.round("share", 6).alias("share"), F.round("mass_before", 6).alias("mass_before"))
+    return kept.select("context", "token", F.round("share", 12).alias("share"), F.round("mass_before", 12).alias("mass_before"))
 
 
 def softmax_share(spark, sf_dir):
-    return N.softmax_share(_scored(spark, sf_dir), TEMPERATURE).select("context", "token", F.round("share", 6).alias("share"))
+    return N.softmax_share(_scored(spark, sf_dir), TEMPERATURE).select("context", "token", F.round("share", 12).alias("share"))
 
 
 def repetition_penalty(spark, sf_dir):
@@ -114,8 +115,8 @@ ORACLES = {
         g AS (SELECT context, token, share,
                      coalesce(sum(share) OVER (PARTITION BY context ORDER BY score DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mass_before
               FROM sh)
-        SELECT context, token, round(share, 6) AS share, round(mass_before, 6) AS mass_before FROM g WHERE mass_before <= {TOP_P}::DOUBLE""",
-    "softmax_share": f"{_PAIRS}, {_share_sql(TEMPERATURE)} SELECT context, token, round(share, 6) AS share FROM sh",
+        SELECT context, token, round(share, 12) AS share, round(mass_before, 12) AS mass_before FROM g WHERE mass_before <= {TOP_P}::DOUBLE""",
+    "softmax_share": f"{_PAIRS}, {_share_sql(TEMPERATURE)} SELECT context, token, round(share, 12) AS share FROM sh",
     "repetition_penalty": f"""
         {_PAIRS}, {_SEEN},
         zw AS (SELECT pos, tok AS prev, lead(tok) OVER (ORDER BY pos) AS next FROM zt),

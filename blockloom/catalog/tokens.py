@@ -149,7 +149,7 @@ def mixture_query(spark, sf_dir):
         F.col("source").alias("dataset"), "split",
         F.least(F.lit(4).cast("long"), F.col("total_blocks") - F.col("shard_idx") * 4).alias("n_blocks"),
     )
-    return mixture_share(per_shard).withColumn("share", F.round("share", 9))
+    return mixture_share(per_shard).withColumn("share", F.round("share", 12))
 
 
 def multi_dataset_pack(spark, sf_dir):
@@ -279,7 +279,7 @@ ORACLES = {
               FROM b JOIN s ON b.source = s.source AND b.block_id // 4 = s.shard_idx GROUP BY ROLLUP (split, b.source))
         SELECT coalesce(split, 'all') AS split, coalesce(dataset, 'all') AS dataset, n_blocks,
                CASE WHEN split IS NULL THEN 1.0
-                    ELSE round(n_blocks / sum(CASE WHEN dataset IS NOT NULL THEN n_blocks END) OVER (PARTITION BY split), 9) END AS share
+                    ELSE round(n_blocks / sum(CASE WHEN dataset IS NOT NULL THEN n_blocks END) OVER (PARTITION BY split), 12) END AS share
         FROM n""",
     "multi_dataset_pack": f"""
         {_BY_SOURCE}, {blocks_sql(partition='dataset')}

@@ -15,18 +15,19 @@ from blockloom.operators.tokenize import PAD_ID
 LOSS_LIMIT = 20.0
 
 
-def next_pairs(rows: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
-    """``(prev, next)`` for every position of the training rows, without padding."""
+def next_pairs(rows: DataFrame, pad_id: int = PAD_ID, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keys, prev, next)`` for every position of the training rows, without padding."""
     pair = F.explode(F.arrays_zip("input_ids", "labels"))
     return (
-        rows.select(pair.alias("p")).select(F.col("p.input_ids").alias("prev"), F.col("p.labels").alias("next"))
+        rows.select(*keys, pair.alias("p"))
+        .select(*keys, F.col("p.input_ids").alias("prev"), F.col("p.labels").alias("next"))
         .where((F.col("prev") != pad_id) & (F.col("next") != pad_id))
     )
 
 
-def bigram_counts(rows: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
-    """``(prev, next, n)``; pairs are combined before the shuffle."""
-    return next_pairs(rows, pad_id).groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n"))
+def bigram_counts(rows: DataFrame, pad_id: int = PAD_ID, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keys, prev, next, n)``; pairs are combined before the shuffle."""
+    return next_pairs(rows, pad_id, keys).groupBy(*keys, "prev", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 def heldout_perplexity(train: DataFrame, val: DataFrame, vocab_size: int) -> DataFrame:

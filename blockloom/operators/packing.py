@@ -36,7 +36,9 @@ def place_documents(
     if "ids" in docs.columns:
         payload, sized = "ids", docs.withColumn("n", F.col("n_ids") + tail)
     elif hasattr(tokenizer, "count"):
-        payload, sized = "text", docs.withColumn("n", tokenizer.count(F.col("text")).cast("long") + tail)
+        # A count stored beside the text keeps the passes over lengths from reading the texts.
+        count = F.col("n_ids") if "n_ids" in docs.columns else tokenizer.count(F.col("text")).cast("long")
+        payload, sized = "text", docs.withColumn("n", count + tail)
     else:
         return place_documents(materialize(tokenizer.encode(docs, ord_col), "tokens"), None, keys, eos_id, ord_col)
     placed = with_start(sized.select(*keys, ord_col, "n", payload), "n", keys, ord_col)

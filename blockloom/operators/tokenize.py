@@ -5,6 +5,8 @@ All tokenizers share the special ids below and add no special tokens themselves.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -156,6 +158,20 @@ class FileTokenizer:
         return docs.select(*[f.name for f in carry], text).mapInArrow(encode_batches, schema)
 
 
+def load_tokenizer(spark: SparkSession, name: str, fallback: str | None = None):
+    """``bytes``, or the path of a ``tokenizer.json``. A tokenizer that does not load is an error unless a
+    ``fallback`` was asked for, and then a warning says so."""
+    if name == ByteTokenizer.name:
+        return ByteTokenizer()
+    try:
+        return FileTokenizer(spark, name)
+    except Exception as error:
+        if fallback is None:
+            raise ValueError(f"tokenizer {name!r} does not load: {error}") from error
+        warnings.warn(f"tokenizer {name!r} does not load ({error}); using {fallback!r}", stacklevel=2)
+        return load_tokenizer(spark, fallback)
+
+
 def tokenize(docs: DataFrame, tokenizer, ord_col: str = "ord") -> DataFrame:
     """Token ids per document, written once so that later passes do not tokenize again."""
     return materialize(tokenizer.encode(docs, ord_col), "tokens")

@@ -59,19 +59,30 @@ class Config:
             raise ValueError(f"unknown output format {self.format!r}; known: parquet, arrow, bin")
 
 
+def _measures(config: Config) -> dict:
+    """Columns to keep beside the text, so that later passes over token counts do not read texts."""
+    count = getattr(config.tokenizer, "count", None)
+    return {"n_ids": count(F.col("text")).cast("long")} if count else {}
+
+
+def _deduped(docs: DataFrame, config: Config) -> DataFrame:
+    """The first document of every prefix; written once, because the packing passes come back to it."""
+    return materialize(dedupe_prefix(docs, config.dedupe_prefix), "unique") if config.dedupe_prefix else docs
+
+
 def documents(spark: SparkSession, config: Config) -> DataFrame:
-    """``(ord, text)`` ready for tokenization."""
+    """``(ord, text, [n_ids])`` ready for tokenization."""
     docs = read_documents(
         spark, config.input, config.spec, config.file_type, config.txt_mode, config.csv_delimiter,
-        min_chars=config.min_doc_chars, max_chars=config.max_doc_chars,
+        min_chars=config.min_doc_chars, max_chars=config.max_doc_chars, extra=_measures(config),
     )
-    return dedupe_prefix(docs, config.dedupe_prefix)
+    return _deduped(docs, config)
 
 
 def prepare(records: DataFrame, config: Config, carry: tuple[str, ...] = ("ord",)) -> DataFrame:
     """The same for records that already are a DataFrame with an order column."""
     docs = filter_length(extract(records, config.spec, carry), config.min_doc_chars, config.max_doc_chars)
-    return dedupe_prefix(docs, config.dedupe_prefix)
+    return _deduped(docs.withColumns(_measures(config)), config)
 
 
 def dry_run(spark: SparkSession, config: Config) -> DataFrame:
@@ -91,21 +102,18 @@ def write_corpus(docs: DataFrame, config: Config) -> DataFrame:
     """Tokenize, pack, split and write ``(ord, text)``."""
     spark = docs.sparkSession
     tokenizer = config.tokenizer
-    if hasattr(tokenizer, "count") and not config.no_pack:
-        tokenized = docs.withColumn("n_ids", tokenizer.count(F.col("text")).cast("long"))
-        counts = tokenized.select("n_ids")
-    else:
-        tokenized = docs = materialize(tokenizer.encode(docs), "tokens")
-        counts = tokenized.select("n_ids")
-    totals = materialize(_totals(counts, config), "totals")
+    if config.no_pack or not hasattr(tokenizer, "count"):
+        docs = materialize(tokenizer.encode(docs.select("ord", "text")), "tokens")
+    elif "n_ids" not in docs.columns:
+        docs = docs.withColumns(_measures(config))
+    totals = materialize(_totals(docs.select("n_ids"), config), "totals")
     per_shard = P.shard_blocks(config.block_size, config.shard_size)
     if config.no_pack:
         blocks = P.assign_shards(P.pad_blocks(P.number_documents(docs), config.block_size, config.pad_id), per_shard)
         blocks = blocks.drop("ord").repartition("shard_idx")
     else:
         blocks = P.pack_blocks(
-            docs.drop("n_ids") if "ids" not in docs.columns else docs, config.block_size, tokenizer,
-            eos_id=config.eos_id, pad_id=config.pad_id, blocks_per_shard=per_shard,
+            docs, config.block_size, tokenizer, eos_id=config.eos_id, pad_id=config.pad_id, blocks_per_shard=per_shard,
         )
     fields = dict(
         format=config.format, tokenizer=tokenizer.name, block_size=config.block_size, vocab_size=tokenizer.vocab_size,

@@ -268,13 +268,15 @@ def number_rows(df: DataFrame, keys: tuple[str, ...] = ("_rank",), out: str = "o
 def read_documents(
     spark: SparkSession, path: str, spec: dict, file_type: str | None = None, txt_mode: str = "paragraphs",
     csv_delimiter: str = ",", csv_schema: T.StructType | None = None,
-    min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
+    min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """``(ord, text)`` of a file or directory: discover, read, extract, filter by length, number.
+    """``(ord, text, …)`` of a file or directory: discover, read, extract, filter by length, number.
 
     Every file type is compiled against its own schema. The extracted texts are written once to the shared
-    folder; reading the sources and extracting never happens twice.
+    folder, together with ``extra`` columns derived from the text; reading and extracting never happens twice.
+    ``ord`` is unique and grows in document order; dropped records leave gaps.
     """
+    extra = extra or {}
     parts = None
     for rank, kind, pattern in discover(spark, path, file_type):
         records = read_records(
@@ -282,9 +284,11 @@ def read_documents(
         )
         root = ROOT if kind in ("json", "jsonl") else None
         docs = filter_length(extract(records, spec, carry=ORDER, root=root), min_chars, max_chars)
-        docs = docs.select(F.lit(rank).alias("_rank"), "_file", "_block", F.col("_pos"), "text")
+        docs = docs.select(
+            F.lit(rank).alias("_rank"), "_file", "_block", "_pos", "text", *[c.alias(n) for n, c in extra.items()]
+        )
         parts = docs if parts is None else parts.unionByName(docs)
-    return number_rows(materialize(parts, "documents")).select("ord", "text")
+    return number_rows(materialize(parts, "documents")).select("ord", "text", *extra)
 
 
 def read_named_dataset(
