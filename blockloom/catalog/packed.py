@@ -144,7 +144,7 @@ def _datasets(spark, sf_dir):
     rows = write_datasets(docs, config)
     order = F.dense_rank().over(Window.orderBy("dataset"))
     return config.output_dir, rows.withColumn("input_order", order - 1).withColumn(
-        "input_dir", F.concat(F.lit(f"{config.output_dir}/dataset="), F.col("dataset"))
+        "input_dir", F.concat(F.lit(f"{config.output_dir}/dataset="), M.directory_value(F.col("dataset")))
     )
 
 

@@ -32,6 +32,22 @@ def shard_path(base: str, split: Column, index: Column, layout: str = "parquet")
     return F.concat(F.lit(f"{base}/"), split, F.lit("_shard_"), F.lpad(index.cast("string"), 5, "0"), F.lit(".arrow"))
 
 
+# Fixed value: characters that a partition directory name holds as %XX.
+ESCAPED = "%\"#'*/:=?\\{[]^"
+
+
+def directory_value(value: Column) -> Column:
+    """A partition value the way its directory is named."""
+    for char in ESCAPED:
+        value = F.replace(value, F.lit(char), F.lit(f"%{ord(char):02X}"))
+    return value
+
+
+def bare_path(path: Column) -> Column:
+    """A path without scheme and host, so that listed and found paths compare."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
+
+
 def _listed(split: str, path: str = "path") -> Column:
     """Paths of one split in shard order."""
     entry = F.when(F.col("split") == split, F.struct("split_idx", path))
@@ -68,12 +84,7 @@ def write_manifest(row: DataFrame, directory: str) -> None:
 def read_manifests(spark: SparkSession, directories: list[str]) -> DataFrame:
     """``(input_order, input_dir, …manifest)``; directories without a manifest are left out."""
     order = {d.rstrip("/"): i for i, d in enumerate(directories)}
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for directory in order:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory}/manifest.json")
-        if path.getFileSystem(conf).exists(path):
-            found.append(directory)
+    found = [d for d in order if has_files(spark, f"{d}/manifest.json")]
     if not found:
         raise FileNotFoundError(f"no manifest.json in {directories}")
     rows = None
@@ -98,24 +109,33 @@ def listed_shards(manifests: DataFrame) -> DataFrame:
     ).select(*carry, "split", F.posexplode("paths").alias("split_idx", "path"))
 
 
-def shard_files(spark: SparkSession, pattern: str) -> DataFrame:
+def has_files(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob matches anything."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def shard_files(spark: SparkSession, *patterns: str) -> DataFrame:
     """``(path)`` of the existing shards: Arrow files, or partition directories that hold a Parquet file.
 
     Only the listing is read, never the content.
     """
-    listing = spark.read.format("binaryFile").load(pattern).select("path")
-    plain = F.regexp_replace("path", "^file:/+", "/")
+    listing = spark.read.format("binaryFile").load(list(patterns)).select("path")
+    plain = bare_path(F.col("path"))
     shard = F.when(plain.endswith(".parquet"), F.regexp_replace(plain, "/[^/]+$", "")).otherwise(plain)
     return listing.select(shard.alias("path")).distinct()
 
 
 def existing_shards(listed: DataFrame, files: DataFrame) -> DataFrame:
-    return listed.join(files, "path", "left_semi")
+    """Listed shards whose file was found."""
+    return listed.join(files.withColumnRenamed("path", "_found"), bare_path(F.col("path")) == F.col("_found"), "left_semi")
 
 
 def missing_shards(listed: DataFrame, files: DataFrame, keys: tuple[str, ...] = ("dataset",)) -> DataFrame:
     """Number of listed shards without a file, per dataset."""
-    return listed.join(files, "path", "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_missing"))
+    lost = listed.join(files.withColumnRenamed("path", "_found"), bare_path(F.col("path")) == F.col("_found"), "left_anti")
+    return lost.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_missing"))
 
 
 def pool_shards(listed: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def write_datasets(docs: DataFrame, config: Config, dataset: str = "dataset") ->
         M.shard_table(totals, per_shard, (dataset,)), config.val_split, config.val_shards, config.seed, (dataset,)
     )
     write_block_shards(blocks, split, config.output_dir, "parquet", config.compression, (dataset,))
-    base = F.concat(F.lit(f"{config.output_dir}/{dataset}="), F.col(dataset))
+    base = F.concat(F.lit(f"{config.output_dir}/{dataset}="), M.directory_value(F.col(dataset)))
     path = F.concat(base, F.lit("/split="), F.col("split"), F.lit("/shard_idx="), F.col("split_idx").cast("string"))
     listed = split.select(dataset, "split", "split_idx", path.alias("path"))
     return M.manifest(

@@ -10,6 +10,17 @@ from blockloom.sinks.token_files import write_token_files
 
 COMPRESSIONS = ("lz4", "zstd", "none")
 
+# A shard row is three short values, so this many are about 20 MB per executor; a shard is 50 million tokens.
+BROADCAST_SHARDS = 500_000
+
+
+def _with_split(blocks: DataFrame, shards: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Attach the split without moving the blocks; beyond the broadcast bound they are gathered again."""
+    on = [*keys, "shard_idx"]
+    if shards.count() <= BROADCAST_SHARDS:
+        return blocks.join(F.broadcast(shards), on)
+    return blocks.join(shards, on).repartition(*on)
+
 
 def write_block_shards(
     blocks: DataFrame, shards: DataFrame, path: str, layout: str = "parquet", compression: str = "zstd",
@@ -17,12 +28,13 @@ def write_block_shards(
 ) -> None:
     """Write ``(*keys, shard_idx, block_id, tokens)`` as training rows, one file per shard.
 
-    ``shards`` is the split table ``(*keys, shard_idx, split, split_idx)``. Blocks that were gathered per shard
-    while packing are not shuffled again. Rerunning replaces the shards, it never adds to them.
+    The blocks must be gathered per shard, as packing with ``blocks_per_shard`` leaves them; they are not shuffled
+    again. ``shards`` is the split table ``(*keys, shard_idx, split, split_idx)``. Rerunning replaces the Parquet
+    shards, it never adds to them.
     """
     if compression not in COMPRESSIONS:
         raise ValueError(f"unknown compression {compression!r}; known: {', '.join(COMPRESSIONS)}")
-    rows = shift_labels(blocks.join(shards, [*keys, "shard_idx"]))
+    rows = shift_labels(_with_split(blocks, shards, keys))
     if layout == "parquet":
         out = rows.select(*keys, "split", F.col("split_idx").alias("shard_idx"), "block_id", "input_ids", "labels", "length")
         out = out.sortWithinPartitions(*keys, "split", "shard_idx", "block_id")
@@ -34,5 +46,5 @@ def write_block_shards(
     if keys:
         raise ValueError("Arrow shards are written one dataset per directory")
     name = F.concat("split", F.lit("_shard_"), F.lpad(F.col("split_idx").cast("string"), 5, "0"), F.lit(".arrow"))
-    out = rows.repartition("shard_idx").sortWithinPartitions("split", "split_idx", "block_id")
+    out = rows.sortWithinPartitions("split", "split_idx", "block_id")
     write_token_files(out.select(name.alias("file_name"), "input_ids", "labels", "length"), path, "arrow", compression)

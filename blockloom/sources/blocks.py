@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.fixed import BLOCK_SIZE
-from blockloom.operators.manifests import MANIFEST_SCHEMA, existing_shards, shard_files
+from blockloom.operators.manifests import MANIFEST_SCHEMA, existing_shards, has_files, shard_files
 from blockloom.operators.packing import cut_stream
 from blockloom.sources.arrow_ipc import read_arrow
 from blockloom.sources.flat_tokens import read_flat_tokens
@@ -45,24 +45,24 @@ def read_manifest_blocks(
     never pass the driver.
     """
     row = spark.read.schema(MANIFEST_SCHEMA).json(manifest_path, multiLine=True)
-    head = row.select("block_size", "format", F.explode(f"{split}_shards").alias("path"))
-    first = head.select("block_size", "format", "path").first()
+    head = row.select("block_size", F.explode(f"{split}_shards").alias("path"))
+    first = head.first()
     if first is None:
         raise ValueError(f"no {split}_shards in {manifest_path}")
     if block_size is not None and first["block_size"] != block_size:
         warnings.warn(f"the manifest has block size {first['block_size']}, not {block_size}; using it", stacklevel=2)
-    base = _base(first["path"], first["format"])
-    pattern = f"{base}/split={split}/*/*.parquet" if first["format"] == "parquet" else f"{base}/*.arrow"
-    if "dataset=" in base:
-        pattern = pattern.replace(base, base[: base.index("dataset=")] + "dataset=*")
-    paths = [r["path"] for r in existing_shards(head, shard_files(spark, pattern)).select("path").collect()]
+    layout = "arrow" if first["path"].endswith(".arrow") else "parquet"
+    below = r"/[^/]+\.arrow$" if layout == "arrow" else r"/split=[^/]+/shard_idx=[^/]+$"
+    # One folder per pooled dataset; of each only the listing is read.
+    folders = [r[0] for r in head.select(F.regexp_replace("path", below, "")).distinct().collect()]
+    patterns = [f"{f}/*.arrow" if layout == "arrow" else f"{f}/split={split}/*/*.parquet" for f in sorted(folders)]
+    patterns = [p for p in patterns if has_files(spark, p)]
+    paths = []
+    if patterns:
+        paths = [r["path"] for r in existing_shards(head, shard_files(spark, *patterns)).select("path").collect()]
     if not paths:
         raise FileNotFoundError(f"none of the {split} shards in {manifest_path} exists")
-    return _read_shards(spark, sorted(paths), first["format"])
-
-
-def _base(path: str, layout: str) -> str:
-    return path[: path.index("/split=")] if layout == "parquet" else path.rsplit("/", 1)[0]
+    return _read_shards(spark, sorted(paths), layout)
 
 
 def read_dir_blocks(spark: SparkSession, directory: str, split: str = "train", layout: str = "parquet") -> DataFrame:
