@@ -64,37 +64,51 @@ def read_json(spark: SparkSession, *paths: str) -> DataFrame:
 
     An array is parsed file by file, its non-object items are skipped; a broken array fails the job.
     """
-    arrays = _array_files(spark, paths)
-    listed = [r["path"] for r in spark.read.format("binaryFile").load(list(paths)).select("path").collect()]
-    lined = [p for p in listed if p not in arrays]
+    heads = _first_lines(spark, *paths).select("path", F.col("head").startswith("[").alias("is_array"))
+    kinds = {row["is_array"] for row in heads.select("is_array").distinct().collect()}
+    arrays = lined = list(paths)
+    if len(kinds) == 2:  # only then do the file names matter
+        named = heads.collect()
+        arrays, lined = ([r["path"] for r in named if r["is_array"] == wanted] for wanted in (True, False))
     parts = []
-    if arrays:
-        whole = _with_order(spark.read.text(sorted(arrays), wholetext=True))
+    if True in kinds:
+        whole = _with_order(spark.read.text(arrays, wholetext=True))
         items = F.from_json(F.make_valid_utf8("value"), "array<variant>", {"mode": "FAILFAST"})
         exploded = whole.select("_file", "_block", F.posexplode(items).alias("_pos", "item"))
         keep = F.when(F.schema_of_variant("item").startswith("OBJECT"), F.col("item"))
         parts.append(exploded.select(
             F.explode(F.array_compact(F.array(keep))).alias(ROOT), "_file", "_block", F.col("_pos").cast("long").alias("_pos")
         ))
-    if lined:
+    if False in kinds:
         parts.append(read_jsonl(spark, *lined))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _array_files(spark: SparkSession, paths: tuple[str, ...]) -> set[str]:
-    """Paths of the files whose first character is ``[``; one byte per file is read, by the executors."""
-    def first_byte(batches):
+HEAD_BYTES = 1 << 16
+
+
+def _first_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """``(path, head)``: the first line of every file. The executors open the files, nothing else is read."""
+    def heads(batches):
         for batch in batches:
-            kept = []
+            found = []
             for path in batch.column(0).to_pylist():
                 system, plain = locate(path)
                 with system.open_input_file(plain) as source:
-                    if source.read(1) == b"[":
-                        kept.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["path"])
+                    found.append(source.read(HEAD_BYTES).decode("utf-8", "replace").split("\n", 1)[0].rstrip("\r"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "head"])
 
     listing = spark.read.format("binaryFile").load(list(paths)).select("path")
-    return {row["path"] for row in listing.mapInArrow(first_byte, "path STRING").collect()}
+    return listing.mapInArrow(heads, "path STRING, head STRING")
+
+
+def same_header_groups(spark: SparkSession, pattern: str) -> list[list[str]]:
+    """CSV files that share a header are read together; columns of different headers never mix."""
+    heads = _first_lines(spark, pattern)
+    if len(heads.select("head").distinct().limit(2).collect()) < 2:
+        return [[pattern]]
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [row["paths"] for row in groups.orderBy("head").collect()]
 
 
 def _column_type(found: T.DataType) -> T.DataType:
@@ -278,9 +292,13 @@ def read_documents(
     """
     extra = extra or {}
     parts = None
-    for rank, kind, pattern in discover(spark, path, file_type):
+    inputs = [
+        (rank, kind, group) for rank, kind, pattern in discover(spark, path, file_type)
+        for group in (same_header_groups(spark, pattern) if kind in ("csv", "tsv") else [[pattern]])
+    ]
+    for rank, kind, group in inputs:
         records = read_records(
-            spark, kind, pattern, txt_mode=txt_mode, csv_delimiter=csv_delimiter, csv_schema=csv_schema
+            spark, kind, *group, txt_mode=txt_mode, csv_delimiter=csv_delimiter, csv_schema=csv_schema
         )
         root = ROOT if kind in ("json", "jsonl") else None
         docs = filter_length(extract(records, spec, carry=ORDER, root=root), min_chars, max_chars)

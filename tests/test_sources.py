@@ -147,6 +147,13 @@ def test_csv(spark, tmp_path):
     assert texts(spark, path, spec={"field": "text", "filter": {"field": "score", "op": "<", "value": 1}}) == ['two\nlines, "quoted"']
 
 
+def test_csv_files_with_different_headers(spark, tmp_path):
+    put(tmp_path, "a.csv", "id,text\n1,one\n")
+    put(tmp_path, "b.csv", "text,n,id\ntwo,5,x\n")
+    put(tmp_path, "c.csv", "id,text\r\n3,three\r\n")
+    assert texts(spark, tmp_path) == ["one", "two", "three"]
+
+
 def test_delimiters(spark, tmp_path):
     assert texts(spark, put(tmp_path, "a.csv", "id;text\n1;a,b\n"), csv_delimiter=";") == ["a,b"]
     # Tab files ignore the delimiter setting.
