@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from blockloom.catalog.common import TEXT_FACTS, documents, strip_sql, table, text_facts
 from blockloom.fixed import OPENAI_ROLES, PRESETS
 from blockloom.operators.dedupe import dedupe_prefix
+from blockloom.operators.stats import drop_reasons
 from blockloom.plans.filters import compile_filters, filter_records
 from blockloom.plans.paths import resolve
-from blockloom.plans.spec import extract, extract_turns, filter_length
+from blockloom.plans.spec import compile_spec, extract, extract_turns, filter_length
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +243,13 @@ def filter_json(spark, sf_dir):
     }, root="v")
 
 
+def drop_reasons_query(spark, sf_dir):
+    """What the steps before dedupe do to every document of a score-filtered run."""
+    records = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    compiled = compile_spec({"field": "text", "filter": {"field": "quality", "op": "==", "value": 1}}, records.schema)
+    return drop_reasons(records, compiled.conditions[0], compiled.text, 64, 5000)
+
+
 def filter_length_query(spark, sf_dir):
     return filter_length(documents(spark, sf_dir), 64, 5000).select(F.col("ord").alias("doc_id"), *text_facts())
 
@@ -271,6 +279,7 @@ QUERIES = {
     "filter_contains": filter_contains,
     "filter_conjunction": filter_conjunction,
     "filter_json": filter_json,
+    "drop_reasons": drop_reasons_query,
     "filter_length": filter_length_query,
     "dedupe_prefix": dedupe_prefix_query,
 }
@@ -339,6 +348,10 @@ ORACLES = {
         SELECT event_id, k < 30 AS k_lt, k = 69 AS k_eq, true AS k_ne_text, k IN (1, 2, 3) AS k_in,
                contains(CAST(k AS VARCHAR), '7') AS k_has, false AS "none"
         FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
+    "drop_reasons": f"""
+        WITH x AS (SELECT quality, length({strip_sql('text')}) AS n FROM documents LEFT JOIN labels USING (doc_id))
+        SELECT CASE WHEN quality IS NULL OR quality <> 1 THEN 'filtered' WHEN n = 0 THEN 'no_text' WHEN n < 64 THEN 'too_short'
+                    WHEN n > 5000 THEN 'too_long' ELSE 'kept' END AS reason, count(*) AS n_records FROM x GROUP BY 1""",
     "filter_length": f"""
         SELECT doc_id, {TEXT_FACTS} FROM documents WHERE length(text) BETWEEN 64 AND 5000""",
     "dedupe_prefix": f"""

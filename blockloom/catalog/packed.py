@@ -200,6 +200,13 @@ def combined_manifest(spark, sf_dir):
     )
 
 
+def dataset_report(spark, sf_dir):
+    """Shards and tokens per dataset, and their total."""
+    _, manifests = _datasets(spark, sf_dir)
+    report = M.dataset_report(manifests.withColumn("input_dir", F.col("dataset")))
+    return report.select(F.coalesce("input_dir", F.lit("all")).alias("dataset"), "n_train", "n_val", "total_tokens")
+
+
 def sample_blocks(spark, sf_dir):
     """One epoch of draws over the train shards."""
     config, _ = _write(spark, sf_dir)
@@ -240,6 +247,7 @@ QUERIES = {
     "pool_shards": pool_shards,
     "combine_totals": combine_totals,
     "combined_manifest": combined_manifest,
+    "dataset_report": dataset_report,
     "sample_blocks": sample_blocks,
     "sample_windows": sample_windows,
     "synthetic_tokens": synthetic_tokens,
@@ -316,6 +324,12 @@ ORACLES = {
                (SELECT count(*) FROM b) * {BLOCK} AS total_tokens, (SELECT count(*) FROM documents) AS total_docs, 'combined' AS source,
                (SELECT count(*) FROM s WHERE split = 'train') AS n_train, (SELECT count(*) FROM s WHERE split = 'val') AS n_val,
                CAST(1 AS BIGINT) AS n_dirs""",
+    "dataset_report": f"""
+        {_DATASET_SHARDS},
+        n AS (SELECT dataset, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val FROM s GROUP BY dataset),
+        k AS (SELECT dataset, count(*) * {BLOCK} AS total_tokens FROM b GROUP BY dataset)
+        SELECT coalesce(dataset, 'all') AS dataset, CAST(sum(n_train) AS BIGINT) AS n_train, CAST(sum(n_val) AS BIGINT) AS n_val,
+               CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM n JOIN k USING (dataset) GROUP BY ROLLUP (dataset)""",
     "sample_blocks": f"""
         {_SHARDS}, {_ROWS},
         k AS (SELECT row_number() OVER (ORDER BY shard_idx, row) - 1 AS row_index, inp, lab FROM q WHERE split = 'train'),

@@ -180,7 +180,7 @@ def combined_manifest(manifests: DataFrame, files: DataFrame, input_dirs: list[s
 def dataset_report(manifests: DataFrame) -> DataFrame:
     """Shards per split and tokens of each dataset, with a total row."""
     return manifests.rollup("input_dir").agg(
-        F.sum(F.size("train_shards")).alias("n_train"), F.sum(F.size("val_shards")).alias("n_val"),
+        F.sum(F.size("train_shards").cast("long")).alias("n_train"), F.sum(F.size("val_shards").cast("long")).alias("n_val"),
         F.sum("total_tokens").alias("total_tokens"),
     )
 

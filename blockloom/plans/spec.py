@@ -205,11 +205,16 @@ def compile_spec(spec: dict, schema: T.StructType, root: str | None = None) -> C
 
 
 def extract(df: DataFrame, spec: dict, carry: tuple[str, ...] = ("ord",), root: str | None = None) -> DataFrame:
-    """The ``carry`` columns and ``text`` of every record that passes the filters and has text."""
+    """The ``carry`` columns and ``text`` of every record that passes the filters and has text.
+
+    Blank texts go as the items of a one-element list. As a plain filter the condition, and any later one on the
+    text, would be pushed below the projection and evaluate the whole extraction once more each.
+    """
     compiled = compile_spec(spec, df.schema, root)
     for condition in compiled.conditions:
         df = df.where(condition)
-    return df.select(*carry, compiled.text.alias("text")).where(F.col("text") != "")
+    text = F.explode(F.array_remove(F.array(compiled.text), ""))
+    return df.select(*carry, text.alias("text")).where(F.col("text").isNotNull())
 
 
 def extract_turns(
