@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.catalog.common import (
-    BLOCK, SHARD, TEXT_FACTS, documents, id_facts, id_facts_sql, strip_sql, table, text_facts,
+    BLOCK, SHARD, TEXT_FACTS, documents, id_facts, id_facts_sql, stream_sql, strip_sql, table, text_facts,
 )
 from blockloom.operators.packing import number_documents
-from blockloom.plans.pipeline import Config, run_pipeline
+from blockloom.plans.pipeline import Config, run_pipeline, run_text
 from blockloom.session import fresh_path, materialize
 from blockloom.sources import files as S
 from blockloom.sources.arrow_ipc import read_arrow
+from blockloom.sources.flat_tokens import read_flat_tokens
 
 PER_FILE = 100
 LINES = 50
@@ -195,6 +196,17 @@ def run_pipeline_jsonl(spark, sf_dir):
     return row.select("total_docs", "total_blocks", "total_tokens", "field_map")
 
 
+def run_text_flat(spark, sf_dir):
+    """Text files to flat train and validation streams."""
+    out = fresh_path(spark, "flat")
+    run_text(spark, [land(documents(spark, sf_dir), F.col("text"), ".txt")], f"{out}/tokens.bin", val_split=0.05, chunk_size=LINES)
+    parts = [
+        read_flat_tokens(spark, f"{out}/{name}.bin", run=BLOCK).select(F.lit(split).alias("split"), "start", *id_facts("ids", "tok"))
+        for name, split in (("tokens", "train"), ("tokens_val", "val"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES = {
     "scan_parquet": scan_parquet,
     "scan_jsonl": scan_jsonl,
@@ -209,6 +221,7 @@ QUERIES = {
     "scan_mixed_dir": scan_mixed_dir,
     "chunk_lines": chunk_lines,
     "run_jsonl": run_pipeline_jsonl,
+    "run_text_flat": run_text_flat,
 }
 
 _DELIMITED = """
@@ -247,6 +260,16 @@ ORACLES = {
         k AS (SELECT file_no, (row_number() OVER (PARTITION BY file_no ORDER BY doc_id, i) - 1) // {LINES} AS chunk, doc_id, i, text FROM l),
         x AS (SELECT file_no, chunk, string_agg(text, chr(10) ORDER BY doc_id, i) AS text FROM k GROUP BY 1, 2)
         SELECT row_number() OVER (ORDER BY file_no, chunk) - 1 AS ord, {TEXT_FACTS} FROM x""",
+    "run_text_flat": f"""
+        WITH {_LINES},
+        k AS (SELECT file_no, (row_number() OVER (PARTITION BY file_no ORDER BY doc_id, i) - 1) // {LINES} AS chunk, doc_id, i, text FROM l),
+        ck AS (SELECT row_number() OVER (ORDER BY file_no, chunk) AS doc_id, string_agg(text, chr(10) ORDER BY doc_id, i) AS text
+               FROM k GROUP BY file_no, chunk),
+        {stream_sql('ck')},
+        c AS (SELECT CAST(floor(count(*) * (1.0::DOUBLE - 0.05::DOUBLE)) AS BIGINT) AS cut FROM t),
+        p AS (SELECT CASE WHEN pos < cut THEN 'train' ELSE 'val' END AS split, CASE WHEN pos < cut THEN pos ELSE pos - cut END AS pos, tok FROM t, c),
+        r AS (SELECT split, pos // {BLOCK} * {BLOCK} AS start, list(tok ORDER BY pos) AS tokens FROM p GROUP BY ALL)
+        SELECT split, start, {id_facts_sql('tokens', 'tok')} FROM r""",
     "run_jsonl": f"""
         WITH kept AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality >= 1 AND length(text) >= 64
                       QUALIFY row_number() OVER (PARTITION BY left(text, 64) ORDER BY doc_id) = 1),

@@ -128,7 +128,7 @@ def pack_blocks(
 ) -> DataFrame:
     """``(*keys, [shard_idx,] block_id, tokens)``, every block ``block_size + 1`` tokens long.
 
-    With ``keys`` each key value (a dataset) is packed into blocks of its own. ``flush=False`` leaves out the
+    With ``keys`` each key value (a dataset, never null) is packed into blocks of its own. ``flush=False`` leaves out the
     incomplete last block.
     """
     placed = place_documents(docs, tokenizer or ByteTokenizer(), keys, eos_id)

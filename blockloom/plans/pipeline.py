@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.fixed import (
-    BLOCK_SIZE, MAX_CHARS, MIN_CHARS, SEED, SHARD_TOKENS, VAL_FRACTION,
+    BLOCK_SIZE, LINES_PER_CHUNK, MAX_CHARS, MIN_CHARS, SEED, SHARD_TOKENS, VAL_FRACTION,
 )
 from blockloom.operators import manifests as M
 from blockloom.operators import packing as P
 from blockloom.operators.dedupe import dedupe_prefix
-from blockloom.operators.splits import split_blocks, split_shards
+from blockloom.operators.splits import split_blocks, split_position, split_shards
 from blockloom.operators.stats import dry_run_stats, preview, run_stats
-from blockloom.operators.tokenize import EOS_ID, PAD_ID, ByteTokenizer
+from blockloom.operators.tokenize import EOS_ID, PAD_ID, ByteTokenizer, sequence_estimate
 from blockloom.plans.spec import extract, filter_length, resolve_spec
 from blockloom.session import materialize
 from blockloom.sinks.shards import write_block_shards
 from blockloom.sinks.token_files import write_flat_tokens
-from blockloom.sources.files import read_documents
+from blockloom.sources.files import chunk_lines, order_chunks, read_documents
+
+
+# The dataset of documents that name none.
+UNNAMED = "unnamed"
 
 
 @dataclass
@@ -170,6 +174,7 @@ def pack_datasets(docs: DataFrame, config: Config, dataset: str = "dataset") ->
     with a third of the corpus is spread over tasks like any other.
     """
     tokenizer = config.tokenizer
+    docs = docs.withColumn(dataset, F.coalesce(F.nullif(F.col(dataset), F.lit("")), F.lit(UNNAMED)))
     if hasattr(tokenizer, "count"):
         counts = docs.select(dataset, tokenizer.count(F.col("text")).cast("long").alias("n_ids"))
     else:
@@ -199,3 +204,30 @@ def write_datasets(docs: DataFrame, config: Config, dataset: str = "dataset") ->
         listed, totals, (dataset,), format="parquet", tokenizer=config.tokenizer.name, block_size=config.block_size,
         vocab_size=config.tokenizer.vocab_size, compression=config.compression, source=F.col(dataset),
     )
+
+
+def run_text(
+    spark: SparkSession, paths: list[str], output: str, tokenizer=None, val_split: float = 0.0, add_eos: bool = True,
+    chunk_size: int = LINES_PER_CHUNK, block_size: int = BLOCK_SIZE, eos_id: int = EOS_ID,
+) -> DataFrame:
+    """Text files to one flat token stream, chunk of lines by chunk of lines: ``(total_tokens, n_sequences)``.
+
+    With ``val_split`` the last part of the stream goes to ``output`` with ``_val`` before its extension.
+    """
+    tokenizer = tokenizer or ByteTokenizer()
+    chunks = order_chunks(chunk_lines(spark, *paths, chunk_size=chunk_size))
+    if hasattr(tokenizer, "count"):
+        docs = materialize(chunks.withColumn("n_ids", tokenizer.count(F.col("text")).cast("long")), "chunks")
+    else:
+        docs = materialize(tokenizer.encode(chunks), "tokens")
+    totals = sequence_estimate(docs, block_size, add_eos)
+    eos = eos_id if add_eos else None
+    if 0.0 < val_split < 1.0:
+        parts = split_position(docs, val_split, totals.first()["total_tokens"], tokenizer, eos)
+        stem, dot, extension = output.rpartition(".") if "." in output.rsplit("/", 1)[-1] else (output, "", "")
+        write_flat_tokens(parts.where("split = 'train'"), output)
+        write_flat_tokens(parts.where("split = 'val'"), f"{stem}_val{dot}{extension}")
+    else:
+        pieces = P.cut_pieces(P.place_documents(docs, tokenizer, (), eos), 1 << 20, (), eos)
+        write_flat_tokens(pieces.select(F.col("at").alias("start"), F.col("part").alias("ids")), output)
+    return totals

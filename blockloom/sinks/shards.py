@@ -29,7 +29,7 @@ def write_block_shards(
     """Write ``(*keys, shard_idx, block_id, tokens)`` as training rows, one file per shard.
 
     The blocks must be gathered per shard, as packing with ``blocks_per_shard`` leaves them; they are not shuffled
-    again. ``shards`` is the split table ``(*keys, shard_idx, split, split_idx)``. Rerunning replaces the Parquet
+    again. ``shards`` is the split table ``(*keys, shard_idx, split, split_idx)``. Rerunning replaces the
     shards, it never adds to them.
     """
     if compression not in COMPRESSIONS:

@@ -7,11 +7,13 @@ Formats: ``arrow`` (training rows, one record batch per ``BATCH_ROWS`` rows) and
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -58,10 +60,14 @@ class _FlatFile:
 
 KINDS = {"arrow": _ArrowFile, "flat": _FlatFile}
 
+# How the files of a kind are named; only such files are replaced.
+NAMES = {"arrow": r"(train|val)_shard_\d{5,}\.arrow", "flat": r"part-\d{10,}\.bin"}
+
 
 class TokenFileWriter(DataSourceArrowWriter):
-    def __init__(self, directory: str, kind: str, compression: str):
+    def __init__(self, directory: str, kind: str, compression: str, overwrite: bool):
         self.directory, self.kind, self.compression = directory.rstrip("/"), kind, compression
+        self.overwrite = overwrite
         self.staging = f"{self.directory}/_staging-{uuid.uuid4().hex}"
 
     def write(self, batches):
@@ -91,6 +97,10 @@ class TokenFileWriter(DataSourceArrowWriter):
     def commit(self, messages):
         system, target = locate(self.directory)
         system.create_dir(target, recursive=True)
+        if self.overwrite:
+            for info in system.get_file_info(fs.FileSelector(target)):
+                if info.type == fs.FileType.File and re.fullmatch(NAMES[self.kind], info.base_name):
+                    system.delete_file(info.path)
         for message in messages:
             for staged, name in (message.files if message else []):
                 system.move(staged, f"{target}/{name}")
@@ -114,14 +124,14 @@ class TokenFileSink(DataSource):
         return "file_name STRING"
 
     def writer(self, schema, overwrite):
-        return TokenFileWriter(self.options["path"], self.options["kind"], self.options.get("compression", "none"))
+        return TokenFileWriter(self.options["path"], self.options["kind"], self.options.get("compression", "none"), overwrite)
 
 
 def write_token_files(df: DataFrame, path: str, kind: str, compression: str = "none") -> None:
-    """Write rows, already grouped by ``file_name`` inside their partitions."""
+    """Write rows, already grouped by ``file_name`` inside their partitions; files of an earlier run are replaced."""
     register_source(df.sparkSession, TokenFileSink)
     (
-        df.write.format("token_files").mode("append")
+        df.write.format("token_files").mode("overwrite")
         .option("path", path).option("kind", kind).option("compression", compression).save()
     )
 

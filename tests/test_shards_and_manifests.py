@@ -10,7 +10,7 @@ from blockloom.operators import manifests as M
 from blockloom.operators.packing import cut_stream
 from blockloom.operators.sampling import index_rows, sample_blocks, sample_windows, synthetic_tokens
 from blockloom.operators.stats import dry_run_stats, mixture_share, preview
-from blockloom.plans.pipeline import Config, dry_run, run_pipeline, show_samples, write_corpus, write_datasets
+from blockloom.plans.pipeline import Config, dry_run, run_pipeline, run_text, show_samples, write_corpus, write_datasets
 from blockloom.sources import blocks as B
 from blockloom.sources.flat_tokens import read_flat_tokens
 
@@ -175,6 +175,31 @@ def test_run_from_files(spark, tmp_path):
     assert [r["sample"][:3] for r in show_samples(spark, config, 3).collect()] == ["000", "001", "002"]
 
 
+def test_text_files_to_flat_stream(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\nthree\n")
+    (tmp_path / "b.txt").write_text("four")
+    for add_eos in (True, False):
+        stream = [t for doc in ("one\ntwo", "three", "four") for t in [*(b + 3 for b in doc.encode()), *([1] if add_eos else [])]]
+        out = tmp_path / f"out{add_eos}"
+        row = run_text(spark, [f"{tmp_path}/*.txt"], f"{out}/t.bin", add_eos=add_eos, chunk_size=2, block_size=4).first()
+        assert (row["total_tokens"], row["n_sequences"]) == (len(stream), len(stream) // 4)
+
+        def held(name):
+            return [t for p in sorted((out / name).glob("part-*.bin")) for t in np.fromfile(p, dtype="<u4").tolist()]
+
+        assert held("t.bin") == stream
+        # A second run replaces the files of the first.
+        run_text(spark, [f"{tmp_path}/*.txt"], f"{out}/t.bin", val_split=0.5, add_eos=add_eos, chunk_size=2)
+        cut = int(len(stream) * 0.5)
+        assert held("t.bin") == stream[:cut] and held("t_val.bin") == stream[cut:]
+
+
+def test_datasets_without_a_name_are_kept(spark, tmp_path):
+    docs = corpus(spark, 30).withColumn("dataset", F.when(F.col("ord") < 10, "named").when(F.col("ord") < 20, ""))
+    rows = write_datasets(docs, Config(output_dir=str(tmp_path / "out"), block_size=16)).collect()
+    assert {(r["dataset"], r["total_docs"]) for r in rows} == {("named", 10), ("unnamed", 20)}
+
+
 def test_preview_and_empty_dry_run(spark):
     df = spark.createDataFrame([(1, "x" * 501), (0, "y" * 500)], "ord INT, text STRING")
     assert [r["sample"] for r in preview(df, 2).collect()] == ["y" * 500, "x" * 500 + "..."]
