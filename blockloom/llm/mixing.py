@@ -114,8 +114,10 @@ def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFram
 def slots(sources: DataFrame, limit: int = LIMIT, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``shard, place, s, pass, block``: the block that each slot of the mix takes. ``place`` orders a shard's slots."""
     counts = with_start(shard_counts(sources, shard_slots), "count", ("s",), "shard")
+    # A count is a few bytes and makes thousands of slots, so tasks go by number, not by the size of what they read.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        counts.join(sources.select("s", "blocks"), "s")
+        counts.join(sources.select("s", "blocks"), "s").repartition(tasks, "s", "shard")
         .select("s", "shard", "blocks", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("_i"))
         .withColumn("_index", F.col("start") + F.col("_i"))
         .where(F.col("_index") < F.col("blocks") * limit)
