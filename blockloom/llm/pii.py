@@ -2,7 +2,7 @@
 
 Seeds are the identifiers that the fixed patterns find. Every word with at least four digits is an instance; the words
 before it and the shape of its characters form its patterns. A pattern is trusted by the share of its distinct
-instances that are known, an instance by its patterns together (noisy or). Both are scored in turn over the graph of
+instances that are known, an instance by the best of its patterns. Both are scored in turn over the graph of
 distinct (pattern, instance) edges, with the seeds fixed as known. Instances that trusted patterns vouch for are new
 findings.
 
@@ -82,9 +82,9 @@ def trusted_instances(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = M
             .select("pattern", (F.col("_sum") / (F.col("_all") + 1)).alias("trust"))
         )
         patterns = materialize(patterns, "pii-patterns")
-        vouched = edges.join(patterns, "pattern").groupBy("value").agg(F.sum(F.log1p(-F.col("trust"))).alias("_doubt"))
+        vouched = edges.join(patterns, "pattern").groupBy("value").agg(F.max("trust").alias("_best"))
         scores = scores.select("value", "known").join(vouched, "value", "left").select(
-            "value", F.when(F.col("known"), 1.0).otherwise(1 - F.exp(F.coalesce("_doubt", F.lit(0.0)))).alias("score"), "known")
+            "value", F.when(F.col("known"), 1.0).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"), "known")
     return scores.where(~F.col("known") & (F.col("score") >= min_trust)).select("value")
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ MAX_BITS = 20
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
 #: A worker's memory of encoded pieces and parts; it is emptied when full and changes no result.
-KNOWN_PIECES, KNOWN_PARTS = 600_000, 600_000
+KNOWN_PIECES, KNOWN_PARTS = 1_000_000, 200_000
+#: Signs that end a word, and the first character behind the Latin letters.
+SIGNS, LATIN_END = frozenset(".,;:!?"), "\u0250"
 
 # How byte-level tokenizers split a text, and the characters that stand for its bytes.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -77,18 +80,35 @@ class Encoder:
         if ids is None:
             if len(self.parts) >= KNOWN_PARTS:
                 self.parts.clear()
-            shown = part.encode().decode("latin-1").translate(SHOWN_BYTES)
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            ids = self.parts[part] = self._model_ids(part)
         return ids
 
+    def _model_ids(self, part: str) -> bytes:
+        shown = part.encode().decode("latin-1").translate(SHOWN_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _split(self, piece: str) -> bytes:
         return b"".join(map(self._part, SPLIT.findall(piece))) if PLAIN.fullmatch(piece) else self._ids(piece)
 
-    def _piece(self, piece: str) -> bytes:
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and a word."""
+        ids = self.pieces.get(word)
+        if ids is not None:
+            return ids
+        if word[:-1].isalpha() and word[-1] in SIGNS and max(word) < LATIN_END:
+            # Kept only if the word alone is known already: rare words with signs behind them would fill the memory.
+            often = word[:-1] in self.pieces
+            ids = self._word(word[:-1]) + self._part(word[-1])
+            if often and len(self.pieces) < KNOWN_PIECES:
+                self.pieces[word] = ids
+            return ids
         if len(self.pieces) >= KNOWN_PIECES:
             self.pieces.clear()
-        ids = self._split(piece)
-        self.pieces[piece[1:]] = ids
+        if word.isalpha() and max(word) < LATIN_END:
+            ids = self._model_ids(" " + word)
+        else:
+            ids = self._split(" " + word)
+        self.pieces[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -103,7 +123,7 @@ class Encoder:
             return self._ids(text)
         for i in missing:
             # Only the first piece has no space before it, and it is not remembered.
-            found[i] = (self.pieces.get(words[i]) or self._piece(" " + words[i])) if i else self._split(words[0])
+            found[i] = self._word(words[i]) if i else self._split(words[0])
         return b"".join(found)
 
 
