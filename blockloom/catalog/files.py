@@ -168,7 +168,7 @@ def scan_mixed_dir(spark, sf_dir):
         return docs.where(F.col("lang") == lang)
 
     staged = fresh_path(spark, "staged")
-    of("en").coalesce(1).sortWithinPartitions("ord").write.parquet(staged)
+    of("en").repartitionByRange("ord").sortWithinPartitions("ord").write.parquet(staged)
     publish(spark, f"{staged}/part-*", folder, ".parquet", r"part-(\d+)")
     land(of("fr"), _json("ord", "text"), ".jsonl", folder)
     land(of("de"), _json("ord", "text"), ".json", folder)

@@ -12,9 +12,8 @@ from blockloom.catalog.common import (
 from blockloom.operators import manifests as M
 from blockloom.operators import packing as P
 from blockloom.operators.sampling import index_rows, sample_blocks as draw_blocks, sample_windows as draw_windows
-from blockloom.operators.sampling import synthetic_tokens as synthesize
 from blockloom.operators.splits import split_position
-from blockloom.operators.stats import dry_run_stats, run_stats, shard_row_counts as count_rows
+from blockloom.operators.stats import run_stats, shard_row_counts as count_rows
 from blockloom.operators.tokenize import ByteTokenizer, sequence_estimate
 from blockloom.plans.pipeline import Config, prepare, write_corpus, write_datasets
 from blockloom.session import fresh_path
@@ -212,7 +211,7 @@ def sample_blocks(spark, sf_dir):
     config, _ = _write(spark, sf_dir)
     rows = B.read_blocks(spark, "train", "arrow", manifest=f"{config.output_dir}/manifest.json", block_size=BLOCK)
     total = rows.count()
-    drawn = draw_blocks(index_rows(rows, ["split", "shard_idx"], "row"), total, -(-total // BATCH), BATCH, SEED)
+    drawn = draw_blocks(index_rows(rows, B.SHARD_KEYS, "row"), total, -(-total // BATCH), BATCH, SEED)
     return drawn.select("step", "slot", "row_index", *id_facts("input_ids", "inp"), *id_facts("labels", "lab"))
 
 
@@ -225,12 +224,6 @@ def sample_windows(spark, sf_dir):
     return drawn.select("step", "slot", "start", *id_facts("input_ids", "inp"), *id_facts("labels", "lab"))
 
 
-def synthetic_tokens(spark, sf_dir):
-    """A synthetic stream as long as the corpus is estimated to be."""
-    total = dry_run_stats(documents(spark, sf_dir), BLOCK, SHARD).first()["est_tokens"]
-    return synthesize(spark, total, seed=SEED)
-
-
 QUERIES = {
     "write_block_shards": write_block_shards,
     "write_no_pack": write_no_pack,
@@ -250,7 +243,6 @@ QUERIES = {
     "dataset_report": dataset_report,
     "sample_blocks": sample_blocks,
     "sample_windows": sample_windows,
-    "synthetic_tokens": synthetic_tokens,
 }
 
 _STREAM = f"WITH {stream_sql()}"
@@ -345,9 +337,4 @@ ORACLES = {
               FROM w JOIN r f ON f.block_id = start // {BLOCK} LEFT JOIN r g ON g.block_id = start // {BLOCK} + 1),
         y AS (SELECT i, start, pair[off + 1:off + {BLOCK}] AS inp, pair[off + 2:off + {BLOCK} + 1] AS lab FROM x)
         SELECT i // {BATCH} AS step, i % {BATCH} AS slot, start, {id_facts_sql('inp', 'inp')}, {id_facts_sql('lab', 'lab')} FROM y""",
-    "synthetic_tokens": f"""
-        WITH n AS (SELECT CAST(floor(sum(length(text)) * 0.25::DOUBLE) AS BIGINT) AS n FROM documents),
-        i AS (SELECT n, unnest(range(n)) AS pos FROM n)
-        SELECT pos, CAST({draw_sql('pos')} % 32000 AS INTEGER) AS token,
-               CASE WHEN pos < CAST(floor(n * (1.0::DOUBLE - 0.05::DOUBLE)) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM i""",
 }

@@ -9,13 +9,13 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark import SparkFiles
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.session import materialize
+from blockloom.sources.storage import locate
 
 PAD_ID, EOS_ID, UNK_ID, FIRST_ID = 0, 1, 2, 3
 BYTE_VOCAB_SIZE = 256 + FIRST_ID
@@ -90,8 +90,6 @@ class VocabTokenizer:
     """Regex pieces looked up in a vocabulary table; unknown pieces become ``UNK_ID``."""
 
     name = "vocab"
-    # A vocabulary row is a short piece and an int; below this many rows a copy per executor is a few MB.
-    BROADCAST_ROWS = 200_000
 
     def __init__(self, vocabulary: DataFrame, size: int):
         self.vocabulary = vocabulary
@@ -100,41 +98,40 @@ class VocabTokenizer:
     def encode(self, docs: DataFrame, ord_col: str = "ord", text: str = "text") -> DataFrame:
         """Add ``ids`` and ``n_ids``, drop the text.
 
-        Documents are placed by their order once, as text. Lookup and regrouping of the pieces then stay in place.
+        The vocabulary, at most ``size`` short entries, goes to every task once; pieces are looked up where they are,
+        a whole Arrow batch at a time, so documents neither explode into rows nor move.
         """
+        rows = self.vocabulary.toArrow().select(["piece", "id"])
+        known, numbers = rows["piece"].combine_chunks(), np.append(rows["id"].to_numpy(), UNK_ID).astype(np.int32)
+
+        @F.arrow_udf("array<int>")
+        def look_up(batch: pa.Array) -> pa.Array:
+            found = pc.fill_null(pc.index_in(batch.flatten(), value_set=known), len(known)).to_numpy(zero_copy_only=False)
+            offsets = pa.array(batch.offsets.to_numpy() - batch.offsets[0].as_py(), pa.int32())
+            return pa.ListArray.from_arrays(offsets, pa.array(numbers[found]))
+
         carry = [c for c in docs.columns if c not in (text, ord_col)]
-        placed = docs.repartition(F.col(ord_col)).select(
-            ord_col, *carry, F.posexplode_outer(pieces(F.col(text))).alias("_pos", "piece")
-        )
-        table = self.vocabulary
-        if self.vocab_size <= self.BROADCAST_ROWS:
-            table = F.broadcast(table)
-        found = placed.join(table, "piece", "left")
-        entry = F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
-        grouped = found.groupBy(ord_col).agg(
-            *[F.first(c).alias(c) for c in carry],
-            F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), entry))).alias("_ids"),
-        )
-        return grouped.select(
-            ord_col, *carry, F.size("_ids").cast("long").alias("n_ids"),
-            F.transform("_ids", lambda e: e["id"]).alias("ids"),
-        )
+        found = F.coalesce(pieces(F.col(text)), F.array().cast("array<string>"))
+        coded = docs.select(ord_col, *carry, look_up(found).alias("ids"))
+        return coded.select(ord_col, *carry, F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 class FileTokenizer:
-    """Any ``tokenizer.json``, applied to Arrow batches; the file is shipped to every executor once."""
+    """Any ``tokenizer.json``, applied to Arrow batches; its text is broadcast, so files may share a name."""
 
     def __init__(self, spark: SparkSession, path: str):
-        spark.sparkContext.addFile(path)
-        self.name = self._file = path.rstrip("/").rsplit("/", 1)[-1]
-
         from tokenizers import Tokenizer
 
+        system, plain = locate(path)
+        with system.open_input_file(plain) as source:
+            spec = source.read().decode("utf-8")
+        self.name = path.rstrip("/").rsplit("/", 1)[-1]
         # A tokenizer that does not load is an error; nothing silently takes its place.
-        self.vocab_size = Tokenizer.from_file(SparkFiles.get(self._file)).get_vocab_size()
+        self.vocab_size = Tokenizer.from_str(spec).get_vocab_size()
+        self._spec = spark.sparkContext.broadcast(spec)
 
     def encode(self, docs: DataFrame, ord_col: str = "ord", text: str = "text") -> DataFrame:
-        file_name = self._file
+        spec = self._spec
         carry = [f for f in docs.schema.fields if f.name != text]
         schema = T.StructType(
             [*carry, T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -143,7 +140,7 @@ class FileTokenizer:
         def encode_batches(batches):
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(SparkFiles.get(file_name))
+            tokenizer = Tokenizer.from_str(spec.value)
             tokenizer.no_truncation()
             tokenizer.no_padding()
             for batch in batches:

@@ -10,16 +10,10 @@ from blockloom.sinks.token_files import write_token_files
 
 COMPRESSIONS = ("lz4", "zstd", "none")
 
-# A shard row is three short values, so this many are about 20 MB per executor; a shard is 50 million tokens.
-BROADCAST_SHARDS = 500_000
-
 
 def _with_split(blocks: DataFrame, shards: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Attach the split without moving the blocks; beyond the broadcast bound they are gathered again."""
-    on = [*keys, "shard_idx"]
-    if shards.count() <= BROADCAST_SHARDS:
-        return blocks.join(F.broadcast(shards), on)
-    return blocks.join(shards, on).repartition(*on)
+    """Attach the split without moving the blocks: they lie hashed by these keys, so only the shard table moves."""
+    return blocks.join(shards.hint("shuffle_hash"), [*keys, "shard_idx"])
 
 
 def write_block_shards(

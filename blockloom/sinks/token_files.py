@@ -2,7 +2,7 @@
 
 Rows arrive grouped by a ``file_name`` column; every file is written by one task into ``_staging`` and renamed
 at the commit of the job. A lost task leaves nothing behind but staging files, and a rerun gives the same files.
-Formats: ``arrow`` (training rows, one record batch per ``BATCH_ROWS`` rows) and ``flat`` (unsigned 32-bit ids).
+Formats: ``arrow`` (training rows in record batches of at most ``BATCH_ROWS`` rows) and ``flat`` (unsigned 32-bit ids).
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ from blockloom.sources.storage import list_files, locate, register_source
 
 SUFFIXES = (".arrow", ".ipc")
 ORDER_FIELDS = [("_file", pa.string()), ("_block", pa.int64()), ("_pos", pa.int64())]
+ROW_FIELD = ("_row", pa.int64())  # the place in the file; asked for with the option ``rows``
 
 
 class BatchRange(InputPartition):
@@ -28,6 +29,13 @@ def _open(uri: str) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(system.open_input_file(path))
 
 
+def _rows(uri: str, numbers: range) -> list[int]:
+    """Sizes of record batches, from their metadata alone."""
+    system, path = locate(uri)
+    reader = pa.ipc.open_file(system.open_input_file(path), options=pa.ipc.IpcReadOptions(included_fields=[]))
+    return [reader.get_batch(n).num_rows for n in numbers]
+
+
 class ArrowIpcReader(DataSourceReader):
     def __init__(self, files: list[tuple[str, int]], schema, split_bytes: int):
         self.files, self.names, self.split_bytes = files, schema.names, split_bytes
@@ -47,6 +55,7 @@ class ArrowIpcReader(DataSourceReader):
     def read(self, partition: BatchRange):
         reader = _open(partition.uri)
         last = reader.num_record_batches if partition.last is None else partition.last
+        row = sum(_rows(partition.uri, range(partition.first))) if "_row" in self.names else 0
         for number in range(partition.first, last):
             batch = reader.get_batch(number)
             n = batch.num_rows
@@ -54,7 +63,9 @@ class ArrowIpcReader(DataSourceReader):
                 "_file": pa.array([partition.uri] * n, pa.string()),
                 "_block": pa.array([number] * n, pa.int64()),
                 "_pos": pa.array(range(n), pa.int64()),
+                "_row": pa.array(range(row, row + n), pa.int64()),
             }
+            row += n
             columns = [order[c] if c in order else batch.column(c) for c in self.names]
             yield pa.RecordBatch.from_arrays(columns, names=self.names)
 
@@ -73,7 +84,8 @@ class ArrowIpcSource(DataSource):
 
     def schema(self):
         found = _open(self._files()[0][0]).schema
-        return from_arrow_schema(pa.schema([*found, *[pa.field(n, t) for n, t in ORDER_FIELDS]]))
+        order = [*ORDER_FIELDS, ROW_FIELD] if self.options.get("rows") == "true" else ORDER_FIELDS
+        return from_arrow_schema(pa.schema([*found, *[pa.field(n, t) for n, t in order]]))
 
     def reader(self, schema):
         return ArrowIpcReader(self._files(), schema, int(self.options.get("split_bytes", 256 << 20)))

@@ -16,23 +16,26 @@ from blockloom.sources.flat_tokens import read_flat_tokens
 SPLITS = ("train", "val")
 
 
+# A shard is known by the folder of its dataset, its split and its number.
+SHARD_KEYS = ["dataset", "split", "shard_idx"]
+SHARD_PATH = {
+    "parquet": r"^(.*)/split=(\w+)/shard_idx=(\d+)(?:/[^/]*)?$", "arrow": r"^(.*)/(\w+)_shard_(\d+)\.arrow$",
+}
+
+
 def _read_shards(spark: SparkSession, paths: list[str], layout: str) -> DataFrame:
-    """``(split, shard_idx, row, input_ids, labels, length)``; ``row`` is the position inside the shard."""
+    """``(*SHARD_KEYS, row, input_ids, labels, length)``; ``row`` is the position inside the shard."""
     if layout == "parquet":
         rows = spark.read.parquet(*paths)
-        place = F.regexp_extract(F.col("_metadata.file_path"), r"split=(\w+)/shard_idx=(\d+)", 1)
-        number = F.regexp_extract(F.col("_metadata.file_path"), r"split=(\w+)/shard_idx=(\d+)", 2)
-        row = F.col("_metadata.row_index")
+        path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     else:
-        rows = read_arrow(spark, *paths)
-        place = F.regexp_extract("_file", r"(\w+)_shard_(\d+)\.arrow$", 1)
-        number = F.regexp_extract("_file", r"(\w+)_shard_(\d+)\.arrow$", 2)
-        # Our shards have equal record batches but for the last one.
-        from blockloom.sinks.token_files import BATCH_ROWS
-
-        row = F.col("_block") * BATCH_ROWS + F.col("_pos")
+        rows = read_arrow(spark, *paths, rows="true")
+        path, row = F.col("_file"), F.col("_row")
+    dataset, split, number = (F.regexp_extract(path, SHARD_PATH[layout], group) for group in (1, 2, 3))
     return rows.select(
-        place.alias("split"), number.cast("long").alias("shard_idx"), row.alias("row"), "input_ids", "labels", "length"
+        # Spark and Arrow write local paths with different numbers of slashes.
+        F.regexp_replace(dataset, "^file:/+", "/").alias("dataset"), split.alias("split"),
+        number.cast("long").alias("shard_idx"), row.alias("row"), "input_ids", "labels", "length",
     )
 
 
@@ -51,18 +54,21 @@ def read_manifest_blocks(
         raise ValueError(f"no {split}_shards in {manifest_path}")
     if block_size is not None and first["block_size"] != block_size:
         warnings.warn(f"the manifest has block size {first['block_size']}, not {block_size}; using it", stacklevel=2)
-    layout = "arrow" if first["path"].endswith(".arrow") else "parquet"
-    below = r"/[^/]+\.arrow$" if layout == "arrow" else r"/split=[^/]+/shard_idx=[^/]+$"
-    # One folder per pooled dataset; of each only the listing is read.
-    folders = [r[0] for r in head.select(F.regexp_replace("path", below, "")).distinct().collect()]
-    patterns = [f"{f}/*.arrow" if layout == "arrow" else f"{f}/split={split}/*/*.parquet" for f in sorted(folders)]
-    patterns = [p for p in patterns if has_files(spark, p)]
-    paths = []
-    if patterns:
-        paths = [r["path"] for r in existing_shards(head, shard_files(spark, *patterns)).select("path").collect()]
-    if not paths:
+    parts = []
+    for layout, below in (("parquet", r"/split=[^/]+/shard_idx=[^/]+$"), ("arrow", r"/[^/]+\.arrow$")):
+        listed = head.where(F.col("path").endswith(".arrow") == (layout == "arrow"))
+        # One folder per pooled dataset; of each only the listing is read.
+        folders = [r[0] for r in listed.select(F.regexp_replace("path", below, "")).distinct().collect()]
+        patterns = [f"{f}/*.arrow" if layout == "arrow" else f"{f}/split={split}/*/*.parquet" for f in sorted(folders)]
+        patterns = [p for p in patterns if has_files(spark, p)]
+        if not patterns:
+            continue
+        paths = [r["path"] for r in existing_shards(listed, shard_files(spark, *patterns)).select("path").collect()]
+        if paths:
+            parts.append(_read_shards(spark, sorted(paths), layout))
+    if not parts:
         raise FileNotFoundError(f"none of the {split} shards in {manifest_path} exists")
-    return _read_shards(spark, sorted(paths), layout)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_dir_blocks(spark: SparkSession, directory: str, split: str = "train", layout: str = "parquet") -> DataFrame:

@@ -45,13 +45,18 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+# Records of any length, with NaN and the like; of repeated keys the last counts (see ``read_jsonl``).
+JSON_OPTIONS = {"mode": "PERMISSIVE", "maxStringLen": str((1 << 31) - 1), "allowNonNumericNumbers": "true"}
+
+
 def _json_objects(line: Column) -> Column:
-    value = F.try_parse_json(line)
+    value = F.from_json(line, "variant", JSON_OPTIONS)
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     """One JSON object per line; blank, broken and non-object lines are skipped."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     lines = _with_order(spark.read.text(list(paths)))
     text = strip(F.make_valid_utf8("value"))
     # A one-element list keeps the parse in one place; a filter after it would parse every line twice.
@@ -84,7 +89,23 @@ def read_json(spark: SparkSession, *paths: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-HEAD_BYTES = 1 << 16
+HEAD_CHUNK = 1 << 16
+
+
+def _head(source) -> str:
+    """The first record: up to the first line end that is not inside quotes."""
+    read = b""
+    while True:
+        chunk = source.read(HEAD_CHUNK)
+        read += chunk
+        quoted = False
+        for i, part in enumerate(read.split(b'"')):
+            quoted = i % 2 == 1
+            if not quoted and b"\n" in part:
+                end = sum(len(p) + 1 for p in read.split(b'"')[:i]) + part.index(b"\n")
+                return read[:end].decode("utf-8", "replace").rstrip("\r")
+        if not chunk:
+            return read.decode("utf-8", "replace").rstrip("\r")
 
 
 def _first_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -95,7 +116,7 @@ def _first_lines(spark: SparkSession, *paths: str) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, plain = locate(path)
                 with system.open_input_file(plain) as source:
-                    found.append(source.read(HEAD_BYTES).decode("utf-8", "replace").split("\n", 1)[0].rstrip("\r"))
+                    found.append(_head(source))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "head"])
 
     listing = spark.read.format("binaryFile").load(list(paths)).select("path")
