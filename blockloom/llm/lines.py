@@ -3,52 +3,180 @@
 A line is its set of distinct words. The words of a line are ordered by their count over all lines, rarest first (the
 counts of ``COUNT_CELLS`` hash cells, ties by hash: any one order for all lines is exact). Two sets of ``n`` and ``m``
 words with Jaccard similarity ``t`` or more share a word among their first ``n - ceil(t n) + 1`` and
-``m - ceil(t m) + 1``, so only these prefixes are posted. Pairs that meet are filtered by length and by what their
-places still allow, then verified on their whole sets. A line goes when an earlier line, by document id and place,
-matches it. Lines with equal sets are one set throughout, so copies are never paired with each other.
+``m - ceil(t m) + 1``, so only these prefixes are posted. Pairs that meet are filtered by length, by what their places
+still allow, and by a sketch: bit ``h mod 64`` flips for every word of a set, so two sketches differ in at most as many
+bits as their sets differ in words. The rest is verified on whole sets. A line goes when an earlier line, by document id
+and place, matches it. Lines with equal sets are one set throughout, so copies are never paired with each other.
+
+The words of lines are made from the texts wherever they are needed, and never written for all lines.
 
 Defined results: a null text counts as empty; lines without words are kept; a null ``doc_id`` comes last; repeated rows
-follow each other in any order, and of equal lines the first stays; an empty table gives an empty result. Words are told
-apart by 64-bit hashes.
+follow each other in any order, and of equal lines the first stays; an empty table gives an empty result. Words and
+sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from blockloom.llm.common import WORD, numbered, text_of
+from blockloom.llm.common import numbered, text_of
 from blockloom.session import materialize
 
 SIMILARITY = (4, 5)
-COUNT_CELLS = 1 << 18
+CELL_SHIFT = 46
+COUNT_CELLS = 1 << 64 - CELL_SHIFT
 COUNT_PART = 1 << 12
+SLICE_BYTES = 1 << 22
+#: Sets a task remembers to have sent; it forgets them when full, which changes no result.
+KNOWN_SETS = 500_000
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
-    """The written table ``_row, doc_id, line, words, set_id``: each line with its sorted distinct word hashes."""
-    rows = materialize(numbered(docs.select("doc_id", F.split(text_of(), "\n").alias("_lines"))).select(
-        "_row", "doc_id", F.transform("_lines", lambda line: F.array_sort(F.array_distinct(F.transform(
-            F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))))).alias("sets")), "line-sets")
-    return rows.select("_row", "doc_id", F.posexplode("sets").alias("line", "words")).select(
-        "_row", "doc_id", "line", "words", F.xxhash64("words").alias("set_id"))
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 64, 256, np.uint64)
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` for ``i < n``, in 64 bits."""
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over random values of its bytes, then mixed.
+
+    Words are hashed some megabytes at a time, all at once from running sums.
+    """
+    result = np.empty(starts.size, np.uint64)
+    cuts = np.flatnonzero(np.diff(starts // SLICE_BYTES)) + 1
+    for i, j in zip([0, *cuts], [*cuts, starts.size]):
+        if j > i:
+            low, high = starts[i], ends[j - 1]
+            size = 1 << int(high - low).bit_length()
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTES[data[low:high]] * _powers(_BASE, size)[:high - low], out=sums[1:])
+            back = _powers(pow(_BASE, -1, 1 << 64), size)
+            result[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * back[starts[i:j] - low]
+    return _mixed(result)
+
+
+def _line_slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """The lines of texts, some megabytes at a time: the text of each line, its place there, and the lines."""
+    lists = pc.split_pattern(texts, "\n")
+    sizes = np.diff(lists.offsets.to_numpy())
+    lines = lists.flatten()
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    place = np.arange(owner.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    upto = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    cuts = np.flatnonzero(np.diff(upto // SLICE_BYTES)) + 1
+    for start, stop in zip([0, *cuts], [*cuts, owner.size]):
+        if stop > start:
+            yield owner[start:stop], place[start:stop], lines[start:stop]
+
+
+def _word_sets(lines: pa.Array, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The set size of each line, and the word hashes of all sets, one set after the other.
+
+    The words of a set go by hash or, with the place of each hash cell, by the place of their cells and hash.
+    """
+    offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset:lines.offset + len(lines) + 1].astype(np.int64)
+    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~_IS_SPACE[data]
+    edge = np.zeros(data.size + 1, bool)  # where a line starts or ends
+    edge[offsets] = True
+    starts = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])))
+    ends = np.flatnonzero(inside & (edge[1:] | np.concatenate([~inside[1:], [True]]))) + 1
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    words = _hashed(data, starts, ends)
+    if places is not None:
+        words = _moved(words, places)
+    order = np.argsort(words)
+    words = words[order]
+    new = np.diff(words, prepend=~words[:1]) != 0
+    rank = np.cumsum(new) - 1
+    bits = int(rank.size).bit_length()
+    keys = (owner[order] << bits) + rank
+    keys.sort()
+    keys = keys[np.diff(keys, prepend=-1) > 0]
+    words = words[new][keys & ((1 << bits) - 1)]
+    if places is not None:
+        words = _moved(words, np.argsort(places))
+    return np.bincount(keys >> bits, minlength=len(lines)), words
 
 
 def _cell(words: np.ndarray) -> np.ndarray:
-    return (words.view(np.uint64) >> np.uint64(46)).astype(np.int64)
+    return (words >> np.uint64(CELL_SHIFT)).astype(np.int64)
+
+
+def _moved(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The hashes with their cells, the upper bits, replaced by the places of the cells."""
+    return places[_cell(words)].astype(np.uint64) << np.uint64(CELL_SHIFT) | words & np.uint64((1 << CELL_SHIFT) - 1)
+
+
+def _per_set(sizes: np.ndarray, values: np.ndarray, combine: np.ufunc) -> np.ndarray:
+    """The values of each set combined; 0 for an empty set."""
+    result = np.zeros(sizes.size, np.uint64)
+    held = sizes > 0
+    if held.any():
+        result[held] = combine.reduceat(values, (np.cumsum(sizes) - sizes)[held])
+    return result
+
+
+def _set_ids(sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return _per_set(sizes, words, np.add).view(np.int64)
+
 
+def _list_array(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-def word_counts(lines: DataFrame) -> np.ndarray:
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(text_of().alias("text"))
+
+
+def line_sets(docs: DataFrame) -> DataFrame:
+    """The written table ``_row, doc_id, line, n, set_id``: each line with the number of its distinct words."""
+    rows = numbered(docs.select("doc_id", text_of().alias("text"))).select("_row", "doc_id", "text")
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("line", T.IntegerType()),
+                           T.StructField("n", T.IntegerType()), T.StructField("set_id", T.LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, place, lines in _line_slices(batch.column(2)):
+                sizes, words = _word_sets(lines)
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)),
+                    pa.array(sizes.astype(np.int32)), pa.array(_set_ids(sizes, words))],
+                    ["_row", "doc_id", "line", "n", "set_id"])
+
+    return materialize(rows.mapInArrow(each, schema), "line-sets")
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
     """Counts of words by hash cell, over all lines. Tasks send their counts in parts, so no task adds up all cells."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNT_CELLS, np.int64)
         for batch in batches:
-            words = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(_cell(words), minlength=COUNT_CELLS)
+            for _, _, lines in _line_slices(batch.column(0)):
+                total += np.bincount(_cell(_word_sets(lines)[1]), minlength=COUNT_CELLS)
         parts = total.reshape(-1, COUNT_PART)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
@@ -61,34 +189,74 @@ def word_counts(lines: DataFrame) -> np.ndarray:
                 total += np.frombuffer(counts.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 
-    sums = lines.select("words").mapInArrow(each, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    sums = _texts(docs).mapInArrow(each, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
     result = np.zeros(COUNT_CELLS, np.int64)
     for row in sums.toLocalIterator():  # COUNT_CELLS numbers, whatever the input
         result[row["part"] * COUNT_PART:(row["part"] + 1) * COUNT_PART] = np.frombuffer(row["counts"], np.int64)
     return result
 
 
-def postings(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``word, set_id, n, at``: the prefix words of each set with their places, rarest first."""
-    known = sets.sparkSession.sparkContext.broadcast(counts)
+class _Unsent:
+    """Which sets of a slice this task has not sent yet, as far as it remembers."""
+
+    def __init__(self) -> None:
+        self.known: set[int] = set()
+
+    def __call__(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        if len(self.known) > KNOWN_SETS:
+            self.known.clear()
+        _, first = np.unique(ids, return_index=True)
+        new = np.zeros(ids.size, bool)
+        new[[i for i in first if sizes[i] and ids[i] not in self.known]] = True
+        self.known.update(ids[new].tolist())
+        return new
+
+
+def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``word, set_id, n, sketch, at``: the prefix words (32 bits) of each distinct set with their places, rarest first.
+
+    Two words of the same 32 bits only make more pairs meet. The prefixes are gathered by set first, so a line repeated
+    all over is posted once.
+    """
+    places = np.empty(COUNT_CELLS, np.int64)
+    places[np.argsort(counts, kind="stable")] = np.arange(COUNT_CELLS)
+    known = docs.sparkSession.sparkContext.broadcast(places)
     over, under = SIMILARITY
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsent = _Unsent()
+        for batch in batches:
+            for _, _, lines in _line_slices(batch.column(0)):
+                sizes, words = _word_sets(lines, known.value)
+                ids = _set_ids(sizes, words)
+                sketch = _per_set(sizes, np.uint64(1) << (words & np.uint64(63)), np.bitwise_xor).view(np.int64)
+                new = unsent(sizes, ids)
+                prefix = np.where(new, sizes - (over * sizes + under - 1) // under + 1, 0)
+                at = np.arange(words.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                posted = words[at < np.repeat(prefix, sizes)].astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[new]), pa.array(sizes[new].astype(np.int32)), pa.array(sketch[new]),
+                    _list_array(prefix[new], pa.array(posted))], ["set_id", "n", "sketch", "prefix"])
+
+    sets = _texts(docs).mapInArrow(each, "set_id long, n int, sketch long, prefix array<int>").dropDuplicates(["set_id"])
+    return sets.select("set_id", "n", "sketch", F.posexplode("prefix").alias("at", "word"))
+
+
+def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``set_id, words``: the word hashes of the wanted sets."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsent = _Unsent()
         for batch in batches:
-            lists = batch.column(1)
-            words = lists.flatten().to_numpy(zero_copy_only=False)
-            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            owner = np.repeat(np.arange(n.size), n)
-            order = np.lexsort((words, known.value[_cell(words)], owner))
-            at = np.arange(words.size) - np.repeat(np.cumsum(n) - n, n)
-            prefix = (n - (over * n + under - 1) // under + 1)[owner]
-            kept = at < prefix
-            ids = batch.column(0).to_numpy()[owner[kept]]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(words[order][kept]), pa.array(ids), pa.array(n[owner[kept]].astype(np.int32)),
-                pa.array(at[kept].astype(np.int32))], ["word", "set_id", "n", "at"])
-
-    return sets.select("set_id", "words").mapInArrow(each, "word long, set_id long, n int, at int")
+            for _, _, lines in _line_slices(batch.column(0)):
+                sizes, words = _word_sets(lines)
+                ids = _set_ids(sizes, words)
+                new = unsent(sizes, ids)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[new]), _list_array(sizes[new], pa.array(words[np.repeat(new, sizes)].view(np.int64)))],
+                    ["set_id", "words"])
+
+    sets = _texts(docs).mapInArrow(each, "set_id long, words array<long>")
+    return sets.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def _enough(a: Column, b: Column, shared: Column) -> Column:
@@ -97,22 +265,19 @@ def _enough(a: Column, b: Column, shared: Column) -> Column:
     return shared * (over + under) >= (a + b) * over
 
 
-def similar_sets(lines: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different sets at the similarity or more, ``a`` the one with the smaller id."""
-    lines = lines.where(F.size("words") > 0)
-    index = postings(lines, word_counts(lines)).distinct()
-    left = index.select("word", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    right = index.select("word", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+def similar_sets(docs: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different sets of lines at the similarity or more, ``a`` the one with the smaller id."""
+    index = postings(docs, word_counts(docs))
+    left, right = (index.select("word", *[F.col(c).alias(c + side) for c in ("set_id", "n", "sketch", "at")]) for side in "ab")
     over, under = SIMILARITY
-    left_after = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    before = F.least("ia", "ib")
-    pairs = left.join(right, (left["word"] == right["word"]) & (F.col("a") < F.col("b"))
-                      & (F.col("na") * under >= F.col("nb") * over) & (F.col("nb") * under >= F.col("na") * over)
-                      & _enough(F.col("na"), F.col("nb"), left_after + before)).select("a", "b").distinct()
-    pairs = materialize(pairs, "line-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "line-wanted")
-    words = materialize(
-        lines.select("set_id", "words").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "line-words")
+    na, nb = F.col("na"), F.col("nb")
+    rest = F.least(na - F.col("ata"), nb - F.col("atb")) + F.least("ata", "atb")
+    differing = F.bit_count(F.col("sketcha").bitwiseXOR(F.col("sketchb")))
+    pairs = left.join(right, (left["word"] == right["word"]) & (F.col("set_ida") < F.col("set_idb"))
+                      & (na * under >= nb * over) & (nb * under >= na * over) & _enough(na, nb, rest)
+                      & (differing * (over + under) <= (na + nb) * (under - over)))
+    pairs = materialize(pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")).distinct(), "line-pairs")
+    words = materialize(words_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()), "line-words")
     return (
         pairs.join(words.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")
         .join(words.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
@@ -125,8 +290,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = line_sets(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("_row").alias("row"), F.col("line").alias("line"))
     firsts = materialize(
-        lines.where(F.size("words") > 0).groupBy("set_id").agg(F.min(place).alias("first"), F.count("*").alias("_lines")), "line-firsts")
-    pairs = materialize(similar_sets(lines), "line-links")
+        lines.where("n > 0").groupBy("set_id").agg(F.min(place).alias("first"), F.count("*").alias("_lines")), "line-firsts")
+    pairs = materialize(similar_sets(docs), "line-links")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     earliest = both.join(firsts.select(F.col("set_id").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(
         F.min("other").alias("other"))
@@ -136,7 +301,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     often = firsts.where("_lines > 1").select("set_id")
     removing = materialize(known.join(often.withColumn("_often", F.lit(True)), "set_id", "left").where("_often OR matched").drop("_often"), "line-removing")
     gone = (
-        lines.select("_row", "doc_id", "line", "set_id").join(removing, "set_id")
+        lines.where("n > 0").select("_row", "doc_id", "line", "set_id").join(removing, "set_id")
         .where(F.col("matched") | (place != F.col("first")))
         .groupBy("_row").agg(F.array_sort(F.collect_list("line")).alias("removed"))
     )
