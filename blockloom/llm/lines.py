@@ -6,13 +6,15 @@ words with Jaccard similarity ``t`` or more share a word among their first ``n -
 ``m - ceil(t m) + 1``, so only these prefixes are posted. Pairs that meet are filtered by length, by what their places
 still allow, and by a sketch: bit ``h mod 64`` flips for every word of a set, so two sketches differ in at most as many
 bits as their sets differ in words. The rest is verified on whole sets. A line goes when an earlier line, by document id
-and place, matches it. Lines with equal sets are one set throughout, so copies are never paired with each other.
+and place, matches it. Lines with equal sets are one set throughout, so copies are never paired with each other. Of a
+large group of near copies most need one look: each set is first compared with the earliest set of the same least hash,
+and only sets that no such set matches look for an earlier one among all.
 
 The words of lines are made from the texts wherever they are needed, and never written for all lines.
 
-Defined results: a null text counts as empty; lines without words are kept; a null ``doc_id`` comes last; repeated rows
-follow each other in any order, and of equal lines the first stays; an empty table gives an empty result. Words and
-sets are told apart by 64-bit hashes.
+Defined results: a null text counts as empty; lines without words are kept; a ``doc_id`` that is no whole number comes
+last; repeated rows follow each other in any order, and of equal lines the first stays; an empty table gives an empty
+result. Words and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.llm.common import numbered, text_of
+from blockloom.llm.common import numbered, stream_starts, text_of
 from blockloom.session import materialize
 
 SIMILARITY = (4, 5)
@@ -35,8 +37,12 @@ CELL_SHIFT = 46
 COUNT_CELLS = 1 << 64 - CELL_SHIFT
 COUNT_PART = 1 << 12
 SLICE_BYTES = 1 << 22
+#: Added to the places of lines whose document has no whole-number id.
+LAST = 1 << 60
 #: Sets a task remembers to have sent; it forgets them when full, which changes no result.
 KNOWN_SETS = 500_000
+#: Least hashes by which a set meets an earliest set; more of them leave fewer sets to the join over all.
+LEAST = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -212,11 +218,10 @@ class _Unsent:
         return new
 
 
-def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``word, set_id, n, sketch, at``: the prefix words (32 bits) of each distinct set with their places, rarest first.
+def distinct_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``set_id, n, sketch, least, prefix``: each distinct set once, with the 32 bits of its prefix words, rarest first.
 
-    Two words of the same 32 bits only make more pairs meet. The prefixes are gathered by set first, so a line repeated
-    all over is posted once.
+    Two words of the same 32 bits only make more pairs meet.
     """
     places = np.empty(COUNT_CELLS, np.int64)
     places[np.argsort(counts, kind="stable")] = np.arange(COUNT_CELLS)
@@ -230,16 +235,18 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 sizes, words = _word_sets(lines, known.value)
                 ids = _set_ids(sizes, words)
                 sketch = _per_set(sizes, np.uint64(1) << (words & np.uint64(63)), np.bitwise_xor).view(np.int64)
+                least = np.stack([_per_set(sizes, words * np.uint64(m), np.minimum) for m in LEAST], axis=1).view(np.int64)
                 new = unsent(sizes, ids)
                 prefix = np.where(new, sizes - (over * sizes + under - 1) // under + 1, 0)
                 at = np.arange(words.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 posted = words[at < np.repeat(prefix, sizes)].astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[new]), pa.array(sizes[new].astype(np.int32)), pa.array(sketch[new]),
-                    _list_array(prefix[new], pa.array(posted))], ["set_id", "n", "sketch", "prefix"])
+                    _list_array(np.full(new.sum(), len(LEAST)), pa.array(least[new].ravel())),
+                    _list_array(prefix[new], pa.array(posted))], ["set_id", "n", "sketch", "least", "prefix"])
 
-    sets = _texts(docs).mapInArrow(each, "set_id long, n int, sketch long, prefix array<int>").dropDuplicates(["set_id"])
-    return sets.select("set_id", "n", "sketch", F.posexplode("prefix").alias("at", "word"))
+    sets = _texts(docs).mapInArrow(each, "set_id long, n int, sketch long, least array<long>, prefix array<int>")
+    return sets.dropDuplicates(["set_id"])
 
 
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,48 +272,69 @@ def _enough(a: Column, b: Column, shared: Column) -> Column:
     return shared * (over + under) >= (a + b) * over
 
 
-def similar_sets(docs: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different sets of lines at the similarity or more, ``a`` the one with the smaller id."""
-    index = postings(docs, word_counts(docs))
-    left, right = (index.select("word", *[F.col(c).alias(c + side) for c in ("set_id", "n", "sketch", "at")]) for side in "ab")
+def _may_match(na: Column, sketch_a: Column, nb: Column, sketch_b: Column) -> Column:
+    """The filters by length and by sketch."""
     over, under = SIMILARITY
-    na, nb = F.col("na"), F.col("nb")
-    rest = F.least(na - F.col("ata"), nb - F.col("atb")) + F.least("ata", "atb")
-    differing = F.bit_count(F.col("sketcha").bitwiseXOR(F.col("sketchb")))
-    pairs = left.join(right, (left["word"] == right["word"]) & (F.col("set_ida") < F.col("set_idb"))
-                      & (na * under >= nb * over) & (nb * under >= na * over) & _enough(na, nb, rest)
-                      & (differing * (over + under) <= (na + nb) * (under - over)))
-    pairs = materialize(pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")).distinct(), "line-pairs")
-    words = materialize(words_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()), "line-words")
-    return (
+    differing = F.bit_count(sketch_a.bitwiseXOR(sketch_b))
+    return (na * under >= nb * over) & (nb * under >= na * over) & (differing * (over + under) <= (na + nb) * (under - over))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """The written table of the sets ``b`` that reach the similarity with the ``a`` of some pair."""
+    pairs = materialize(pairs.distinct(), f"{label}-pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), f"{label}-wanted")
+    words = materialize(words_of(docs, wanted), f"{label}-words")
+    matching = (
         pairs.join(words.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")
         .join(words.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
-        .where(_enough(F.size("wa"), F.size("wb"), F.size(F.array_intersect("wa", "wb")))).select("a", "b")
+        .where(_enough(F.size("wa"), F.size("wb"), F.size(F.array_intersect("wa", "wb"))))
     )
+    return materialize(matching.select(F.col("b").alias("set_id")).distinct(), f"{label}-matched")
+
+
+def matched_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``set_id`` of each set that matches another one with an earlier ``first`` place."""
+    sets = materialize(
+        distinct_sets(docs, word_counts(docs)).join(firsts.select("set_id", "first"), "set_id"), "line-distinct")
+    keyed = sets.select("set_id", "n", "sketch", "first", F.explode("least").alias("key"))
+    earliest = keyed.groupBy("key").agg(F.min(F.struct("first", "set_id", "n", "sketch")).alias("e"))
+    near = _verified(docs, keyed.join(earliest, "key").where(
+        (F.col("e.first") < F.col("first")) & _may_match(F.col("e.n"), F.col("e.sketch"), F.col("n"), F.col("sketch"))
+    ).select(F.col("e.set_id").alias("a"), F.col("set_id").alias("b")), "line-near")
+
+    # Both sides of the join are the same postings, moved once: the place of a matched set is marked, not filtered out.
+    index = sets.join(near.withColumn("done", F.lit(1)), "set_id", "left").select(
+        "set_id", "n", "sketch", (F.col("first") * 2 + F.coalesce("done", F.lit(0))).alias("order"),
+        F.posexplode("prefix").alias("at", "word"))
+    left, right = (index.select("word", *[F.col(c).alias(c + side) for c in ("set_id", "n", "sketch", "at", "order")]) for side in "ab")
+    na, nb = F.col("na"), F.col("nb")
+    rest = F.least(na - F.col("ata"), nb - F.col("atb")) + F.least("ata", "atb")
+    searched = F.when(F.col("orderb") % 2 == 0, F.col("orderb")).otherwise(-1)
+    pairs = left.join(right, (left["word"] == right["word"]) & (F.col("ordera") < searched) & _enough(na, nb, rest)
+                      & _may_match(na, F.col("sketcha"), nb, F.col("sketchb")))
+    others = _verified(docs, pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")), "line-other")
+    return near.unionByName(others)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """Per row: ``_row, doc_id, n_lines, n_removed, removed`` (places of the lines that an earlier line matches)."""
     lines = line_sets(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("_row").alias("row"), F.col("line").alias("line"))
-    firsts = materialize(
-        lines.where("n > 0").groupBy("set_id").agg(F.min(place).alias("first"), F.count("*").alias("_lines")), "line-firsts")
-    pairs = materialize(similar_sets(docs), "line-links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earliest = both.join(firsts.select(F.col("set_id").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(
-        F.min("other").alias("other"))
-    known = firsts.join(earliest, firsts["set_id"] == earliest["a"], "left").select(
-        "set_id", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("matched"))
+    rows = lines.groupBy("_row").agg(F.any_value("doc_id").alias("doc_id"), F.count("*").alias("n_lines"))
+    rows = materialize(stream_starts(rows, "n_lines", ties=("_row",)), "line-rows")
+    start = F.when(F.col("doc_id").cast("long").isNull(), F.col("start") + LAST).otherwise(F.col("start"))
+    worded = lines.where("n > 0").join(rows.select("_row", start.alias("start")), "_row").select(
+        "_row", "line", "set_id", (F.col("start") + F.col("line")).alias("place"))
+    firsts = materialize(worded.groupBy("set_id").agg(F.min("place").alias("first"), F.count("*").alias("_lines")), "line-firsts")
     # Only sets that remove a line somewhere: met more than once, or matched by an earlier set.
-    often = firsts.where("_lines > 1").select("set_id")
-    removing = materialize(known.join(often.withColumn("_often", F.lit(True)), "set_id", "left").where("_often OR matched").drop("_often"), "line-removing")
+    matched = matched_sets(docs, firsts).withColumn("matched", F.lit(True))
+    removing = materialize(
+        firsts.join(matched, "set_id", "left").where("_lines > 1 OR matched").select(
+            "set_id", "first", F.coalesce("matched", F.lit(False)).alias("matched")), "line-removing")
     gone = (
-        lines.where("n > 0").select("_row", "doc_id", "line", "set_id").join(removing, "set_id")
-        .where(F.col("matched") | (place != F.col("first")))
+        worded.join(removing, "set_id").where(F.col("matched") | (F.col("place") != F.col("first")))
         .groupBy("_row").agg(F.array_sort(F.collect_list("line")).alias("removed"))
     )
-    counts = lines.groupBy("_row").agg(F.any_value("doc_id").alias("doc_id"), F.count("*").alias("n_lines"))
-    return counts.join(gone, "_row", "left").select(
+    return rows.join(gone, "_row", "left").select(
         "_row", "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
