@@ -19,12 +19,16 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id", "url",
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.struct(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.lit(0).alias("zero")).alias("body"),
+        F.struct(
+            F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"),
+            F.array_join(F.regexp_extract_all("html", F.lit("<p>([^<]*)")), "\n").alias("paragraphs"), F.lit(0).alias("zero"),
+        ).alias("body"),
     )
 
 
 _PAGES = """pg AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-                          regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages)"""
+                          regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading,
+                          array_to_string(regexp_extract_all(html, '<p>([^<]*)', 1), chr(10)) AS paragraphs FROM pages)"""
 
 
 def _messages(spark: SparkSession, sf_dir: str, role: str, content: str, field: str) -> DataFrame:
@@ -38,14 +42,13 @@ def _messages(spark: SparkSession, sf_dir: str, role: str, content: str, field:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(messages.alias(field))
 
 
-def _roles(spark: SparkSession, sf_dir: str, option: str, answer: str) -> DataFrame:
-    """First user, system and assistant turn of a conversation as an instruction record."""
-    def first(role: str):
-        return F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        first("user").alias("instruction"), first("system").alias(option), first("assistant").alias(answer)
-    )
+def _asked(spark: SparkSession, sf_dir: str, option: str, answer: str) -> DataFrame:
+    """Every user turn with the assistant turn right after it, and the conversation's first system turn, if any."""
+    turns = table(spark, sf_dir, "conversations")
+    told = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias(answer))
+    given = turns.where("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias(option))
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("instruction"))
+    return asked.join(told, ["conv_id", "turn"]).join(given, "conv_id", "left")
 
 
 def nested_path(spark, sf_dir):
@@ -124,7 +127,7 @@ def preset_text(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-JOIN = {"type": "join", "fields": ["title", "body.heading", "url"], "separator": "\n\n", "labels": {"url": "Source"}}
+JOIN = {"type": "join", "fields": ["title", "body.heading", "body.paragraphs", "url"], "separator": "\n\n", "labels": {"url": "Source"}}
 
 
 def extract_join(spark, sf_dir):
@@ -135,40 +138,42 @@ def extract_join(spark, sf_dir):
 
 
 def extract_coalesce(spark, sf_dir):
-    spec = {"type": "coalesce", "fields": ["missing", "body.heading", "title", "url"]}
+    spec = {"type": "coalesce", "fields": ["missing", "body.paragraphs", "body.heading", "title", "url"]}
     return extract(_pages(spark, sf_dir), spec, carry=("page_id",)).select("page_id", *text_facts())
 
 
 def extract_template(spark, sf_dir):
     spec = {
-        "type": "template", "template": "Title: {title}\n\n{body_heading}|{heading} {{{zero}}} {url}",
-        "fields": ["title", "body.heading", "body.zero", "url"],
+        "type": "template", "template": "Title: {title}\n\n{body_heading}|{heading} {{{zero}}} {url}\n{body_paragraphs}",
+        "fields": ["title", "body.heading", "body.zero", "url", "body.paragraphs"],
     }
     return extract(_pages(spark, sf_dir), spec, carry=("page_id",)).select("page_id", *text_facts())
 
 
 def extract_alpaca(spark, sf_dir):
-    records = _roles(spark, sf_dir, "input", "output")
-    return extract(records, PRESETS["alpaca"], carry=("conv_id",)).select("conv_id", *text_facts())
+    records = _asked(spark, sf_dir, "input", "output")
+    return extract(records, PRESETS["alpaca"], carry=("conv_id", "turn")).select("conv_id", "turn", *text_facts())
 
 
 def extract_dolly(spark, sf_dir):
-    records = _roles(spark, sf_dir, "context", "response")
-    return extract(records, PRESETS["dolly"], carry=("conv_id",)).select("conv_id", *text_facts())
+    records = _asked(spark, sf_dir, "context", "response")
+    return extract(records, PRESETS["dolly"], carry=("conv_id", "turn")).select("conv_id", "turn", *text_facts())
 
 
 def _section_sql(heading: str) -> str:
-    def first(role: str) -> str:
-        return f"coalesce({strip_sql(f'arg_min(text, turn) FILTER (WHERE role = {role!r})')}, '')"
+    def clean(text: str) -> str:
+        return f"coalesce({strip_sql(text)}, '')"
 
     return f"""
-    WITH r AS (SELECT conv_id, {first('user')} AS asked, {first('system')} AS given, {first('assistant')} AS told
-               FROM conversations GROUP BY conv_id),
-         x AS (SELECT conv_id, '### Instruction:' || chr(10) || asked
+    WITH s AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id),
+         r AS (SELECT u.conv_id, u.turn, {clean('u.text')} AS asked, {clean('s.text')} AS given, {clean('a.text')} AS told
+               FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+               LEFT JOIN s ON s.conv_id = u.conv_id WHERE u.role = 'user'),
+         x AS (SELECT conv_id, turn, '### Instruction:' || chr(10) || asked
                  || CASE WHEN given <> '' THEN chr(10) || chr(10) || '### {heading}:' || chr(10) || given ELSE '' END
                  || chr(10) || chr(10) || '### Response:' || chr(10) || told AS text
                FROM r WHERE asked <> '' AND told <> '')
-    SELECT conv_id, {TEXT_FACTS} FROM x"""
+    SELECT conv_id, turn, {TEXT_FACTS} FROM x"""
 
 
 def _flags(df: DataFrame, key: str, tests: dict[str, dict], root: str | None = None) -> DataFrame:
@@ -287,7 +292,8 @@ QUERIES = {
 _HEADING = strip_sql("heading")
 _TITLE = strip_sql("title")
 _URL = strip_sql("url")
-_JOINED = f"""concat_ws(chr(10) || chr(10), nullif({_TITLE}, ''), nullif({_HEADING}, ''), 'Source: ' || nullif({_URL}, ''))"""
+_PARAGRAPHS = strip_sql("paragraphs")
+_JOINED = f"""concat_ws(chr(10) || chr(10), nullif({_TITLE}, ''), nullif({_HEADING}, ''), nullif({_PARAGRAPHS}, ''), 'Source: ' || nullif({_URL}, ''))"""
 
 ORACLES = {
     "nested_path": """
@@ -316,15 +322,15 @@ ORACLES = {
         WITH {_PAGES},
              x AS (SELECT page_id, false AS all_fields, {strip_sql(_JOINED)} AS text FROM pg
                    UNION ALL SELECT page_id, true, {strip_sql(_JOINED)} FROM pg
-                   WHERE {_TITLE} <> '' AND {_HEADING} <> '' AND {_URL} <> '')
+                   WHERE {_TITLE} <> '' AND {_HEADING} <> '' AND {_PARAGRAPHS} <> '' AND {_URL} <> '')
         SELECT page_id, all_fields, {TEXT_FACTS} FROM x WHERE text <> ''""",
     "extract_coalesce": f"""
         WITH {_PAGES},
-             x AS (SELECT page_id, coalesce(nullif({_HEADING}, ''), nullif({_TITLE}, ''), nullif({_URL}, '')) AS text FROM pg)
+             x AS (SELECT page_id, coalesce(nullif({_PARAGRAPHS}, ''), nullif({_HEADING}, ''), nullif({_TITLE}, ''), nullif({_URL}, '')) AS text FROM pg)
         SELECT page_id, {TEXT_FACTS} FROM x WHERE text <> ''""",
     "extract_template": f"""
         WITH {_PAGES},
-             x AS (SELECT page_id, {strip_sql(f"'Title: ' || {_TITLE} || chr(10) || chr(10) || {_HEADING} || '|' || {_HEADING} || ' {{}} ' || {_URL}")} AS text FROM pg)
+             x AS (SELECT page_id, {strip_sql(f"'Title: ' || {_TITLE} || chr(10) || chr(10) || {_HEADING} || '|' || {_HEADING} || ' {{}} ' || {_URL} || chr(10) || {_PARAGRAPHS}")} AS text FROM pg)
         SELECT page_id, {TEXT_FACTS} FROM x WHERE text <> ''""",
     "extract_alpaca": _section_sql("Input"),
     "extract_dolly": _section_sql("Context"),
