@@ -290,3 +290,20 @@ def test_licenses(spark, docs, empty):
     assert found == {(1, "ISC", None), (2, "MIT", 1)}
     assert {r["doc_id"] for r in licenses.license_hits(docs, known).collect()} == {18}
     assert licenses.license_hits(empty, known).count() == 0
+
+
+def test_groups_of_near_copies_match_the_plain_version(spark):
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, "\n".join(" ".join(w if draw.random() > 0.06 else f"x{draw.randrange(400)}" for w in base) for _ in range(2)))
+            for i in range(60)]
+    found = {r["doc_id"]: r["removed"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, expected = [], {}
+    for doc_id, text in rows:
+        expected[doc_id] = []
+        for at, line in enumerate(text.split("\n")):
+            words = set(line.split())
+            if any(9 * len(words & other) >= 4 * (len(words) + len(other)) for other in seen):
+                expected[doc_id].append(at)
+            seen.append(words)
+    assert found == expected and any(expected.values()) and not all(len(v) == 2 for v in expected.values())
