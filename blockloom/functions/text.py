@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from blockloom.fixed import WHITESPACE
 
-NUMERIC_KINDS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
+INTEGRAL_KINDS = ("TINYINT", "SMALLINT", "INT", "BIGINT")
+NUMERIC_KINDS = (*INTEGRAL_KINDS, "FLOAT", "DOUBLE")
 
 
 def strip(text: Column) -> Column:

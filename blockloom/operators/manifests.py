@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.fixed import COMBINED_KEYS, MANIFEST_KEYS
+from blockloom.sources.storage import locate
 
 # All keys with a stable type, so manifests of any origin read alike.
 MANIFEST_SCHEMA = """
@@ -81,6 +82,20 @@ def write_manifest(row: DataFrame, directory: str) -> None:
     row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{directory}/manifest.json")
 
 
+def write_manifest_files(rows: DataFrame, path: Column, keys: tuple[str, ...]) -> None:
+    """Write each row, without its keys, as a JSON file of its own; a repeated task writes the same file."""
+    body = F.to_json(F.struct(*[c for c in rows.columns if c not in keys]), {"ignoreNullFields": "false"})
+
+    def write(found) -> None:
+        for name, text in found:
+            system, plain = locate(name)
+            system.create_dir(plain.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(plain) as out:
+                out.write(text.encode("utf-8"))
+
+    rows.select(path, body).foreachPartition(write)
+
+
 def read_manifests(spark: SparkSession, directories: list[str]) -> DataFrame:
     """``(input_order, input_dir, …manifest)``; directories without a manifest are left out."""
     order = {d.rstrip("/"): i for i, d in enumerate(directories)}

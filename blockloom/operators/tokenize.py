@@ -23,6 +23,10 @@ BYTE_VOCAB_SIZE = 256 + FIRST_ID
 # Fixed value: what counts as one piece for the vocabulary tokenizer.
 PIECE_PATTERN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
+# What public tokenizers call their end and padding tokens, the first that is there counts.
+END_TOKENS = ("</s>", "<|endoftext|>", "<|end_of_text|>", "<eos>", "[SEP]")
+PAD_TOKENS = ("<pad>", "[PAD]", "<|pad|>", "<|padding|>")
+
 
 
 def byte_tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +56,7 @@ class ByteTokenizer:
 
     name = "bytes"
     vocab_size = BYTE_VOCAB_SIZE
+    eos_id, pad_id = EOS_ID, PAD_ID
 
     def ids(self, text: Column) -> Column:
         return _byte_ids(text)
@@ -90,6 +95,7 @@ class VocabTokenizer:
     """Regex pieces looked up in a vocabulary table; unknown pieces become ``UNK_ID``."""
 
     name = "vocab"
+    eos_id, pad_id = EOS_ID, PAD_ID
 
     def __init__(self, vocabulary: DataFrame, size: int):
         self.vocabulary = vocabulary
@@ -117,7 +123,10 @@ class VocabTokenizer:
 
 
 class FileTokenizer:
-    """Any ``tokenizer.json``, applied to Arrow batches; its text is broadcast, so files may share a name."""
+    """Any ``tokenizer.json``, applied to Arrow batches; its text is broadcast, so files may share a name.
+
+    ``eos_id`` and ``pad_id`` are those of its special tokens of the usual names, None where it has none.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         from tokenizers import Tokenizer
@@ -127,7 +136,12 @@ class FileTokenizer:
             spec = source.read().decode("utf-8")
         self.name = path.rstrip("/").rsplit("/", 1)[-1]
         # A tokenizer that does not load is an error; nothing silently takes its place.
-        self.vocab_size = Tokenizer.from_str(spec).get_vocab_size()
+        loaded = Tokenizer.from_str(spec)
+        self.vocab_size = loaded.get_vocab_size()
+        special = [t.content for t in loaded.get_added_tokens_decoder().values() if t.special]
+        self.eos_id = next((loaded.token_to_id(t) for t in END_TOKENS if t in special), None)
+        padding = (loaded.padding or {}).get("pad_token")
+        self.pad_id = next((loaded.token_to_id(t) for t in (padding, *PAD_TOKENS) if t in special), None)
         self._spec = spark.sparkContext.broadcast(spec)
 
     def encode(self, docs: DataFrame, ord_col: str = "ord", text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.functions.text import as_text, variant_is_number, variant_kind
+from blockloom.functions.text import INTEGRAL_KINDS, as_text, variant_is_number, variant_kind
 from blockloom.plans.paths import resolve
 
 ORDERINGS = ("<", "<=", ">", ">=")
@@ -58,7 +58,10 @@ def _compare(column: Column, dtype: T.DataType, op: str, constant) -> Column:
         number = F.when(variant_is_number(column), F.try_variant_get(column, "$", "double")).when(
             variant_kind(column) == "BOOLEAN", F.try_variant_get(column, "$", "boolean").cast("double")
         )
-        return F.coalesce(_compare(number, T.DoubleType(), op, constant), F.lit(False))
+        # Whole numbers are compared as such; as doubles, neighbours above 2^53 would be equal.
+        whole = _compare(F.try_variant_get(column, "$", "bigint"), T.LongType(), op, constant)
+        test = F.when(variant_kind(column).isin(*INTEGRAL_KINDS), whole).otherwise(_compare(number, T.DoubleType(), op, constant))
+        return F.coalesce(test, F.lit(False))
     if isinstance(dtype, T.StringType):
         if kind != "string":
             return _never()

@@ -15,7 +15,7 @@ from blockloom.operators import packing as P
 from blockloom.operators.dedupe import dedupe_prefix
 from blockloom.operators.splits import split_blocks, split_position, split_shards
 from blockloom.operators.stats import dry_run_stats, preview, run_stats
-from blockloom.operators.tokenize import EOS_ID, PAD_ID, ByteTokenizer, sequence_estimate
+from blockloom.operators.tokenize import PAD_ID, ByteTokenizer, sequence_estimate
 from blockloom.plans.spec import extract, filter_length, resolve_spec
 from blockloom.session import materialize
 from blockloom.sinks.shards import write_block_shards
@@ -51,8 +51,8 @@ class Config:
     max_doc_chars: int = MAX_CHARS
     dedupe_prefix: int = 0
     seed: int = SEED
-    eos_id: int = EOS_ID
-    pad_id: int = PAD_ID
+    eos_id: int | None = None  # None: the tokenizer's own
+    pad_id: int | None = None
 
     @property
     def spec(self) -> dict:
@@ -61,6 +61,13 @@ class Config:
     def __post_init__(self):
         if self.format not in ("parquet", "arrow", "bin"):
             raise ValueError(f"unknown output format {self.format!r}; known: parquet, arrow, bin")
+        if self.eos_id is None:
+            self.eos_id = getattr(self.tokenizer, "eos_id", None)
+            if self.eos_id is None:
+                raise ValueError(f"tokenizer {self.tokenizer.name!r} names no end token: set eos_id")
+        if self.pad_id is None:
+            own = getattr(self.tokenizer, "pad_id", None)
+            self.pad_id = PAD_ID if own is None else own
 
 
 def _measures(config: Config) -> dict:
@@ -134,11 +141,11 @@ def write_corpus(docs: DataFrame, config: Config) -> DataFrame:
     return spark.read.schema(M.MANIFEST_SCHEMA).json(f"{config.output_dir}/manifest.json", multiLine=True)
 
 
-def _totals(counts: DataFrame, config: Config) -> DataFrame:
+def _totals(counts: DataFrame, config: Config, keys: tuple[str, ...] = ()) -> DataFrame:
     if not config.no_pack:
-        return run_stats(counts, config.block_size)
+        return run_stats(counts, config.block_size, keys)
     # Without packing every document is one block, and its EOS is counted though not written.
-    return counts.agg(
+    return counts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_docs"),
         F.coalesce(F.sum(F.col("n_ids") + 1), F.lit(0)).cast("long").alias("tokens_seen"),
     ).withColumn("total_blocks", F.col("total_docs")).withColumn("total_tokens", F.col("total_blocks") * config.block_size)
@@ -171,25 +178,31 @@ def pack_datasets(docs: DataFrame, config: Config, dataset: str = "dataset") ->
     """Many datasets in one job: ``(blocks, totals)``, each dataset packed into blocks of its own.
 
     ``docs`` holds ``(dataset, ord, text)``. Running totals are kept per dataset and order range, so a dataset
-    with a third of the corpus is spread over tasks like any other.
+    with a third of the corpus is spread over tasks like any other. Prefixes are deduplicated within a dataset.
     """
-    tokenizer = config.tokenizer
+    tokenizer, keys = config.tokenizer, (dataset,)
+    per_shard = P.shard_blocks(config.block_size, config.shard_size)
     docs = docs.withColumn(dataset, F.coalesce(F.nullif(F.col(dataset), F.lit("")), F.lit(UNNAMED)))
-    if hasattr(tokenizer, "count"):
-        counts = docs.select(dataset, tokenizer.count(F.col("text")).cast("long").alias("n_ids"))
-    else:
+    docs = dedupe_prefix(docs.select(dataset, "ord", "text"), config.dedupe_prefix, keys=keys)
+    # Written once, so that the passes over lengths do not read texts.
+    if config.no_pack or not hasattr(tokenizer, "count"):
         docs = materialize(tokenizer.encode(docs), "tokens")
-        counts = docs.select(dataset, "n_ids")
-    totals = run_stats(counts, config.block_size, (dataset,))
-    blocks = P.pack_blocks(
-        docs, config.block_size, tokenizer, (dataset,), config.eos_id, config.pad_id,
-        P.shard_blocks(config.block_size, config.shard_size),
-    )
-    return blocks, totals
+    else:
+        docs = materialize(docs.withColumns(_measures(config)), "datasets")
+    totals = _totals(docs.select(dataset, "n_ids"), config, keys)
+    if config.no_pack:
+        padded = P.pad_blocks(P.number_documents(docs, keys=keys), config.block_size, config.pad_id)
+        return P.assign_shards(padded, per_shard).drop("ord").repartition(dataset, "shard_idx"), totals
+    return P.pack_blocks(docs, config.block_size, tokenizer, keys, config.eos_id, config.pad_id, per_shard), totals
 
 
 def write_datasets(docs: DataFrame, config: Config, dataset: str = "dataset") -> DataFrame:
-    """Pack and write all datasets in one job; returns one manifest row per dataset."""
+    """Pack and write all datasets in one job, with a manifest each; returns one manifest row per dataset.
+
+    ``docs`` holds prepared documents, see ``run_datasets``. Datasets are Parquet shards; another format is an error.
+    """
+    if config.format != "parquet":
+        raise ValueError(f"datasets are written as parquet, not {config.format}")
     blocks, totals = pack_datasets(docs, config, dataset)
     totals = materialize(totals, "totals")
     per_shard = P.shard_blocks(config.block_size, config.shard_size)
@@ -200,15 +213,31 @@ def write_datasets(docs: DataFrame, config: Config, dataset: str = "dataset") ->
     base = F.concat(F.lit(f"{config.output_dir}/{dataset}="), M.directory_value(F.col(dataset)))
     path = F.concat(base, F.lit("/split="), F.col("split"), F.lit("/shard_idx="), F.col("split_idx").cast("string"))
     listed = split.select(dataset, "split", "split_idx", path.alias("path"))
-    return M.manifest(
+    rows = M.manifest(
         listed, totals, (dataset,), format="parquet", tokenizer=config.tokenizer.name, block_size=config.block_size,
         vocab_size=config.tokenizer.vocab_size, compression=config.compression, source=F.col(dataset),
     )
+    rows = materialize(rows, "manifests")
+    # Beside the partitions, not among them: the folder stays readable as one table.
+    folder = F.concat(F.lit(f"{config.output_dir}/_manifests/{dataset}="), M.directory_value(F.col(dataset)))
+    M.write_manifest_files(rows, F.concat(folder, F.lit("/manifest.json")), (dataset,))
+    return rows
+
+
+def run_datasets(spark: SparkSession, inputs: dict[str, Config], config: Config, dataset: str = "dataset") -> DataFrame:
+    """Read every dataset by its own settings (input, preset, filters, lengths, dedupe), then write them all in one job
+    by the settings of ``config``. Their folders below
+    ``_manifests`` can be combined with ``read_manifests``."""
+    parts = None
+    for name, own in inputs.items():
+        part = documents(spark, own).select(F.lit(name).alias(dataset), "ord", "text")
+        parts = part if parts is None else parts.unionByName(part)
+    return write_datasets(parts, config, dataset)
 
 
 def run_text(
     spark: SparkSession, paths: list[str], output: str, tokenizer=None, val_split: float = 0.0, add_eos: bool = True,
-    chunk_size: int = LINES_PER_CHUNK, block_size: int = BLOCK_SIZE, eos_id: int = EOS_ID,
+    chunk_size: int = LINES_PER_CHUNK, block_size: int = BLOCK_SIZE, eos_id: int | None = None,
 ) -> DataFrame:
     """Text files to one flat token stream, chunk of lines by chunk of lines: ``(total_tokens, n_sequences)``.
 
@@ -221,7 +250,9 @@ def run_text(
     else:
         docs = materialize(tokenizer.encode(chunks), "tokens")
     totals = sequence_estimate(docs, block_size, add_eos)
-    eos = eos_id if add_eos else None
+    eos = (tokenizer.eos_id if eos_id is None else eos_id) if add_eos else None
+    if add_eos and eos is None:
+        raise ValueError(f"tokenizer {tokenizer.name!r} names no end token: set eos_id")
     if 0.0 < val_split < 1.0:
         parts = split_position(docs, val_split, totals.first()["total_tokens"], tokenizer, eos)
         stem, dot, extension = output.rpartition(".") if "." in output.rsplit("/", 1)[-1] else (output, "", "")

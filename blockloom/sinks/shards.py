@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.operators.packing import shift_labels
@@ -16,6 +16,16 @@ def _with_split(blocks: DataFrame, shards: DataFrame, keys: tuple[str, ...]) ->
     return blocks.join(shards.hint("shuffle_hash"), [*keys, "shard_idx"])
 
 
+def _clear(spark: SparkSession, path: str, name: str) -> None:
+    """Remove the partition folders ``name=…`` of an earlier run; anything else below ``path`` stays."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(root):
+        for found in system.listStatus(root):
+            if found.getPath().getName().startswith(f"{name}="):
+                system.delete(found.getPath(), True)
+
+
 def write_block_shards(
     blocks: DataFrame, shards: DataFrame, path: str, layout: str = "parquet", compression: str = "zstd",
     keys: tuple[str, ...] = (),
@@ -24,7 +34,7 @@ def write_block_shards(
 
     The blocks must be gathered per shard, as packing with ``blocks_per_shard`` leaves them; they are not shuffled
     again. ``shards`` is the split table ``(*keys, shard_idx, split, split_idx)``. Rerunning replaces the
-    shards, it never adds to them.
+    shards, it never adds to them; other files of the folder stay.
     """
     if compression not in COMPRESSIONS:
         raise ValueError(f"unknown compression {compression!r}; known: {', '.join(COMPRESSIONS)}")
@@ -33,7 +43,8 @@ def write_block_shards(
         out = rows.select(*keys, "split", F.col("split_idx").alias("shard_idx"), "block_id", "input_ids", "labels", "length")
         out = out.sortWithinPartitions(*keys, "split", "shard_idx", "block_id")
         codec = {"none": "uncompressed"}.get(compression, compression)
-        out.write.mode("overwrite").option("compression", codec).partitionBy(*keys, "split", "shard_idx").parquet(path)
+        _clear(blocks.sparkSession, path, (*keys, "split")[0])
+        out.write.mode("append").option("compression", codec).partitionBy(*keys, "split", "shard_idx").parquet(path)
         return
     if layout != "arrow":
         raise ValueError(f"unknown layout {layout!r}; known: parquet, arrow")

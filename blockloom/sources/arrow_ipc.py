@@ -1,20 +1,23 @@
 """Arrow IPC files as a data source: ``spark.read.format("arrow_ipc")``.
 
 Options: ``paths`` (JSON list of files or directories) or ``path``; ``split_bytes`` (files above it are read by
-several tasks, each a range of record batches). Adds ``_file``, ``_block`` (record batch) and ``_pos`` (row in it).
+several tasks, each a range of record batches). Files may differ in their columns: a column that a file lacks is null,
+numbers take the wider type, kinds that do not combine are an error. Adds ``_file``, ``_block`` (record batch) and ``_pos`` (row in it).
 """
 
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type, to_arrow_schema
 
 from blockloom.sources.storage import list_files, locate, register_source
 
 SUFFIXES = (".arrow", ".ipc")
+SCHEMA_READERS = 16
 ORDER_FIELDS = [("_file", pa.string()), ("_block", pa.int64()), ("_pos", pa.int64())]
 ROW_FIELD = ("_row", pa.int64())  # the place in the file; asked for with the option ``rows``
 
@@ -39,6 +42,15 @@ def _rows(uri: str, numbers: range) -> list[int]:
 class ArrowIpcReader(DataSourceReader):
     def __init__(self, files: list[tuple[str, int]], schema, split_bytes: int):
         self.files, self.names, self.split_bytes = files, schema.names, split_bytes
+        self.fields = schema
+
+    def _column(self, batch: pa.RecordBatch, name: str) -> pa.Array:
+        wanted = self.fields[name].dataType
+        if name not in batch.schema.names:
+            return pa.nulls(batch.num_rows, to_arrow_schema(self.fields).field(name).type)
+        column = batch.column(name)
+        same = from_arrow_type(column.type) == wanted
+        return column if same else column.cast(to_arrow_schema(self.fields).field(name).type)
 
     def partitions(self):
         ranges = []
@@ -66,7 +78,7 @@ class ArrowIpcReader(DataSourceReader):
                 "_row": pa.array(range(row, row + n), pa.int64()),
             }
             row += n
-            columns = [order[c] if c in order else batch.column(c) for c in self.names]
+            columns = [order[c] if c in order else self._column(batch, c) for c in self.names]
             yield pa.RecordBatch.from_arrays(columns, names=self.names)
 
 
@@ -83,8 +95,11 @@ class ArrowIpcSource(DataSource):
         return files
 
     def schema(self):
-        found = _open(self._files()[0][0]).schema
-        order = [*ORDER_FIELDS, ROW_FIELD] if self.options.get("rows") == "true" else ORDER_FIELDS
+        uris, shards = [uri for uri, _ in self._files()], self.options.get("rows") == "true"
+        with ThreadPoolExecutor(SCHEMA_READERS) as pool:  # shards have one schema, of other files every footer is read
+            schemas = list(pool.map(lambda uri: _open(uri).schema.remove_metadata(), uris[:1] if shards else uris))
+        found = pa.unify_schemas(schemas, promote_options="permissive")
+        order = [*ORDER_FIELDS, ROW_FIELD] if shards else ORDER_FIELDS
         return from_arrow_schema(pa.schema([*found, *[pa.field(n, t) for n, t in order]]))
 
     def reader(self, schema):

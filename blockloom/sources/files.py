@@ -19,7 +19,7 @@ from blockloom.functions.text import strip
 from blockloom.plans.spec import extract, filter_length
 from blockloom.session import materialize
 from blockloom.sources.arrow_ipc import read_arrow
-from blockloom.sources.storage import locate
+from blockloom.sources.storage import literal, locate, plain
 
 ORDER = ("_file", "_block", "_pos")
 ROOT = "v"
@@ -74,7 +74,7 @@ def read_json(spark: SparkSession, *paths: str) -> DataFrame:
     arrays = lined = list(paths)
     if len(kinds) == 2:  # only then do the file names matter
         named = heads.collect()
-        arrays, lined = ([r["path"] for r in named if r["is_array"] == wanted] for wanted in (True, False))
+        arrays, lined = ([literal(r["path"]) for r in named if r["is_array"] == wanted] for wanted in (True, False))
     parts = []
     if True in kinds:
         whole = _with_order(spark.read.text(arrays, wholetext=True))
@@ -114,8 +114,8 @@ def _first_lines(spark: SparkSession, *paths: str) -> DataFrame:
         for batch in batches:
             found = []
             for path in batch.column(0).to_pylist():
-                system, plain = locate(path)
-                with system.open_input_file(plain) as source:
+                system, inside = locate(path)
+                with system.open_input_file(inside) as source:
                     found.append(_head(source))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "head"])
 
@@ -129,7 +129,7 @@ def same_header_groups(spark: SparkSession, pattern: str) -> list[list[str]]:
     if len(heads.select("head").distinct().limit(2).collect()) < 2:
         return [[pattern]]
     groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return [row["paths"] for row in groups.orderBy("head").collect()]
+    return [[literal(p) for p in row["paths"]] for row in groups.orderBy("head").collect()]
 
 
 def _column_type(found: T.DataType) -> T.DataType:
@@ -142,7 +142,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header. Rows with too many cells are skipped, missing cells are null.
 
-    Without ``schema`` the column types cost one extra pass. ``multiline=False`` lets Spark split the files; use it
+    Without ``schema`` the column types cost one extra pass; over multi-line files Spark's pass fails on names with glob
+    characters. ``multiline=False`` lets Spark split the files; use it
     when no quoted cell contains a newline.
     """
     options = dict(header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline, encoding="UTF-8")
@@ -240,7 +241,7 @@ def read_records(
     if file_type == "txt":
         return read_text(spark, *paths, mode=txt_mode)
     if file_type == "arrow":
-        return read_arrow(spark, *paths)
+        return read_arrow(spark, *[plain(p) for p in paths])
     raise ValueError(f"unknown file type {file_type!r}; known: {', '.join(FORMATS)}")
 
 
@@ -263,13 +264,13 @@ def discover(spark: SparkSession, path: str, forced_type: str | None = None) ->
     if not system.exists(root):
         raise FileNotFoundError(path)
     if not system.getFileStatus(root).isDirectory():
-        return [(0, forced_type or file_type_of(path), path)]
+        return [(0, forced_type or file_type_of(path), literal(path))]
     extensions = DIRECTORY_EXTENSIONS
     if forced_type:
         extensions = [e for e, kind in EXTENSIONS.items() if kind == forced_type]
     found = []
     for rank, extension in enumerate(extensions):
-        pattern = f"{path.rstrip('/')}/*{extension}"
+        pattern = f"{literal(path.rstrip('/'))}/*{extension}"
         if len(system.globStatus(hadoop(pattern))):
             found.append((rank, EXTENSIONS[extension], pattern))
     if not found:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyarrow import fs
 
 _registered: set[tuple[str, str]] = set()
@@ -15,13 +17,36 @@ def register_source(spark, source: type) -> None:
         _registered.add(key)
 
 
+# Stores that Spark's connectors and pyarrow name differently, and those that pyarrow opens.
+SAME_STORE = {"s3a": "s3", "s3n": "s3"}
+STORES = ("s3", "gs", "gcs", "hdfs", "viewfs", "abfs", "abfss")
+
+
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI or an absolute path; Spark writes local URIs with one slash."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
+    """File system and path of a URI or an absolute path; Spark writes local URIs with one slash.
+
+    A store that Python workers cannot open is an error, never taken for a local path.
+    """
+    named = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):(?=/)", uri)
+    if not named:
+        return fs.LocalFileSystem(), uri
+    scheme, rest = named[1].lower(), uri[named.end():]
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    scheme = SAME_STORE.get(scheme, scheme)
+    if scheme not in STORES:
+        raise ValueError(f"Python workers cannot open {scheme}: paths; known: file, {', '.join((*SAME_STORE, *STORES))}")
+    return fs.FileSystem.from_uri(f"{scheme}:{rest}")
+
+
+def literal(path: str) -> str:
+    """A path as a pattern that matches nothing else: glob characters are escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def plain(pattern: str) -> str:
+    """The path that ``literal`` was given."""
+    return re.sub(r"\\(.)", r"\1", pattern)
 
 
 def list_files(uris: list[str], suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
