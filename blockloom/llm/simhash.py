@@ -133,10 +133,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
     The documents are written with their fingerprints, so both reads see the same rows; the texts do not move unless
     too many rows go for a broadcast of their numbers.
     """
-    columns = docs.columns
-    rows = fingerprints(docs, shingle, columns)
+    rows = fingerprints(docs, shingle, docs.columns)
     found = grouped(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "fp"), bits)
+    return first_of_each(rows, found).select(*docs.columns)
+
+
+def first_of_each(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows without those that another row of the same ``root`` precedes; ``found`` has ``_row, doc_id, root``."""
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     best = materialize(found.groupBy("root").agg(F.min(place).alias("best")), "near-best")
     gone = found.select("_row", "root").join(best, "root").where(F.col("_row") != F.col("best._row")).select("_row")
-    return rows.join(materialize(gone, "near-gone"), "_row", "left_anti").select(*columns)
+    return rows.join(materialize(gone, "near-gone"), "_row", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from blockloom.llm import toxicity
 from tests.llm import reference
@@ -33,3 +35,27 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_at_five_words(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for _ in range(12):
+        base = rng.choices(words, k=rng.choice([40, 200, 200]))
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 5):
+            near = list(base)
+            for at in rng.sample(range(len(near)), edits):
+                near[at] = rng.choice(words)
+            texts.append(" ".join(near))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    want = reference.roots(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.where("false"), SF).count() == 0
