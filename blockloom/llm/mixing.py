@@ -1,14 +1,14 @@
 """Mixing sources to target weights.
 
 The words of every source form one stream, packed into blocks of a fixed length. An output shard draws how many of
-its slots each source fills: the whole part of the expected count is given, the rest is a multinomial draw. Numbering
+its slots each source fills: the whole part of the expected count is given, the rest is a multinomial draw, given that
+each source's counts over all shards add up to its need. Numbering
 a source's slots over all shards gives each an index; a pseudorandom permutation per source and pass maps the index
 to a block, and the slots join the blocks by (source, block). A pass uses every block of its source once, so with a
 limit of two passes no document is taken more than twice.
 
 Defined results: a null text has no words, as an empty one; documents without words are taken 0 times; a null source
 is a source of its own, last in order; repeated rows are documents of their own; an empty table gives an empty result.
-A slot beyond a source's last pass stays empty.
 """
 
 from __future__ import annotations
@@ -30,11 +30,6 @@ ROUNDS = 24
 CELLS = 1024
 
 
-def unit(*parts: Column) -> Column:
-    """A uniform number in [0, 1) made from the parts."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
-
-
 def permuted(index: Column, n: Column, *key: Column) -> Column:
     """The place of ``index`` in a pseudorandom permutation of ``0 .. n-1``: a swap-or-not shuffle.
 
@@ -78,37 +73,37 @@ def targets(
 
 
 def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """``s, shard, count``: how many slots of each output shard a source fills."""
+    """``s, shard, count``: how many slots of each output shard a source fills.
+
+    A source fills its need in slots, rounded so that all sources together fill the sum of their needs. Each shard gets
+    the whole part of the source's share; the source's slots left over are seats. A permutation deals all seats out
+    evenly over the shards: a multinomial draw for each shard, given the sums of all sources.
+    """
+    upto = Window.orderBy("s")
     sources = sources.withColumn("_need", F.coalesce(
         F.try_divide(F.col("blocks") * F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
     need = sources.agg(F.sum("_need").alias("need")).first()["need"] or 0.0
     shards = max(1, round(need / shard_slots))
-    upto = Window.orderBy("s")
-    per_shard = sources.withColumn("_mean", F.col("_need") / shards).select(
-        "s", F.floor("_mean").alias("_whole"), (F.col("_mean") - F.floor("_mean")).alias("_rest"),
-    )
-    per_shard = per_shard.withColumn("_hi", F.sum("_rest").over(upto)).withColumn("_all", F.sum("_rest").over(Window.partitionBy()))
-    per_shard = per_shard.withColumn("_lo", (F.col("_hi") - F.col("_rest")) / F.col("_all")).withColumn("_hi", F.col("_hi") / F.col("_all"))
-    rest = round(per_shard.agg(F.first("_all").alias("n")).first()["n"] or 0.0)
-    high = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((shards - 1) // CELLS).cast("long"))).alias("_high")
-    low = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("_low")
-    whole = (
-        per_shard.where("_whole > 0").select("s", "_whole", high).select("s", "_whole", "_high", low)
-        .select("s", (F.col("_high") * CELLS + F.col("_low")).alias("shard"), F.col("_whole").alias("count"))
-        .where(F.col("shard") < shards)
-    )
-    # A draw finds its source by an equi-join on cells of the unit interval, for any number of sources.
-    cells = per_shard.where("_hi > _lo").select("s", "_lo", "_hi", F.explode(F.sequence(
-        F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1))
-    )).alias("_cell"))
-    draws = (
-        sources.sparkSession.range(shards).withColumnRenamed("id", "shard")
-        .select("shard", F.explode(F.slice(F.sequence(F.lit(0), F.lit(max(rest, 1))), 1, rest)).alias("_draw"))
-        .withColumn("_u", unit(F.lit(SEED + 2), F.col("shard"), F.col("_draw")))
-        .withColumn("_cell", F.floor(F.col("_u") * CELLS))
-    )
-    drawn = draws.join(cells, "_cell").where("_u >= _lo AND _u < _hi").select("s", "shard", F.lit(1).cast("long").alias("count"))
-    return whole.unionByName(drawn).groupBy("s", "shard").agg(F.sum("count").alias("count")).where("count > 0")
+    # Fractions are rounded in running sums: thousands of needs under half a slot are not all rounded to none.
+    sources = sources.withColumn("_part", F.col("_need") - F.floor("_need")).withColumn("_upto", F.sum("_part").over(upto))
+    extra = F.floor(F.col("_upto") + 0.5) - F.coalesce(F.lag(F.floor(F.col("_upto") + 0.5)).over(upto), F.lit(0))
+    filled = sources.select("s", (F.floor("_need") + extra).alias("_slots")).select(
+        "s", F.expr(f"_slots div {shards}").alias("_whole"), (F.col("_slots") % shards).alias("_seats"))
+    filled = materialize(filled.withColumn("_first", F.sum("_seats").over(upto) - F.col("_seats")), "mix-seats")
+    seats = filled.agg(F.sum("_seats").alias("n")).first()["n"] or 0
+
+    def each(name: str, n: Column) -> DataFrame:
+        """Every source's row repeated with ``name`` from 0 to ``n - 1``; no sequence is longer than its cells."""
+        low = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("_low")
+        rows = filled.withColumn("_n", n).where("_n > 0")
+        high = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CELLS))).alias("_high")
+        return rows.select("*", high).select("*", low).withColumn(name, F.col("_high") * CELLS + F.col("_low")).where(F.col(name) < F.col("_n"))
+
+    whole = each("shard", F.when(F.col("_whole") > 0, F.lit(shards).cast("long"))).select("s", "shard", F.col("_whole").alias("count"))
+    place = permuted(F.col("_first") + F.col("_seat"), F.lit(max(seats, 1)).cast("long"), F.lit(-1))
+    drawn = each("_seat", F.col("_seats")).select("s", place.alias("_place")).select(
+        "s", F.expr(f"_place * {shards} div {max(seats, 1)}").alias("shard"), F.lit(1).cast("long").alias("count"))
+    return whole.unionByName(drawn).groupBy("s", "shard").agg(F.sum("count").alias("count"))
 
 
 def slots(sources: DataFrame, limit: int = LIMIT, shard_slots: int = SHARD_SLOTS) -> DataFrame:

@@ -201,6 +201,22 @@ def test_mixing(docs, empty, rows):
     assert words == held
 
 
+def test_small_sources_meet_their_need_over_many_shards(spark):
+    for sizes in ([300, 2_600_000], [300, 5_000_000, 700], [40] * 50 + [3_000_000], [100] * 3 + [4_000_000, 512, 129]):
+        rows = spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "source string, size long")
+        sources = mixing.targets(rows).cache()
+        need = {r["s"]: r["blocks"] * r["target"] / r["source_size"] for r in sources.collect()}
+        counts = mixing.shard_counts(sources, 1000).collect()
+        held, shards = dict.fromkeys(need, 0), {}
+        for r in counts:
+            held[r["s"]] += r["count"]
+            shards[r["shard"]] = shards.get(r["shard"], 0) + r["count"]
+        assert all(abs(held[s] - need[s]) < 1 for s in need) and abs(sum(held.values()) - sum(need.values())) <= 1
+        assert len(shards) == round(sum(need.values()) / 1000) and max(shards.values()) - min(shards.values()) <= 1
+        taken = {r["s"]: r["count"] for r in mixing.slots(sources, 2, 1000).groupBy("s").count().collect()}
+        assert taken == {s: n for s, n in held.items() if n}
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("p")).collect()
