@@ -2,7 +2,8 @@
 
 A document's features are its distinct lower-case letter runs, hashed. The score is the logistic function of a bias, a
 weight per term and, for each pair of terms, the product of their latent factors: an insult beside the mention of a
-group can weigh more than the sum of the two. The machine is fitted on at most ``SAMPLE`` labelled documents of each
+group can weigh more than the sum of the two. Terms get factors by their weight or by a gate of their own, which tests
+what a term adds to the others beside it and not what it says alone. The machine is fitted on at most ``SAMPLE`` labelled documents of each
 label (the first by a hash of their id); scoring reads every whole text and needs no shuffle.
 
 Defined results: a null or empty text has no terms and gets the bias's score; a null ``doc_id`` is not held out and has
@@ -32,6 +33,8 @@ MIN_DOCUMENTS = 3
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 SEED = 11
+#: Directions searched for pairs, steps of the search, and the normal deviate that a term must pass in the other half.
+DIRECTIONS, STEPS, GATE, FIRST_FACTOR = 16, 10, 5.0, 1.0
 
 
 def terms(text: Column) -> Column:
@@ -52,7 +55,9 @@ class Machine:
 
     def scores(self, cells: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Scores of documents whose cells lie between consecutive offsets."""
-        rows = self.slot[cells]
+        return self.scores_of_rows(self.slot[cells], offsets)
+
+    def scores_of_rows(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         used = np.flatnonzero(rows)
         owner = np.searchsorted(offsets, used, side="right") - 1
         rows, n = rows[used], offsets.size - 1
@@ -63,11 +68,76 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+class _Residual:
+    """The residual-weighted co-occurrence of centred terms, without its diagonal, as an operator on a part of the documents.
+
+    Its entry for two terms is the pull of the loss on their pair. Its extreme directions hold the terms that tell most
+    together; products cost one look at each term of each document, whatever the number of pairs.
+    """
+
+    def __init__(self, rows: list[np.ndarray], residual: np.ndarray, size: int):
+        self.flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), [r.size for r in rows])
+        self.residual, self.size = residual, size
+        self.mean = np.bincount(self.flat, minlength=size) / max(len(rows), 1)
+        self.diagonal = self._back(residual) * (1 - 2 * self.mean) + self.mean ** 2 * residual.sum()
+
+    def _back(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the documents' values for each term."""
+        return np.bincount(self.flat, values[self.owner], self.size)
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, v[self.flat], self.residual.size) - self.mean @ v
+
+    def __call__(self, v: np.ndarray) -> np.ndarray:
+        pulled = self.residual * self.sums(v)
+        return self._back(pulled) - self.mean * pulled.sum() - self.diagonal * v
+
+    def directions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Values and unit directions (columns) of the largest magnitude, by subspace iteration."""
+        q = np.random.default_rng(SEED).normal(size=(self.size, min(DIRECTIONS, self.size)))
+        for _ in range(STEPS):
+            q = np.linalg.qr(np.stack([self(v) for v in q.T], axis=1))[0]
+        values, turn = np.linalg.eigh(q.T @ np.stack([self(v) for v in q.T], axis=1))
+        order = np.argsort(-values)
+        return values[order], q @ turn[:, order]
+
+    def deviates(self, v: np.ndarray) -> np.ndarray:
+        """For each term, the normal deviate of its pull beside the other terms of a direction found elsewhere."""
+        held = self.residual ** 2 * self.sums(v) ** 2
+        # What a term itself adds to the sums is small where it is not most of the direction; there it only widens the spread.
+        spread = np.sqrt(self._back(held) * (1 - 2 * self.mean) + self.mean ** 2 * held.sum())
+        return np.divide(np.abs(self(v)), spread, out=np.zeros(self.size), where=spread > 0)
+
+
+def pair_terms(rows: list[np.ndarray], residual: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which terms tell something in pairs beyond their weights, and first factors for them.
+
+    A term passes by its pull in one half of the documents along the directions found in the other half, so chance
+    terms pass at the rate of the gate, however many terms there are.
+    """
+    half = np.random.default_rng(SEED).permutation(len(rows)) % 2
+    parts = [_Residual([rows[i] for i in np.flatnonzero(half == h)], residual[half == h], size) for h in (0, 1)]
+    passed = np.zeros(size, bool)
+    for part, other in (parts, parts[::-1]):
+        for v in part.directions()[1].T:
+            passed |= other.deviates(v) >= GATE
+    passed[0] = False
+    first = np.zeros((size, FACTORS))
+    if passed.any():
+        values, found = _Residual(rows, residual, size).directions()
+        found = found[:, :FACTORS] * np.sqrt(np.maximum(values[:FACTORS], 0)) * passed[:, None]
+        first[:, :found.shape[1]] = FIRST_FACTOR * found / max(np.abs(found).max(), 1e-12)
+    return passed, first
+
+
 def fit(cells: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Logistic loss over mini-batches in an order fixed by ``SEED``; both labels weigh the same.
 
     Weights follow the regularised leader with an absolute penalty, which leaves all but telling terms at zero. The
-    factors of terms with a weight follow AdaGrad.
+    factors of terms with a weight follow AdaGrad. What these leave unexplained is then searched for terms that tell in
+    pairs (``pair_terms``), whatever their weight; where there are any, the machine is fitted anew
+    with their factors, and with their weights free of the penalty.
     """
     slot = np.zeros(CELLS, np.int32)
     toxic = float(labels.mean()) if labels.size else 0.0
@@ -79,20 +149,35 @@ def fit(cells: list[np.ndarray], labels: np.ndarray) -> Machine:
     slot[known] = np.arange(1, known.size + 1)
     rows = [np.unique(slot[c]) for c in cells]
     rows = [r[r > 0] for r in rows]
+    balance = np.where(labels == 1, 0.5 / toxic, 0.5 / (1 - toxic))
+    size = known.size + 1
+    bias, weights, factors = _fitted(rows, labels, balance, np.zeros(size, bool), np.zeros((size, FACTORS)))
+    machine = Machine(slot, bias, weights, factors)
+    fitted = machine.scores_of_rows(np.concatenate(rows), np.cumsum([0, *(r.size for r in rows)]))
+    gated, first = pair_terms(rows, (labels - fitted) * balance, size)
+    if not gated.any():
+        return machine
+    return Machine(slot, *_fitted(rows, labels, balance, gated, first))
+
+
+def _fitted(
+    rows: list[np.ndarray], labels: np.ndarray, balance: np.ndarray, gated: np.ndarray, first: np.ndarray,
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors; the factors of gated terms start from ``first`` and always take part."""
     rng = np.random.default_rng(SEED)
-    weights, pull, seen = np.zeros(known.size + 1), np.zeros(known.size + 1), np.zeros(known.size + 1)
-    factors, v_sum = rng.normal(0, 0.01, (known.size + 1, FACTORS)), np.full((known.size + 1, FACTORS), 1e-4)
+    weights, pull, seen = np.zeros(gated.size), np.zeros(gated.size), np.zeros(gated.size)
+    factors, v_sum = rng.normal(0, 0.01, (gated.size, FACTORS)), np.full((gated.size, FACTORS), 1e-4)
+    factors = np.where(gated[:, None], first + factors, factors)
     factors[0] = 0
     bias, bias_sum = 0.0, 1.0
-    balance = np.where(labels == 1, 0.5 / toxic, 0.5 / (1 - toxic))
-    penalty = PENALTY * np.sqrt(labels.size)
+    penalty = np.where(gated, 0.0, PENALTY * np.sqrt(labels.size))
     for _ in range(EPOCHS):
         order = rng.permutation(labels.size)
         for at in range(0, order.size, BATCH):
             chosen = order[at:at + BATCH]
             flat = np.concatenate([rows[i] for i in chosen])
             owner = np.repeat(np.arange(chosen.size), [rows[i].size for i in chosen])
-            paired = np.flatnonzero(weights[flat])
+            paired = np.flatnonzero((weights[flat] != 0) | gated[flat])
             v, whose = factors[flat[paired]], owner[paired]
             sums = np.zeros((chosen.size, FACTORS))
             np.add.at(sums, whose, v)
@@ -112,11 +197,11 @@ def fit(cells: list[np.ndarray], labels: np.ndarray) -> Machine:
             seen[touched] = more
             held = pull[touched]
             weights[touched] = np.where(
-                np.abs(held) <= penalty, 0.0, -(held - np.sign(held) * penalty) / ((1 + np.sqrt(more)) / RATE + WEIGHT_DECAY))
+                np.abs(held) <= penalty[touched], 0.0, -(held - np.sign(held) * penalty[touched]) / ((1 + np.sqrt(more)) / RATE + WEIGHT_DECAY))
             bias_sum += error.sum() ** 2
             bias -= RATE * error.sum() / np.sqrt(bias_sum)
-    factors[weights == 0] = 0
-    return Machine(slot, float(bias), weights, factors)
+    factors[(weights == 0) & ~gated] = 0
+    return float(bias), weights, factors
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

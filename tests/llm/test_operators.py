@@ -239,6 +239,23 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.not_toxic(docs, labels).columns == docs.columns
 
 
+def test_toxic_only_together():
+    def made(n, seed):
+        rng = random.Random(seed)
+        both = [[], [1], [2], [1, 2]]
+        rows, labels = [], []
+        for i in range(n):
+            kind = rng.randrange(4)
+            rows.append(np.array(sorted(set(rng.choices(range(10, 410), k=40))) + both[kind]))
+            labels.append(float(kind in (0, 3)))  # each of the two words is balanced between the labels
+        return rows, np.array(labels)
+
+    machine = toxicity.fit(*made(6000, 1))
+    rows, labels = made(1000, 2)
+    scores = machine.scores(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
+    assert ((scores >= toxicity.THRESHOLD) == (labels == 1)).mean() >= 0.97
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(4)
     words = "sing thorn ble erst ouin heath reon the of and".split()
