@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -325,6 +326,23 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_hits(empty, known).count() == 0
 
 
+def test_whole_license_texts_and_wrapped_notices(spark):
+    known = licenses.known_licenses(spark)
+    folder = Path(licenses.__file__).parent / "license_texts"
+    names = ["MIT", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-3.0", "LGPL-2.1"]
+    texts = {n: (folder / f"{n}.txt").read_text() for n in names}
+    rows = [(i, texts[n].upper()) for i, n in enumerate(names)]
+    rows += [(10, "x = 1\n\n" + texts["MIT"] + "\nmore text"), (11, "a\n# Released under\n\n#   the MIT License.\nb"),
+             (12, "Released under\nthe MIT License and more"), (13, "// SPDX-License-Identifier: MPL-2.0\ncode"),
+             (14, texts["MIT"].replace("The MIT License (MIT)", "MIT License"))]
+    found = [(r["doc_id"], r["license_id"], r["line"]) for r in licenses.license_hits(
+        spark.createDataFrame(rows, "doc_id long, text string"), known).collect() if r["doc_id"] > 9 or r["line"] is None]
+    # The text without its title stands inside the text with it, and is reported as well.
+    assert len(found) == len(set(found)) and set(found) == {
+        *((i, n, None) for i, n in enumerate(names)), (10, "MIT", 2), (10, "MIT", 6), (11, "MIT", 1), (13, "MPL-2.0", 0),
+        (14, "MIT", None), (14, "MIT", 4)}
+
+
 def test_groups_of_near_copies_match_the_plain_version(spark):
     draw = random.Random(5)
     base = [f"w{i}" for i in range(30)]
