@@ -49,13 +49,22 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 JSON_OPTIONS = {"mode": "PERMISSIVE", "maxStringLen": str((1 << 31) - 1), "allowNonNumericNumbers": "true"}
 
 
+#: A variant holds 128 MiB and takes no more than some three times the bytes of its text; shorter lines always fit.
+VARIANT_FITS = 1 << 24
+
+
 def _json_objects(line: Column) -> Column:
+    """The object of a line, null if it has none; an object that is too large for a variant fails the job."""
     value = F.from_json(line, "variant", JSON_OPTIONS)
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    large = value.isNull() & (F.octet_length(line) > VARIANT_FITS) & F.startswith(line, F.lit("{"))
+    whole = F.from_json(line, "map<string,string>", JSON_OPTIONS).isNotNull()
+    error = F.concat(F.lit("a JSON record does not fit a variant of 128 MiB; its line has bytes: "), F.octet_length(line))
+    return F.when(large & whole, F.raise_error(error).cast("variant")).when(
+        F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
-    """One JSON object per line; blank, broken and non-object lines are skipped."""
+    """One JSON object per line; blank, broken and non-object lines are skipped, objects beyond 128 MiB are an error."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     lines = _with_order(spark.read.text(list(paths)))
     text = strip(F.make_valid_utf8("value"))

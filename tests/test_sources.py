@@ -237,3 +237,12 @@ def test_arrow_files_split_by_batches(spark, tmp_path):
     assert texts(spark, tmp_path, file_type="arrow", spec={"field": "tags"}) == ["x\ny"] * 100
     # Without a forced type a folder is searched for the first extension only.
     assert texts(spark, tmp_path) == [f"a.arrow{i}" for i in range(50)]
+
+
+def test_jsonl_records_beyond_the_variant_limit_fail(spark, tmp_path):
+    large = "a" * (129 << 20)
+    path = put(tmp_path, "broken.jsonl", '{"t": "' + large + '\n{"t": "kept"}')
+    assert S.read_jsonl(spark, path).count() == 1
+    path = put(tmp_path, "large.jsonl", '{"t": "' + large + '"}\n{"t": "kept"}')
+    with pytest.raises(Exception, match="does not fit a variant"):
+        S.read_jsonl(spark, path).count()
