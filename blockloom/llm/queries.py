@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import decontaminate, exact, licenses, lines, mixing, pii, secrets, simhash, tokenfile, toxicity
+from blockloom.llm import decontaminate, exact, licenses, lines, mixing, packing, pii, secrets, simhash, tokenfile, toxicity
 from blockloom.llm.common import table
 
-TOKENIZERS = os.environ.get("BLOCKLOOM_TOKENIZERS", "/opt/tokenizers")
+#: The tokenizer of the token queries; another file may be named.
+TOKENIZER = os.environ.get("BLOCKLOOM_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_table(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return tokenfile.token_table(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +55,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(*pii.personal_spans(table(spark, sf_dir, "documents")), pii.KINDS[:4])
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_mixing, op2_line_dedup, op3_toxicity, op4_secrets, op5_simhash, op6_token_file, op7_exact_dedup,
-    op8_decontamination, op9_licenses, op10_pii,
+    op8_decontamination, op9_licenses, op10_pii, op12_packing,
 )}
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
