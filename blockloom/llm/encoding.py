@@ -221,9 +221,9 @@ def encoder(path: str) -> Encoder:
 
 
 def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """Consecutive runs of whole texts, each of about ``size`` bytes or one text."""
-    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    cut = np.flatnonzero(np.diff(upto // size)) + 1
+    """Consecutive runs of whole texts, each of about ``size`` bytes or one longer text."""
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    cut = np.flatnonzero(np.diff(np.cumsum(lengths) // size) | (lengths[:-1] > size)) + 1
     for start, stop in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
         if stop > start:
             yield texts[start:stop]
