@@ -1,11 +1,13 @@
 """Document order and exclusive running totals without a single-task sort of the documents.
 
-Order is one integer column ``ord``, unique per document (per key) and increasing in document order. Running
-totals are taken in three levels, so no task ever sees more than one bucket of rows:
+Order is one integer column ``ord``, unique per document (per key) and increasing in document order: any 64-bit numbers,
+dense, sparse, hashed or negative. Running totals are taken in levels, so no task ever sees more than one range:
 
-* rows: a window inside ranges of 2^``BUCKET_BITS`` consecutive orders,
-* buckets: a window inside ranges of 2^``SUPER_BITS`` consecutive buckets,
-* super-buckets: one row per million orders, small enough for a single window.
+* rows: a window inside ranges of 2^``BUCKET_BITS`` consecutive orders, the buckets,
+* buckets: a window inside ranges of 2^``LEVEL_BITS`` consecutive buckets, and so on upwards,
+* the last level has at most 2^``LEVEL_BITS`` ranges, as many as 64 bits leave; one window adds them up.
+
+Each level is one small row per range of the level below that holds any order, added up where the rows are.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 8
-SUPER_BITS = 12
+LEVEL_BITS = 14
+#: Levels of ranges of buckets above them: 8 + 3 * 14 of 64 bits, and 14 more for the last window.
+LEVELS = -(-(64 - BUCKET_BITS) // LEVEL_BITS) - 1
 
 
 def _before(*partition: str, order: str) -> Window:
@@ -30,20 +34,21 @@ def bucket_bases(df: DataFrame, size: str, keys: tuple[str, ...] = (), ord_col:
 
     Reads only the keys, the order and what ``size`` needs; rows are pre-aggregated before the shuffle.
     """
-    sums = (
-        with_bucket(df, ord_col).groupBy(*keys, "_bucket").agg(F.sum(size).alias("_sum"))
-        .withColumn("_super", F.shiftright("_bucket", SUPER_BITS))
-    )
-    supers = sums.groupBy(*keys, "_super").agg(F.sum("_sum").alias("_super_sum"))
-    supers = supers.select(
-        *keys, "_super",
-        F.coalesce(F.sum("_super_sum").over(_before(*keys, order="_super")), F.lit(0)).alias("_super_base"),
-    )
-    inside = F.sum("_sum").over(_before(*keys, "_super", order="_bucket"))
-    return (
-        sums.join(supers, [*keys, "_super"])
-        .select(*keys, "_bucket", (F.col("_super_base") + F.coalesce(inside, F.lit(0))).alias("_base"))
-    )
+    level = with_bucket(df, ord_col).groupBy(*keys, F.col("_bucket").alias("_range")).agg(F.sum(size).alias("_sum"))
+    levels = []
+    for _ in range(LEVELS):
+        levels.append(level.withColumn("_above", F.shiftright("_range", LEVEL_BITS)))
+        level = levels[-1].groupBy(*keys, F.col("_above").alias("_range")).agg(F.sum("_sum").alias("_sum"))
+
+    def total(*partition: str):
+        return F.coalesce(F.sum("_sum").over(_before(*partition, order="_range")), F.lit(0))
+
+    bases = level.select(*keys, "_range", total(*keys).alias("_base"))
+    for level in reversed(levels):
+        above = bases.withColumnsRenamed({"_range": "_above", "_base": "_above_base"})
+        bases = level.join(above, [*keys, "_above"]).select(
+            *keys, "_range", (F.col("_above_base") + total(*keys, "_above")).alias("_base"))
+    return bases.withColumnRenamed("_range", "_bucket")
 
 
 def with_start(df: DataFrame, size: str, keys: tuple[str, ...] = (), ord_col: str = "ord") -> DataFrame:

@@ -73,6 +73,40 @@ def test_orders_with_gaps_negative_and_large(spark):
     assert got == {o: 3 * i for i, o in enumerate(orders)}
 
 
+def _sparse_orders(n, seed):
+    """Hashed 64-bit numbers of both signs, with the smallest, the largest and a dense run among them."""
+    rng = random.Random(seed)
+    return sorted({-2**63, 2**63 - 1, -1, 0, *range(10**12, 10**12 + n // 10), *(rng.getrandbits(64) - 2**63 for _ in range(n))})
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_totals_over_any_orders(spark, keys):
+    orders = _sparse_orders(20000, 5)
+    rows = [(o, i % 5, "ab"[i % 2]) for i, o in enumerate(orders)]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "ord BIGINT, n BIGINT, k STRING").repartition(5)
+    want, total = {}, {}
+    for o, n, k in rows:
+        k = k if keys else ""
+        want[o] = total.get(k, 0)
+        total[k] = want[o] + n
+    assert {r["ord"]: r["start"] for r in with_start(df, "n", keys).collect()} == want
+
+
+def test_no_window_sees_more_than_a_range():
+    """Of any 64-bit orders, a range of each level holds at most 2^14 ranges of the one below, and so has the last window."""
+    from blockloom.operators import order
+    assert order.BUCKET_BITS + (order.LEVELS + 1) * order.LEVEL_BITS >= 64 and order.LEVEL_BITS <= 14
+
+
+def test_blocks_of_sparse_orders(spark):
+    rng = random.Random(3)
+    orders = _sparse_orders(400, 7)
+    lists = [[rng.randrange(2, 99) for _ in range(rng.choice([0, 1, 7, 24, 100]))] for _ in orders]
+    rows = [(o, ids, len(ids)) for o, ids in zip(orders, lists)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), IDS).repartition(6)
+    assert collected(P.pack_blocks(df, 8)) == plain_blocks(lists, 8)
+
+
 def test_datasets_pack_separately(spark):
     rows = [(i, "ab"[i % 2], [5] * (i % 7), i % 7) for i in range(100)]
     df = spark.createDataFrame(rows, "ord BIGINT, dataset STRING, ids ARRAY<INT>, n_ids BIGINT")
@@ -136,4 +170,4 @@ def test_no_single_task_window_over_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("ord"), "text")
     plan = P.pack_blocks(df, 64, ByteTokenizer())._jdf.queryExecution().executedPlan().toString()
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
-    assert len(single) == 1 and "text" not in single[0]  # the super-bucket totals only
+    assert len(single) == 1 and "text" not in single[0]  # the totals of the last level only
