@@ -9,152 +9,56 @@ The folder holds ``codes`` (id, length) and ``segments`` (first_doc, doc_ids, co
 both as Parquet, written through Spark's commit, so a retried task leaves no half file.
 
 Defined results: a null text counts as empty and has only the end id; rows of one ``doc_id`` follow the order of their
-ids' checksum; null ids come first; special tokens' strings are ordinary text; an empty table gives an empty corpus.
+ids' checksum; null ids come first; the string of an added
+token in a text is that token, as the tokenizer has it; an empty table gives an empty corpus.
 """
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from blockloom.llm.common import stream_starts, text_of
+from blockloom.llm.encoding import encoder, text_slices, with_ends
 from blockloom.session import fresh_path, materialize
 
 END_ID = 0
 MAX_BITS = 20
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
-#: A worker's memory of encoded pieces and parts; it is emptied when full and changes no result.
-KNOWN_PIECES, KNOWN_PARTS = 1_000_000, 200_000
-#: Signs that end a word, and the first character behind the Latin letters.
-SIGNS, LATIN_END = frozenset(".,;:!?"), "\u0250"
-
-# How byte-level tokenizers split a text, and the characters that stand for its bytes.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-SHOWN_BYTES = {b: b for b in SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
-PLAIN = re.compile("[\n\x20-\x7e\xa1-\u024f]+")
-
-_encoders: dict[str, Encoder] = {}
-
-
-class Encoder:
-    """Encodes texts with a ``tokenizer.json``, remembering the ids of pieces between spaces and of their parts.
-
-    A byte-level tokenizer never joins a space to what stands before it, unless that is white space too. So a text can
-    be cut before each space that follows another character, and equal pieces have equal ids. A piece of plain Latin
-    text is split by the tokenizer's pattern, and the tokenizer's model encodes each new part; other pieces go to the
-    tokenizer as they are, and pieces that would break the rule send the whole text there.
-    """
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        pre = spec.get("pre_tokenizer") or {}
-        self.cuts = (
-            pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-            and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
-        )
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}  # without the space before them
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= KNOWN_PARTS:
-                self.parts.clear()
-            ids = self.parts[part] = self._model_ids(part)
-        return ids
-
-    def _model_ids(self, part: str) -> bytes:
-        shown = part.encode().decode("latin-1").translate(SHOWN_BYTES)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _split(self, piece: str) -> bytes:
-        return b"".join(map(self._part, SPLIT.findall(piece))) if PLAIN.fullmatch(piece) else self._ids(piece)
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a space and a word."""
-        ids = self.pieces.get(word)
-        if ids is not None:
-            return ids
-        if word[:-1].isalpha() and word[-1] in SIGNS and max(word) < LATIN_END:
-            # Kept only if the word alone is known already: rare words with signs behind them would fill the memory.
-            often = word[:-1] in self.pieces
-            ids = self._word(word[:-1]) + self._part(word[-1])
-            if often and len(self.pieces) < KNOWN_PIECES:
-                self.pieces[word] = ids
-            return ids
-        if len(self.pieces) >= KNOWN_PIECES:
-            self.pieces.clear()
-        if word.isalpha() and max(word) < LATIN_END:
-            ids = self._model_ids(" " + word)
-        else:
-            ids = self._split(" " + word)
-        self.pieces[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit integers, without the end id."""
-        words = text.split(" ")
-        if not self.cuts or not all(words):
-            return self._ids(text) if text else b""
-        found = list(map(self.pieces.get, words))
-        found[0] = None
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if any(words[i][-1].isspace() for i in missing):
-            return self._ids(text)
-        for i in missing:
-            # Only the first piece has no space before it, and it is not remembered.
-            found[i] = self._word(words[i]) if i else self._split(words[0])
-        return b"".join(found)
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """The written table ``doc_id, n, crc, ids``: the ids of each document with the end id, 2 or 4 bytes each."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [encode(t.as_py()) + end for t in part.column(1)]
+            done = 0
+            for part in text_slices(batch.column(1)):
+                ids, counts = encode(part)
+                stream, upto = with_ends(ids, counts, end_id)
+                raw = memoryview(stream).cast("B")
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([_packed(x) for x in ids], pa.binary()),
+                    batch.column(0).slice(done, len(part)), pa.array(counts + 1),
+                    pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(upto, upto[1:])], pa.int64()),
+                    pa.array([_packed(stream[a:b]) for a, b in zip(upto, upto[1:])], pa.binary()),
                 ], ["doc_id", "n", "crc", "ids"])
+                done += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
     return materialize(rows.mapInArrow(each, "doc_id long, n long, crc long, ids binary"), "token-ids")
 
 
-def _packed(ids: bytes) -> bytes:
+def _packed(ids: np.ndarray) -> bytes:
     """A width byte, then the ids in that many bytes each."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if wide.size and wide.max() < 1 << 16 else b"\x04" + ids
+    small = ids.size and ids.max() < 1 << 16
+    return (b"\x02" + ids.astype("<u2").tobytes()) if small else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def _unpacked(ids: bytes) -> np.ndarray:

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from blockloom.llm import decontaminate, exact, licenses, lines, mixing, pii, queries, secrets, simhash, tokenfile, toxicity
 from tests.llm import reference
 
-TOKENIZER = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+TOKENIZER = queries.TOKENIZER
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, _row string, taken string"
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -151,7 +151,6 @@ def test_ambiguous_identifiers_are_made_anew(docs):
 
 def test_tokens_round_trip(spark, docs, empty, rows, tmp_path):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     want = {}
     for i, t, *_ in rows:
         ids = (tokenizer.encode(t, add_special_tokens=False).ids if t else []) + [0]
