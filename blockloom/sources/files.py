@@ -19,6 +19,7 @@ from blockloom.functions.text import strip
 from blockloom.plans.spec import extract, filter_length
 from blockloom.session import materialize
 from blockloom.sources.arrow_ipc import read_arrow
+from blockloom.sources.ranges import SPLIT_BYTES, array_records, csv_records
 from blockloom.sources.storage import literal, locate, plain
 
 ORDER = ("_file", "_block", "_pos")
@@ -73,10 +74,11 @@ def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     return rows
 
 
-def read_json(spark: SparkSession, *paths: str) -> DataFrame:
+def read_json(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """JSON files: those that start with ``[`` hold one array, all others are JSON Lines.
 
-    An array is parsed file by file, its non-object items are skipped; a broken array fails the job.
+    An array is cut into its objects by byte ranges of ``split_bytes``, so a file of any size is read by many tasks; its
+    other items are skipped, a broken array fails the job.
     """
     heads = _first_lines(spark, *paths).select("path", F.col("head").startswith("[").alias("is_array"))
     kinds = {row["is_array"] for row in heads.select("is_array").distinct().collect()}
@@ -86,13 +88,10 @@ def read_json(spark: SparkSession, *paths: str) -> DataFrame:
         arrays, lined = ([literal(r["path"]) for r in named if r["is_array"] == wanted] for wanted in (True, False))
     parts = []
     if True in kinds:
-        whole = _with_order(spark.read.text(arrays, wholetext=True))
-        items = F.from_json(F.make_valid_utf8("value"), "array<variant>", {"mode": "FAILFAST"})
-        exploded = whole.select("_file", "_block", F.posexplode(items).alias("_pos", "item"))
-        keep = F.when(F.schema_of_variant("item").startswith("OBJECT"), F.col("item"))
-        parts.append(exploded.select(
-            F.explode(F.array_compact(F.array(keep))).alias(ROOT), "_file", "_block", F.col("_pos").cast("long").alias("_pos")
-        ))
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+        text = F.make_valid_utf8(F.col("record").cast("string"))
+        item = F.from_json(text, "variant", JSON_OPTIONS | {"mode": "FAILFAST"})
+        parts.append(array_records(spark, arrays, split_bytes).select(item.alias(ROOT), *ORDER))
     if False in kinds:
         parts.append(read_jsonl(spark, *lined))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -147,21 +146,46 @@ def _column_type(found: T.DataType) -> T.DataType:
 
 
 def read_csv(
-    spark: SparkSession, *paths: str, delimiter: str = ",", schema: T.StructType | None = None, multiline: bool = True
+    spark: SparkSession, *paths: str, delimiter: str = ",", schema: T.StructType | None = None, multiline: bool = True,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """CSV with a header. Rows with too many cells are skipped, missing cells are null.
 
-    Without ``schema`` the column types cost one extra pass; over multi-line files Spark's pass fails on names with glob
-    characters. ``multiline=False`` lets Spark split the files; use it
-    when no quoted cell contains a newline.
+    Files are cut into records by byte ranges of ``split_bytes``, also where quoted cells contain newlines, and each
+    record is parsed by itself. Without ``schema`` the column types cost one extra pass. ``multiline=False`` leaves the
+    splitting to Spark; use it when no quoted cell contains a newline.
     """
-    options = dict(header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline, encoding="UTF-8")
+    options = dict(sep=delimiter, quote='"', escape='"', encoding="UTF-8")
+    if not multiline:
+        if schema is None:
+            found = spark.read.options(**options, header=True, inferSchema=True).csv(list(paths)).schema
+            schema = T.StructType([T.StructField(f.name, _column_type(f.dataType)) for f in found])
+        df = _with_order(spark.read.schema(_with_extra(schema)).options(**options, header=True).csv(list(paths)))
+        return df.where(F.col("_extra").isNull()).drop("_extra")
+    text = F.rtrim(F.make_valid_utf8(F.col("record").cast("string")), F.lit("\r\n")).alias("text")
+    lines = csv_records(spark, list(paths), delimiter, split_bytes).where("_pos > 0").select(*ORDER, text).where("text <> ''")
+    options["multiLine"] = "true"
     if schema is None:
-        found = spark.read.options(**options, inferSchema=True).csv(list(paths)).schema
-        schema = T.StructType([T.StructField(f.name, _column_type(f.dataType)) for f in found])
-    extended = T.StructType([*schema.fields, T.StructField("_extra", T.StringType())])
-    df = _with_order(spark.read.schema(extended).options(**options).csv(list(paths)))
-    return df.where(F.col("_extra").isNull()).drop("_extra")
+        head = _first_lines(spark, *paths).orderBy("path").select("head").limit(1)
+        names = _read_strings(spark, head, **options, header=True).columns
+        found = _read_strings(spark, lines.select("text"), **options, header=False, inferSchema=True).schema
+        types = [_column_type(f.dataType) for f in found][:len(names)]
+        types += [T.StringType()] * (len(names) - len(types))
+        schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
+    parsed = F.from_csv("text", F.lit(_with_extra(schema).toDDL()), {k: str(v) for k, v in options.items()})
+    rows = lines.select(parsed.alias("_row"), *ORDER)
+    return rows.where(F.col("_row._extra").isNull()).select(*[F.col("_row")[n].alias(n) for n in schema.names], *ORDER)
+
+
+def _with_extra(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("_extra", T.StringType())])
+
+
+def _read_strings(spark: SparkSession, lines: DataFrame, **options) -> DataFrame:
+    """CSV records held in a column of text, read by Spark's reader."""
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    reader = spark.read.options(**options)
+    return reader._df(reader._jreader.csv(getattr(lines._jdf, "as")(encoder)))
 
 
 def read_text(spark: SparkSession, *paths: str, mode: str = "paragraphs") -> DataFrame:
