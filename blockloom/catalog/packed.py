@@ -11,9 +11,9 @@ from blockloom.catalog.common import (
 )
 from blockloom.operators import manifests as M
 from blockloom.operators import packing as P
-from blockloom.operators.sampling import index_rows, sample_blocks as draw_blocks, sample_windows as draw_windows
+from blockloom.operators.sampling import draw_from_files, draw_from_shards
 from blockloom.operators.splits import split_position
-from blockloom.operators.stats import run_stats, shard_row_counts as count_rows
+from blockloom.operators.stats import run_stats
 from blockloom.operators.tokenize import ByteTokenizer, sequence_estimate
 from blockloom.plans.pipeline import Config, prepare, write_corpus, write_datasets
 from blockloom.session import fresh_path
@@ -131,8 +131,8 @@ def write_split_flat(spark, sf_dir):
 
 def shard_row_counts(spark, sf_dir):
     config, _ = _write(spark, sf_dir)
-    train, val = (B.read_dir_blocks(spark, config.output_dir, split) for split in ("train", "val"))
-    counts = count_rows(train.unionByName(val))
+    train, val = (B.block_shards(spark, split, directory=config.output_dir) for split in ("train", "val"))
+    counts = train.unionByName(val).select("split", "shard_idx", "n_rows")
     return M.running_offset(counts, ["split", "shard_idx"], "n_rows").withColumnRenamed("offset", "first_row")
 
 
@@ -209,18 +209,17 @@ def dataset_report(spark, sf_dir):
 def sample_blocks(spark, sf_dir):
     """One epoch of draws over the train shards."""
     config, _ = _write(spark, sf_dir)
-    rows = B.read_blocks(spark, "train", "arrow", manifest=f"{config.output_dir}/manifest.json", block_size=BLOCK)
-    total = rows.count()
-    drawn = draw_blocks(index_rows(rows, B.SHARD_KEYS, "row"), total, -(-total // BATCH), BATCH, SEED)
+    shards = B.block_shards(spark, "train", manifest=f"{config.output_dir}/manifest.json", block_size=BLOCK)
+    total = shards.agg(F.sum("n_rows").alias("n")).first()["n"]
+    drawn = draw_from_shards(shards, BLOCK, -(-total // BATCH), BATCH, SEED)
     return drawn.select("step", "slot", "row_index", *id_facts("input_ids", "inp"), *id_facts("labels", "lab"))
 
 
 def sample_windows(spark, sf_dir):
     """As many random windows of the flat stream as it has runs."""
     path = _flat(spark, sf_dir)
-    runs = B.read_blocks(spark, "train", "bin", train_bin=path, val_bin=path, block_size=BLOCK)
     total = sequence_estimate(documents(spark, sf_dir).select(BYTES.count(F.col("text")).alias("n_ids")), BLOCK).first()["total_tokens"]
-    drawn = draw_windows(runs, total, BLOCK, total // BLOCK // BATCH, BATCH, SEED)
+    drawn = draw_from_files(spark, [path], BLOCK, total // BLOCK // BATCH, BATCH, SEED)
     return drawn.select("step", "slot", "start", *id_facts("input_ids", "inp"), *id_facts("labels", "lab"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from blockloom.fixed import SEED, SYNTHETIC_VOCAB
 from blockloom.functions.draws import draw_below
 from blockloom.operators.manifests import running_offset
+from blockloom.sources.flat_tokens import TOKEN_BYTES, token_files
+from blockloom.sources.gather import gather_blocks, gather_windows
 
 
 def draws(spark: SparkSession, n_draws: int, batch_size: int, bound: int, seed: int = SEED) -> DataFrame:
@@ -68,6 +70,29 @@ def sample_windows(
     )
 
 
+def draw_from_shards(shards: DataFrame, block_size: int, steps: int, batch_size: int, seed: int = SEED) -> DataFrame:
+    """``sample_blocks`` of written shards: the draws go to the shard files, no block is moved.
+
+    ``shards`` is the table of ``sources.blocks.block_shards``; only its file names and row counts reach the driver.
+    """
+    listed = [(r["path"], r["layout"], r["n_rows"]) for r in shards.orderBy("offset", "path").collect()]
+    total = sum(n for _, _, n in listed)
+    if total <= 0:
+        raise ValueError("no blocks to draw from")
+    n_draws = steps * batch_size
+    return gather_blocks(draws(shards.sparkSession, n_draws, batch_size, total, seed), n_draws, listed, block_size)
+
+
+def draw_from_files(spark: SparkSession, paths: list[str], block_size: int, steps: int, batch_size: int, seed: int = SEED) -> DataFrame:
+    """``sample_windows`` of flat token files: each window is read where it lies, labels one to the right."""
+    files = token_files(paths)
+    total = sum(size for _, size in files) // TOKEN_BYTES
+    if total <= block_size:
+        raise ValueError(f"{total} tokens are too few for windows of {block_size}")
+    n_draws = steps * batch_size
+    return gather_windows(draws(spark, n_draws, batch_size, total - block_size, seed), n_draws, files, block_size)
+
+
 def synthetic_tokens(
     spark: SparkSession, n_tokens: int, vocab_size: int = SYNTHETIC_VOCAB, seed: int = SEED, val_fraction: float = 0.05
 ) -> DataFrame:

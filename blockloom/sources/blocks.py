@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.fixed import BLOCK_SIZE
-from blockloom.operators.manifests import MANIFEST_SCHEMA, existing_shards, has_files, shard_files
-from blockloom.operators.packing import cut_stream
+from blockloom.operators.manifests import MANIFEST_SCHEMA, existing_shards, has_files, running_offset, shard_files
 from blockloom.sources.arrow_ipc import read_arrow
-from blockloom.sources.flat_tokens import read_flat_tokens
+from blockloom.sources.flat_tokens import read_runs
+from blockloom.sources.gather import count_rows
 
 SPLITS = ("train", "val")
 
@@ -39,21 +39,15 @@ def _read_shards(spark: SparkSession, paths: list[str], layout: str) -> DataFram
     )
 
 
-def read_manifest_blocks(
-    spark: SparkSession, manifest_path: str, split: str = "train", block_size: int | None = None
-) -> DataFrame:
-    """Rows of the shards a manifest lists for a split; files that are gone are left out.
-
-    The block size of the manifest wins over ``block_size``. The shard list is file-level metadata; the rows
-    never pass the driver.
-    """
+def _manifest_paths(spark: SparkSession, manifest_path: str, split: str, block_size: int | None) -> list[tuple[str, list[str]]]:
+    """Layouts and paths of the existing shards that a manifest lists."""
     row = spark.read.schema(MANIFEST_SCHEMA).json(manifest_path, multiLine=True)
     head = row.select("block_size", F.explode(f"{split}_shards").alias("path"))
     first = head.first()
     if first is None:
         raise ValueError(f"no {split}_shards in {manifest_path}")
     if block_size is not None and first["block_size"] != block_size:
-        warnings.warn(f"the manifest has block size {first['block_size']}, not {block_size}; using it", stacklevel=2)
+        warnings.warn(f"the manifest has block size {first['block_size']}, not {block_size}; using it", stacklevel=3)
     parts = []
     for layout, below in (("parquet", r"/split=[^/]+/shard_idx=[^/]+$"), ("arrow", r"/[^/]+\.arrow$")):
         listed = head.where(F.col("path").endswith(".arrow") == (layout == "arrow"))
@@ -65,22 +59,64 @@ def read_manifest_blocks(
             continue
         paths = [r["path"] for r in existing_shards(listed, shard_files(spark, *patterns)).select("path").collect()]
         if paths:
-            parts.append(_read_shards(spark, sorted(paths), layout))
+            parts.append((layout, sorted(paths)))
     if not parts:
         raise FileNotFoundError(f"none of the {split} shards in {manifest_path} exists")
+    return parts
+
+
+def read_manifest_blocks(
+    spark: SparkSession, manifest_path: str, split: str = "train", block_size: int | None = None
+) -> DataFrame:
+    """Rows of the shards a manifest lists for a split; files that are gone are left out.
+
+    The block size of the manifest wins over ``block_size``. The shard list is file-level metadata; the rows
+    never pass the driver.
+    """
+    parts = [_read_shards(spark, paths, layout) for layout, paths in _manifest_paths(spark, manifest_path, split, block_size)]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def read_dir_blocks(spark: SparkSession, directory: str, split: str = "train", layout: str = "parquet") -> DataFrame:
-    """Rows of all shards of a split below a directory, found by name."""
+def _dir_paths(spark: SparkSession, directory: str, split: str, layout: str) -> list[str]:
     if layout == "parquet":
-        return _read_shards(spark, [f"{directory}/split={split}/*"], layout)
+        return [f"{directory}/split={split}/*"]
     from blockloom.sources.storage import list_files
 
     names = [uri for uri, _ in list_files([directory], (".arrow",)) if uri.rsplit("/", 1)[-1].startswith(f"{split}_shard_")]
     if not names:
         raise FileNotFoundError(f"no {split} shards in {directory}")
-    return _read_shards(spark, names, layout)
+    return names
+
+
+def read_dir_blocks(spark: SparkSession, directory: str, split: str = "train", layout: str = "parquet") -> DataFrame:
+    """Rows of all shards of a split below a directory, found by name."""
+    return _read_shards(spark, _dir_paths(spark, directory, split, layout), layout)
+
+
+def block_shards(
+    spark: SparkSession, split: str = "train", manifest: str | None = None, directory: str | None = None,
+    layout: str = "parquet", block_size: int | None = None,
+) -> DataFrame:
+    """``(*SHARD_KEYS, path, layout, n_rows, offset)`` of the shard files that a manifest lists or a directory holds.
+
+    Rows are counted from footers and batch headers; ``offset`` is the number of rows in earlier shards.
+    """
+    if (manifest is None) == (directory is None):
+        raise ValueError("shards need a manifest or a directory")
+    if manifest is not None:
+        listed = _manifest_paths(spark, manifest, split, block_size)
+    else:
+        listed = [(layout, _dir_paths(spark, directory, split, layout))]
+    parts = None
+    for kind, paths in listed:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+            "pathGlobFilter", f"*.{kind}").load(paths).select("path")
+        keys = [F.regexp_extract("path", SHARD_PATH[kind], group) for group in (1, 2, 3)]
+        files = files.select(
+            F.regexp_replace(keys[0], "^file:/+", "/").alias("dataset"), keys[1].alias("split"),
+            keys[2].cast("long").alias("shard_idx"), "path", F.lit(kind).alias("layout"))
+        parts = files if parts is None else parts.unionByName(files)
+    return running_offset(count_rows(parts), [*SHARD_KEYS, "path"], "n_rows")
 
 
 def read_blocks(
@@ -98,7 +134,7 @@ def read_blocks(
         path = train_bin if split == "train" else val_bin
         if path is None:
             raise ValueError("flat files need train_bin and val_bin")
-        return cut_stream(read_flat_tokens(spark, path, run=block_size), block_size)
+        return read_runs(spark, path, run=block_size)
     if manifest is not None:
         return read_manifest_blocks(spark, manifest, split, block_size)
     if train_dir is not None and val_dir is not None:

@@ -11,6 +11,7 @@ import json
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from blockloom.sources.storage import list_files, locate, register_source
@@ -18,26 +19,52 @@ from blockloom.sources.storage import list_files, locate, register_source
 TOKEN_BYTES = 4
 
 
+#: Runs of a file that a reader may be asked for.
+ALL, WHOLE, EDGES = "all", "whole", "edges"
+
+
+def token_files(paths: list[str]) -> list[tuple[str, int]]:
+    """``(uri, size)`` of the files of a stream, in order."""
+    files = list_files(paths, (".bin",))
+    if not files:
+        raise FileNotFoundError(f"no token files in {paths}")
+    for uri, size in files:
+        if size % TOKEN_BYTES:
+            raise ValueError(f"{uri}: {size} bytes are no whole number of tokens")
+    return files
+
+
 class ByteRange(InputPartition):
     def __init__(self, uri: str, offset: int, n_tokens: int, start: int):
         self.uri, self.offset, self.n_tokens, self.start = uri, offset, n_tokens, start
 
 
 class FlatTokenReader(DataSourceReader):
-    def __init__(self, files: list[tuple[str, int]], run: int, split_bytes: int):
-        self.files, self.run = files, run
+    """Runs end at multiples of ``run`` in the stream, and at the ends of files.
+
+    ``only`` leaves out the runs that a file's border cuts (``whole``), or all others (``edges``).
+    """
+
+    def __init__(self, files: list[tuple[str, int]], run: int, split_bytes: int, only: str = ALL):
+        if only not in (ALL, WHOLE, EDGES):
+            raise ValueError(f"unknown runs {only!r}")
+        self.files, self.run, self.only = files, run, only
         self.split = max(run, split_bytes // TOKEN_BYTES // run * run)
 
     def partitions(self):
         ranges, start = [], 0
         for uri, size in self.files:
-            if size % TOKEN_BYTES:
-                raise ValueError(f"{uri}: {size} bytes are no whole number of tokens")
-            n = size // TOKEN_BYTES
-            ranges += [
-                ByteRange(uri, at * TOKEN_BYTES, min(self.split, n - at), start + at) for at in range(0, n, self.split)
-            ]
-            start += n
+            end = start + size // TOKEN_BYTES
+            # The first and the last run of a file are whole if they begin and end at a multiple.
+            low, high = min(end, -(-start // self.run) * self.run), max(start, end // self.run * self.run)
+            if low > high:
+                low = high = end
+            edges = [(start, low), (high, end)]
+            inner = [(at, min(high, at + self.split)) for at in range(low, high, self.split)]
+            for a, b in (edges if self.only != WHOLE else []) + (inner if self.only != EDGES else []):
+                if a < b:
+                    ranges.append(ByteRange(uri, (a - start) * TOKEN_BYTES, b - a, a))
+            start = end
         return ranges or [ByteRange("", 0, 0, 0)]
 
     def read(self, partition: ByteRange):
@@ -74,10 +101,9 @@ class FlatTokenSource(DataSource):
         return "start BIGINT, n BIGINT, ids ARRAY<INT>"
 
     def reader(self, schema):
-        files = list_files(json.loads(self.options["paths"]), (".bin",))
-        if not files:
-            raise FileNotFoundError(f"no token files in {self.options['paths']}")
-        return FlatTokenReader(files, int(self.options["run"]), int(self.options.get("split_bytes", 128 << 20)))
+        files = token_files(json.loads(self.options["paths"]))
+        return FlatTokenReader(
+            files, int(self.options["run"]), int(self.options.get("split_bytes", 128 << 20)), self.options.get("only", ALL))
 
 
 def read_flat_tokens(spark: SparkSession, *paths: str, run: int = 1024, **options) -> DataFrame:
@@ -87,3 +113,15 @@ def read_flat_tokens(spark: SparkSession, *paths: str, run: int = 1024, **option
     for key, value in options.items():
         reader = reader.option(key, str(value))
     return reader.load()
+
+
+def read_runs(spark: SparkSession, *paths: str, run: int = 1024, **options) -> DataFrame:
+    """The stream of flat files in runs of ``run`` tokens: ``(block_id, tokens)``; the last one may be short.
+
+    Whole runs come as they are read. Only the runs that a file's border cuts, two per file, meet in a shuffle.
+    """
+    number = F.expr(f"start div {int(run)}").alias("block_id")
+    whole = read_flat_tokens(spark, *paths, run=run, only=WHOLE, **options).select(number, F.col("ids").alias("tokens"))
+    cut = read_flat_tokens(spark, *paths, run=run, only=EDGES, **options).groupBy(number).agg(
+        F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("_parts"))
+    return whole.unionByName(cut.select("block_id", F.flatten(F.col("_parts.ids")).alias("tokens")))

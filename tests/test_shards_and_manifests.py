@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from blockloom.operators import manifests as M
 from blockloom.operators.packing import cut_stream
-from blockloom.operators.sampling import index_rows, sample_blocks, sample_windows, synthetic_tokens
+from blockloom.operators.sampling import (
+    draw_from_files, draw_from_shards, index_rows, sample_blocks, sample_windows, synthetic_tokens)
 from blockloom.operators.stats import dry_run_stats, mixture_share, preview
 from blockloom.plans.pipeline import Config, dry_run, run_pipeline, run_text, show_samples, write_corpus, write_datasets
 from blockloom.sources import blocks as B
-from blockloom.sources.flat_tokens import read_flat_tokens
+from blockloom.sources.flat_tokens import read_flat_tokens, read_runs
 
 
 def text_of(i, size):
@@ -102,6 +103,46 @@ def test_flat_files_in_runs_over_file_borders(spark, tmp_path, n):
         assert {r["start"] for r in rows} == {0, 1}
 
 
+@pytest.mark.parametrize("sizes", [[5, 0, 1, 30, 3], [16, 16], [7], [1] * 9, [20, 4, 33, 64]])
+def test_runs_are_merged_at_file_borders_only(spark, tmp_path, sizes):
+    ids, at = np.arange(sum(sizes), dtype="<u4"), 0
+    for i, n in enumerate(sizes):
+        ids[at:at + n].tofile(tmp_path / f"part-{i:03}.bin")
+        at += n
+    runs = [r["tokens"] for r in read_runs(spark, str(tmp_path), run=8, split_bytes=64).orderBy("block_id").collect()]
+    assert runs == [ids[i:i + 8].tolist() for i in range(0, at, 8)]
+    plan = read_runs(spark, str(tmp_path), run=8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Union") < plan.index("Exchange") and plan.count("Exchange") == 1
+    if at > 8:
+        drawn = draw_from_files(spark, [str(tmp_path)], 8, 9, 7).collect()
+        names = ("step", "slot", "start", "input_ids", "labels")
+        want = sample_windows(read_runs(spark, str(tmp_path), run=8), at, 8, 9, 7).collect()
+        assert sorted(tuple(r[c] for c in names) for r in drawn) == sorted(tuple(r[c] for c in names) for r in want)
+        plan = draw_from_files(spark, [str(tmp_path)], 8, 9, 7)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.index("MapInArrow") < plan.index("Exchange") < plan.index("Range (")
+
+
+@pytest.mark.parametrize("layout", ["parquet", "arrow"])
+def test_draws_go_to_the_shards(spark, tmp_path, layout):
+    config = Config(output_dir=str(tmp_path / "out"), block_size=16, shard_size=64, val_split=0.3, format=layout)
+    write_corpus(corpus(spark), config)
+    rows = B.read_dir_blocks(spark, config.output_dir, "train", layout)
+    shards = B.block_shards(spark, "train", directory=config.output_dir, layout=layout)
+    want = {(r["shard_idx"], r["n"]) for r in rows.groupBy("shard_idx").agg(F.count("*").alias("n")).collect()}
+    assert {(r["shard_idx"], r["n_rows"]) for r in shards.collect()} == want and len(want) > 1
+    listed = B.block_shards(spark, "train", manifest=f"{config.output_dir}/manifest.json")
+    assert sorted(map(str, listed.drop("path").collect())) == sorted(map(str, shards.drop("path").collect()))
+    total = rows.count()
+    names = ("step", "slot", "row_index", "input_ids", "labels")
+    old = sample_blocks(index_rows(rows, B.SHARD_KEYS, "row"), total, 40, 5).collect()
+    new = draw_from_shards(shards, 16, 40, 5)
+    assert sorted(tuple(r[c] for c in names) for r in new.collect()) == sorted(tuple(r[c] for c in names) for r in old)
+    plan = draw_from_shards(shards, 16, 40, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    with pytest.raises(ValueError):
+        B.block_shards(spark)
+
+
 def test_ragged_flat_file_fails(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"12345")
     with pytest.raises(Exception, match="whole number"):
