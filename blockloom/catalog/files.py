@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.catalog.common import (
     BLOCK, SHARD, TEXT_FACTS, documents, id_facts, id_facts_sql, stream_sql, strip_sql, table, text_facts,
 )
 from blockloom.operators.packing import number_documents
-from blockloom.plans.pipeline import Config, run_pipeline, run_text
+from blockloom.plans.pipeline import Config, documents as read_run, run_pipeline, run_text
 from blockloom.session import fresh_path, materialize
 from blockloom.sources import files as S
 from blockloom.sources.arrow_ipc import read_arrow
@@ -160,6 +160,18 @@ def scan_named_dataset(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("doc_id", "config", "split", *text_facts())
 
 
+def run_named_dataset(spark, sf_dir):
+    """A landed dataset as input of a run: one configuration in Parquet, one in JSON Lines; documents in order."""
+    root = fresh_path(spark, "hub")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").coalesce(1)
+    docs.where("doc_id % 2 = 0").write.parquet(f"{root}/dataset=owner%2Fcorpus/config=even/split=train")
+    docs.where("doc_id % 2 = 1").write.json(f"{root}/dataset=owner%2Fcorpus/config=odd/split=train")
+    docs.write.parquet(f"{root}/dataset=other/split=train")
+    found = read_run(spark, Config(output_dir=root, input=root, dataset="owner/corpus"))
+    place = F.row_number().over(Window.orderBy("ord")).cast("long") - 1
+    return found.select(place.alias("place"), *text_facts())
+
+
 def scan_mixed_dir(spark, sf_dir):
     """One folder with a format per language, read as ordered documents."""
     docs, folder = documents(spark, sf_dir, "lang"), fresh_path(spark, "mixed")
@@ -218,6 +230,7 @@ QUERIES = {
     "scan_text_file": scan_text_file,
     "scan_arrow_ipc": scan_arrow_ipc,
     "scan_named_dataset": scan_named_dataset,
+    "run_named_dataset": run_named_dataset,
     "scan_mixed_dir": scan_mixed_dir,
     "chunk_lines": chunk_lines,
     "run_jsonl": run_pipeline_jsonl,
@@ -249,6 +262,9 @@ ORACLES = {
         WITH x AS (SELECT doc_id // {PER_FILE} AS file_no, trim(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS text
                    FROM documents GROUP BY 1)
         SELECT file_no, {TEXT_FACTS} FROM x""",
+    "run_named_dataset": f"""
+        WITH x AS (SELECT doc_id, {strip_sql('text')} AS text FROM documents)
+        SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS place, {TEXT_FACTS} FROM x WHERE length(text) >= 64""",
     "scan_named_dataset": f"""
         SELECT doc_id, lang AS config, CASE WHEN doc_id % 10 = 9 THEN 'validation' ELSE 'train' END AS split, {TEXT_FACTS} FROM documents""",
     "scan_mixed_dir": f"""

@@ -206,6 +206,17 @@ def dataset_report(spark, sf_dir):
     return report.select(F.coalesce("input_dir", F.lit("all")).alias("dataset"), "n_train", "n_val", "total_tokens")
 
 
+def write_datasets_arrow(spark, sf_dir):
+    """All sources packed in one job into Arrow shards, a folder per dataset, read back."""
+    config = _config(spark, format="arrow", compression="lz4")
+    rows = write_datasets(documents(spark, sf_dir, F.col("source").alias("dataset")), config)
+    listed = rows.select(F.explode(F.concat("train_shards", "val_shards")).alias("path")).collect()
+    shards = B._read_shards(spark, sorted(r["path"] for r in listed), "arrow")
+    return shards.select(
+        F.regexp_extract("dataset", "dataset=([^/]+)$", 1).alias("dataset"), "split", "shard_idx", "row",
+        F.col("length").cast("long").alias("length"), *id_facts("input_ids", "inp"), *id_facts("labels", "lab"))
+
+
 def sample_blocks(spark, sf_dir):
     """One epoch of draws over the train shards."""
     config, _ = _write(spark, sf_dir)
@@ -240,6 +251,7 @@ QUERIES = {
     "combine_totals": combine_totals,
     "combined_manifest": combined_manifest,
     "dataset_report": dataset_report,
+    "write_datasets_arrow": write_datasets_arrow,
     "sample_blocks": sample_blocks,
     "sample_windows": sample_windows,
 }
@@ -269,6 +281,14 @@ _POSITION_SPLIT = f"""
     r AS (SELECT split, pos // {BLOCK} * {BLOCK} AS start, list(tok ORDER BY pos) AS tokens FROM p GROUP BY ALL)"""
 
 ORACLES = {
+    "write_datasets_arrow": f"""
+        WITH {stream_sql("(SELECT source AS dataset, doc_id, text FROM documents)", "dataset")},
+        {blocks_sql(partition='dataset')}, {shards_sql('dataset')},
+        q AS (SELECT dataset, split, split_idx AS shard_idx, tokens[:len(tokens) - 1] AS inp, tokens[2:] AS lab,
+                     row_number() OVER (PARTITION BY dataset, split, split_idx ORDER BY block_id) - 1 AS row
+              FROM b JOIN s USING (dataset) WHERE b.block_id // 64 = s.shard_idx)
+        SELECT dataset, split, shard_idx, row, CAST(len(list_filter(inp, lambda x: x <> 0)) AS BIGINT) AS length,
+               {id_facts_sql('inp', 'inp')}, {id_facts_sql('lab', 'lab')} FROM q""",
     "write_block_shards": f"{_SHARDS}, {_ROWS} {_ROW_FACTS}",
     "read_manifest_blocks": f"{_SHARDS}, {_ROWS} {_ROW_FACTS}",
     "read_dir_blocks": f"{_SHARDS}, {_ROWS} {_ROW_FACTS}",

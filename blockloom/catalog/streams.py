@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockloom.catalog.common import BLOCK, TEXT_FACTS, WIDTH, draw_sql, strip_sql, table, text_facts
+from blockloom.catalog.common import (
+    BLOCK, SEED, TEXT_FACTS, WIDTH, blocks_sql, documents, draw_sql, id_facts, id_facts_sql, shards_sql, stream_sql, strip_sql,
+    table, text_facts)
+from blockloom.plans.pipeline import Config, write_corpus
 from blockloom.session import fresh_path
+from blockloom.sources.files import ROOT
 from blockloom.streaming import ingest as I
+from blockloom.streaming.batches import write_packed, write_unique
 from blockloom.streaming.pack import flushed_blocks, lanes, stream_pack as pack_stream
 
 FIELD = {"type": "field", "field": "text"}
@@ -72,7 +77,62 @@ def stream_pack(spark, sf_dir):
     )
 
 
+def stream_extract_jsonl(spark, sf_dir):
+    """The documents as JSON Lines of any shape."""
+    path, out, mark = (fresh_path(spark, label) for label in ("lines", "extracted", "mark"))
+    table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.json(path)
+    records = I.read_json_stream(spark, path, name_filter="*.json").select(
+        ROOT, F.expr(f"try_variant_get({ROOT}, '$.doc_id', 'bigint')").alias("doc_id"),
+        F.expr(f"try_variant_get({ROOT}, '$.source', 'string')").alias("source"))
+    _finish(I.write_available(I.stream_extract(records, FIELD, ("doc_id", "source"), root=ROOT), out, mark))
+    return spark.read.parquet(out).select("doc_id", "source", *text_facts())
+
+
+def stream_rows_arrow(spark, sf_dir):
+    """Arrow training shards as a stream of new files."""
+    config = Config(output_dir=fresh_path(spark, "corpus"), block_size=BLOCK, shard_size=64 * BLOCK, val_split=0.05, seed=SEED, format="arrow", compression="lz4")
+    write_corpus(documents(spark, sf_dir), config)
+    out, mark = fresh_path(spark, "rows"), fresh_path(spark, "mark")
+    schema = "input_ids ARRAY<INT>, labels ARRAY<INT>, length INT, _file STRING, _block BIGINT, _pos BIGINT"
+    rows = I.read_arrow_stream(spark, config.output_dir, schema, settle_seconds=0)
+    _finish(I.write_available(rows, out, mark))
+    name = F.regexp_extract("_file", "([^/]+)$", 1)
+    return spark.read.parquet(out).select(
+        name.alias("file"), (F.col("_block") * 4096 + F.col("_pos")).alias("row"), F.col("length").cast("long").alias("length"),
+        *id_facts("input_ids", "inp"), *id_facts("labels", "lab"))
+
+
+def _in_order(spark, sf_dir, n_files: int = 3):
+    """The documents as files of growing ids that arrive one after the other."""
+    docs, path = table(spark, sf_dir, "documents"), fresh_path(spark, "arriving")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    part = F.expr(f"(doc_id - {low}) * {n_files} div ({high} - {low} + 1)")
+    for i in range(n_files):
+        docs.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return I.read_stream(spark, path, docs.schema, files_per_trigger=1)
+
+
+def stream_pack_lane(spark, sf_dir):
+    """All documents in one lane, packed by many tasks: the blocks of the batch packer."""
+    out, mark = fresh_path(spark, "packed"), fresh_path(spark, "mark")
+    _finish(write_packed(_in_order(spark, sf_dir).withColumn("lane", F.lit("all")), out, mark, BLOCK))
+    blocks = flushed_blocks(spark.read.parquet(out), BLOCK)
+    return blocks.select("block_id", *id_facts("tokens", "tok"))
+
+
+def stream_unique(spark, sf_dir):
+    """The first document of each prefix over all micro-batches, known from written digests."""
+    out, seen, mark = (fresh_path(spark, label) for label in ("unique", "digests", "mark"))
+    docs = I.stream_extract(_in_order(spark, sf_dir), FIELD, ("doc_id",))
+    _finish(write_unique(docs, out, seen, mark, 64, compact_every=2))
+    return spark.read.parquet(out).select("doc_id", "prefix_md5")
+
+
 QUERIES = {
+    "stream_extract_jsonl": stream_extract_jsonl,
+    "stream_rows_arrow": stream_rows_arrow,
+    "stream_pack_lane": stream_pack_lane,
+    "stream_unique": stream_unique,
     "stream_extract": stream_extract,
     "stream_dedupe": stream_dedupe,
     "stream_stats": stream_stats,
@@ -81,6 +141,21 @@ QUERIES = {
 }
 
 ORACLES = {
+    "stream_extract_jsonl": f"""
+        WITH x AS (SELECT doc_id, source, {strip_sql('text')} AS text FROM documents)
+        SELECT doc_id, source, {TEXT_FACTS} FROM x WHERE length(text) >= 64""",
+    "stream_rows_arrow": f"""
+        WITH {stream_sql()}, {blocks_sql()}, {shards_sql()},
+        q AS (SELECT split, split_idx, row_number() OVER (PARTITION BY split, split_idx ORDER BY block_id) - 1 AS row,
+                     tokens[:len(tokens) - 1] AS inp, tokens[2:] AS lab FROM b JOIN s ON b.block_id // 64 = s.shard_idx)
+        SELECT split || '_shard_' || lpad(CAST(split_idx AS VARCHAR), 5, '0') || '.arrow' AS file, row,
+               CAST(len(list_filter(inp, lambda x: x <> 0)) AS BIGINT) AS length, {id_facts_sql('inp', 'inp')}, {id_facts_sql('lab', 'lab')} FROM q""",
+    "stream_pack_lane": f"""
+        WITH {stream_sql()}, {blocks_sql()}
+        SELECT block_id, {id_facts_sql('tokens', 'tok')} FROM b""",
+    "stream_unique": f"""
+        WITH x AS (SELECT doc_id, {strip_sql('text')} AS text FROM documents)
+        SELECT min(doc_id) AS doc_id, md5(left(text, 64)) AS prefix_md5 FROM x WHERE length(text) >= 64 GROUP BY 2""",
     "stream_extract": f"""
         WITH x AS (SELECT doc_id, source, {strip_sql('text')} AS text FROM documents)
         SELECT doc_id, source, {TEXT_FACTS} FROM x WHERE length(text) >= 64""",

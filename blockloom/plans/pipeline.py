@@ -20,7 +20,7 @@ from blockloom.plans.spec import extract, filter_length, resolve_spec
 from blockloom.session import materialize
 from blockloom.sinks.shards import write_block_shards
 from blockloom.sinks.token_files import write_flat_tokens
-from blockloom.sources.files import chunk_lines, order_chunks, read_documents
+from blockloom.sources.files import chunk_lines, dataset_folders, order_chunks, read_documents
 
 
 # The dataset of documents that name none.
@@ -33,6 +33,9 @@ class Config:
 
     output_dir: str
     input: str | None = None
+    dataset: str | None = None  # a dataset landed below ``input``, see ``dataset_folders``
+    dataset_config: str | None = None
+    dataset_split: str = "train"
     file_type: str | None = None
     preset: str | None = None
     field_map: str | dict | None = None
@@ -83,8 +86,11 @@ def _deduped(docs: DataFrame, config: Config) -> DataFrame:
 
 def documents(spark: SparkSession, config: Config) -> DataFrame:
     """``(ord, text, [n_ids])`` ready for tokenization."""
+    path = config.input
+    if config.dataset is not None:
+        path = dataset_folders(spark, config.input, config.dataset, config.dataset_config, config.dataset_split)
     docs = read_documents(
-        spark, config.input, config.spec, config.file_type, config.txt_mode, config.csv_delimiter,
+        spark, path, config.spec, config.file_type, config.txt_mode, config.csv_delimiter,
         min_chars=config.min_doc_chars, max_chars=config.max_doc_chars, extra=_measures(config),
     )
     return _deduped(docs, config)
@@ -199,22 +205,22 @@ def pack_datasets(docs: DataFrame, config: Config, dataset: str = "dataset") ->
 def write_datasets(docs: DataFrame, config: Config, dataset: str = "dataset") -> DataFrame:
     """Pack and write all datasets in one job, with a manifest each; returns one manifest row per dataset.
 
-    ``docs`` holds prepared documents, see ``run_datasets``. Datasets are Parquet shards; another format is an error.
+    ``docs`` holds prepared documents, see ``run_datasets``. Shards are Parquet or Arrow, in a folder per dataset.
     """
-    if config.format != "parquet":
-        raise ValueError(f"datasets are written as parquet, not {config.format}")
+    if config.format not in ("parquet", "arrow"):
+        raise ValueError(f"datasets are written as parquet or arrow, not {config.format}")
     blocks, totals = pack_datasets(docs, config, dataset)
     totals = materialize(totals, "totals")
     per_shard = P.shard_blocks(config.block_size, config.shard_size)
     split = split_shards(
         M.shard_table(totals, per_shard, (dataset,)), config.val_split, config.val_shards, config.seed, (dataset,)
     )
-    write_block_shards(blocks, split, config.output_dir, "parquet", config.compression, (dataset,))
+    write_block_shards(blocks, split, config.output_dir, config.format, config.compression, (dataset,))
     base = F.concat(F.lit(f"{config.output_dir}/{dataset}="), M.directory_value(F.col(dataset)))
-    path = F.concat(base, F.lit("/split="), F.col("split"), F.lit("/shard_idx="), F.col("split_idx").cast("string"))
+    path = F.concat(base, M.shard_path("", F.col("split"), F.col("split_idx"), config.format))
     listed = split.select(dataset, "split", "split_idx", path.alias("path"))
     rows = M.manifest(
-        listed, totals, (dataset,), format="parquet", tokenizer=config.tokenizer.name, block_size=config.block_size,
+        listed, totals, (dataset,), format=config.format, tokenizer=config.tokenizer.name, block_size=config.block_size,
         vocab_size=config.tokenizer.vocab_size, compression=config.compression, source=F.col(dataset),
     )
     rows = materialize(rows, "manifests")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.operators.manifests import directory_value
 from blockloom.operators.packing import shift_labels
 from blockloom.sinks.token_files import write_token_files
 
@@ -48,8 +49,11 @@ def write_block_shards(
         return
     if layout != "arrow":
         raise ValueError(f"unknown layout {layout!r}; known: parquet, arrow")
-    if keys:
-        raise ValueError("Arrow shards are written one dataset per directory")
+    if len(keys) > 1:
+        raise ValueError("Arrow shards lie in folders of one key")
     name = F.concat("split", F.lit("_shard_"), F.lpad(F.col("split_idx").cast("string"), 5, "0"), F.lit(".arrow"))
-    out = rows.sortWithinPartitions("split", "split_idx", "block_id")
-    write_token_files(out.select(name.alias("file_name"), "input_ids", "labels", "length"), path, "arrow", compression)
+    if keys:
+        name = F.concat(F.lit(f"{keys[0]}="), directory_value(F.col(keys[0])), F.lit("/"), name)
+    out = rows.sortWithinPartitions(*keys, "split", "split_idx", "block_id")
+    write_token_files(
+        out.select(name.alias("file_name"), "input_ids", "labels", "length"), path, "arrow", compression, *keys)

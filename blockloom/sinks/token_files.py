@@ -1,7 +1,9 @@
 """Data source writer for files whose boundaries come from the data, not from the tasks.
 
-Rows arrive grouped by a ``file_name`` column; every file is written by one task into ``_staging`` and renamed
-at the commit of the job. A lost task leaves nothing behind but staging files, and a rerun gives the same files.
+Rows arrive grouped by a ``file_name`` column, which may name a folder (``dataset=…/``) before the file; every file is
+written by one task into ``_staging`` and renamed at the commit of the job, many at a time. A lost task leaves nothing
+behind but staging files, and a rerun gives the same files. Files of an earlier run go before the first rename, so a
+commit that is cut off leaves a folder without its manifest, never one with shards of two runs.
 Formats: ``arrow`` (training rows in record batches of at most ``BATCH_ROWS`` rows) and ``flat`` (unsigned 32-bit ids).
 """
 
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from blockloom.sources.storage import locate, register_source
 
 BATCH_ROWS = 4096
+COMMIT_THREADS = 32
 ROW_SCHEMA = pa.schema([
     pa.field("input_ids", pa.list_(pa.int32())), pa.field("labels", pa.list_(pa.int32())), pa.field("length", pa.int32()),
 ])
@@ -65,9 +69,9 @@ NAMES = {"arrow": r"(train|val)_shard_\d{5,}\.arrow", "flat": r"part-\d{10,}\.bi
 
 
 class TokenFileWriter(DataSourceArrowWriter):
-    def __init__(self, directory: str, kind: str, compression: str, overwrite: bool):
+    def __init__(self, directory: str, kind: str, compression: str, overwrite: bool, folders: str = ""):
         self.directory, self.kind, self.compression = directory.rstrip("/"), kind, compression
-        self.overwrite = overwrite
+        self.overwrite, self.folders = overwrite, folders
         self.staging = f"{self.directory}/_staging-{uuid.uuid4().hex}"
 
     def write(self, batches):
@@ -85,7 +89,7 @@ class TokenFileWriter(DataSourceArrowWriter):
                     if current:
                         current.close()
                     name = names[at]
-                    staged = f"{staging}/{attempt}-{name}"
+                    staged = f"{staging}/{attempt}-{len(written)}"
                     current = KINDS[self.kind](system.open_output_stream(staged), self.compression)
                     written.append((staged, name))
                 current.add(batch.slice(at, end - at))
@@ -97,15 +101,24 @@ class TokenFileWriter(DataSourceArrowWriter):
     def commit(self, messages):
         system, target = locate(self.directory)
         system.create_dir(target, recursive=True)
-        if self.overwrite:
-            for info in system.get_file_info(fs.FileSelector(target)):
-                if info.type == fs.FileType.File and re.fullmatch(NAMES[self.kind], info.base_name):
-                    system.delete_file(info.path)
-        for message in messages:
-            for staged, name in (message.files if message else []):
-                system.move(staged, f"{target}/{name}")
+        moves = [(staged, f"{target}/{name}") for message in messages if message for staged, name in message.files]
+        folders = {new.rpartition("/")[0] for _, new in moves}
+        with ThreadPoolExecutor(COMMIT_THREADS) as pool:
+            if self.overwrite:
+                list(pool.map(system.delete_file, self._earlier(system, target)))
+            list(pool.map(lambda folder: system.create_dir(folder, recursive=True), folders - {target}))
+            list(pool.map(lambda move: system.move(*move), moves))
         self._clean()
 
+    def _earlier(self, system, target: str) -> list[str]:
+        """Files of an earlier run: of this kind, in the folder itself or in one of those that ``folders`` names."""
+        found = system.get_file_info(fs.FileSelector(target))
+        inside = [
+            info for folder in found if self.folders and folder.type == fs.FileType.Directory
+            and folder.base_name.startswith(f"{self.folders}=") for info in system.get_file_info(fs.FileSelector(folder.path))]
+        return [i.path for i in ([] if self.folders else found) + inside
+                if i.type == fs.FileType.File and re.fullmatch(NAMES[self.kind], i.base_name)]
+
     def abort(self, messages):
         self._clean()
 
@@ -124,15 +137,19 @@ class TokenFileSink(DataSource):
         return "file_name STRING"
 
     def writer(self, schema, overwrite):
-        return TokenFileWriter(self.options["path"], self.options["kind"], self.options.get("compression", "none"), overwrite)
+        return TokenFileWriter(self.options["path"], self.options["kind"], self.options.get("compression", "none"), overwrite,
+            self.options.get("folders", ""))
+
 
+def write_token_files(df: DataFrame, path: str, kind: str, compression: str = "none", folders: str = "") -> None:
+    """Write rows, already grouped by ``file_name`` inside their partitions; files of an earlier run are replaced.
 
-def write_token_files(df: DataFrame, path: str, kind: str, compression: str = "none") -> None:
-    """Write rows, already grouped by ``file_name`` inside their partitions; files of an earlier run are replaced."""
+    With ``folders``, the name of a column such as ``dataset``, the files lie in folders ``dataset=…``.
+    """
     register_source(df.sparkSession, TokenFileSink)
     (
         df.write.format("token_files").mode("overwrite")
-        .option("path", path).option("kind", kind).option("compression", compression).save()
+        .option("path", path).option("kind", kind).option("compression", compression).option("folders", folders).save()
     )
 
 

@@ -8,10 +8,11 @@ numbers take the wider type, kinds that do not combine are an error. Adds ``_fil
 from __future__ import annotations
 
 import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type, to_arrow_schema
 
 from blockloom.sources.storage import list_files, locate, register_source
@@ -82,6 +83,44 @@ class ArrowIpcReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, names=self.names)
 
 
+class ArrowIpcStreamReader(DataSourceStreamReader):
+    """New files of a folder, in the order of their last change, then of their names.
+
+    The offset is the change and the name of the last file taken. Files that changed within the last ``settle`` seconds
+    wait, so that no file with an equal or an earlier time can follow one that was taken; a file that is moved in with an
+    older time than that is not seen.
+    """
+
+    def __init__(self, paths: list[str], schema, split_bytes: int, settle: float):
+        self.paths, self.settle = paths, settle
+        self.reader = ArrowIpcReader([], schema, split_bytes)
+
+    def _changes(self) -> list[tuple[int, str, int]]:
+        found = []
+        for uri, size in list_files(self.paths, SUFFIXES):
+            system, path = locate(uri)
+            found.append((system.get_file_info(path).mtime_ns, uri, size))
+        return sorted(found)
+
+    def initialOffset(self) -> dict:
+        return {"changed": 0, "uri": ""}
+
+    def latestOffset(self) -> dict:
+        settled = [x for x in self._changes() if x[0] <= time.time_ns() - int(self.settle * 1e9)]
+        return {"changed": settled[-1][0], "uri": settled[-1][1]} if settled else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict):
+        low, high = ((o["changed"], o["uri"]) for o in (start, end))
+        self.reader.files = [(uri, size) for changed, uri, size in self._changes() if low < (changed, uri) <= high]
+        return self.reader.partitions()
+
+    def read(self, partition: BatchRange):
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class ArrowIpcSource(DataSource):
     @classmethod
     def name(cls):
@@ -102,6 +141,11 @@ class ArrowIpcSource(DataSource):
         order = [*ORDER_FIELDS, ROW_FIELD] if shards else ORDER_FIELDS
         return from_arrow_schema(pa.schema([*found, *[pa.field(n, t) for n, t in order]]))
 
+    def streamReader(self, schema):
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+        return ArrowIpcStreamReader(
+            paths, schema, int(self.options.get("split_bytes", 256 << 20)), float(self.options.get("settle_seconds", 2)))
+
     def reader(self, schema):
         return ArrowIpcReader(self._files(), schema, int(self.options.get("split_bytes", 256 << 20)))
 

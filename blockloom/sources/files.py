@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from blockloom.fixed import DIRECTORY_EXTENSIONS, EXTENSIONS, LINES_PER_CHUNK, MAX_CHARS, MIN_CHARS
 from blockloom.functions.text import strip
+from blockloom.operators.manifests import directory_value
 from blockloom.plans.spec import extract, filter_length
 from blockloom.session import materialize
 from blockloom.sources.arrow_ipc import read_arrow
@@ -66,12 +67,15 @@ def _json_objects(line: Column) -> Column:
 
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     """One JSON object per line; blank, broken and non-object lines are skipped, objects beyond 128 MiB are an error."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    lines = _with_order(spark.read.text(list(paths)))
+    return json_objects(_with_order(spark.read.text(list(paths))), *ORDER)
+
+
+def json_objects(lines: DataFrame, *carry: str) -> DataFrame:
+    """``(v, *carry)``: the objects of lines ``(value, *carry)``, of a table or a stream."""
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = strip(F.make_valid_utf8("value"))
     # A one-element list keeps the parse in one place; a filter after it would parse every line twice.
-    rows = lines.select(F.explode(F.array_compact(F.array(_json_objects(text)))).alias(ROOT), *ORDER)
-    return rows
+    return lines.select(F.explode(F.array_compact(F.array(_json_objects(text)))).alias(ROOT), *carry)
 
 
 def read_json(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -335,12 +339,14 @@ def number_rows(df: DataFrame, keys: tuple[str, ...] = ("_rank",), out: str = "o
 
 
 def read_documents(
-    spark: SparkSession, path: str, spec: dict, file_type: str | None = None, txt_mode: str = "paragraphs",
+    spark: SparkSession, path: str | list[str], spec: dict, file_type: str | None = None, txt_mode: str = "paragraphs",
     csv_delimiter: str = ",", csv_schema: T.StructType | None = None,
     min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """``(ord, text, …)`` of a file or directory: discover, read, extract, filter by length, number.
 
+    Of several paths, the documents of the first come first.
+
     Every file type is compiled against its own schema. The extracted texts are written once to the shared
     folder, together with ``extra`` columns derived from the text; reading and extracting never happens twice.
     ``ord`` is unique and grows in document order; dropped records leave gaps.
@@ -348,7 +354,8 @@ def read_documents(
     extra = extra or {}
     parts = None
     inputs = [
-        (rank, kind, group) for rank, kind, pattern in discover(spark, path, file_type)
+        (number * len(DIRECTORY_EXTENSIONS) + rank, kind, group) for number, one in enumerate([path] if isinstance(path, str) else path)
+        for rank, kind, pattern in discover(spark, one, file_type)
         for group in (same_header_groups(spark, pattern) if kind in ("csv", "tsv") else [[pattern]])
     ]
     for rank, kind, group in inputs:
@@ -364,6 +371,24 @@ def read_documents(
     return number_rows(materialize(parts, "documents")).select("ord", "text", *extra)
 
 
+def dataset_folders(spark: SparkSession, root: str, name: str, config: str | None = None, split: str = "train") -> list[str]:
+    """The folders of a landed dataset, ``dataset=/config=/split=`` or ``dataset=/split=`` below ``root``, in name order.
+
+    Only the wanted folders are listed. They may hold files of any format; all configurations are taken unless one is named.
+    """
+    row = spark.range(1).select(*[directory_value(F.lit(v or "")).alias(n) for n, v in (("d", name), ("c", config), ("s", split))]).first()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = f"{literal(root.rstrip('/'))}/dataset={literal(row['d'])}"
+    wanted = [f"{base}/config={literal(row['c']) if config is not None else '*'}/split={literal(row['s'])}"]
+    if config is None:
+        wanted.append(f"{base}/split={literal(row['s'])}")
+    found = sorted(status.getPath().toString() for pattern in wanted for status in system.globStatus(hadoop(pattern)) or [])
+    if not found:
+        raise FileNotFoundError(f"no split {split!r} of dataset {name!r} below {root}")
+    return found
+
+
 def read_named_dataset(
     spark: SparkSession, root: str, name: str, config: str | None = None, split: str = "train"
 ) -> DataFrame:

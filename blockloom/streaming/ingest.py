@@ -9,6 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.operators.dedupe import prefix_key
 from blockloom.plans.spec import extract, filter_length
+from blockloom.sources.arrow_ipc import ArrowIpcSource
+from blockloom.sources.files import json_objects
+from blockloom.sources.storage import register_source
 
 
 def read_stream(
@@ -22,9 +25,29 @@ def read_stream(
     return reader.options(**options).load(path)
 
 
-def stream_extract(records: DataFrame, spec: dict, carry: tuple[str, ...], min_chars: int = 64, max_chars: int = 0) -> DataFrame:
+def read_json_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000, name_filter: str | None = None) -> DataFrame:
+    """JSON Lines files as a stream of objects of any shape, the column ``v`` of the batch reader."""
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger)
+    if name_filter:
+        reader = reader.option("pathGlobFilter", name_filter)
+    return json_objects(reader.load(path))
+
+
+def read_arrow_stream(spark: SparkSession, path: str, schema: T.StructType | str, settle_seconds: float = 2.0) -> DataFrame:
+    """Arrow IPC files of a folder as a stream of new files, with the order columns of the batch reader.
+
+    A file is taken once it has not changed for ``settle_seconds``; see ``sources.arrow_ipc``.
+    """
+    register_source(spark, ArrowIpcSource)
+    reader = spark.readStream.format("arrow_ipc").option("path", path).option("settle_seconds", str(settle_seconds))
+    return reader.schema(schema).load()
+
+
+def stream_extract(
+    records: DataFrame, spec: dict, carry: tuple[str, ...], min_chars: int = 64, max_chars: int = 0, root: str | None = None,
+) -> DataFrame:
     """The batch expressions, unchanged, on a stream."""
-    return filter_length(extract(records, spec, carry), min_chars, max_chars)
+    return filter_length(extract(records, spec, carry, root=root), min_chars, max_chars)
 
 
 def stream_dedupe(docs: DataFrame, n_chars: int, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
