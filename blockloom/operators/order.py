@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 8
-LEVEL_BITS = 14
-#: Levels of ranges of buckets above them: 8 + 3 * 14 of 64 bits, and 14 more for the last window.
+LEVEL_BITS = 19
+#: Levels of ranges above the buckets: 8 + 2 * 19 of 64 bits, and 18 more for the last window.
 LEVELS = -(-(64 - BUCKET_BITS) // LEVEL_BITS) - 1
 
 

@@ -1,18 +1,21 @@
 """Arrow IPC files as a data source: ``spark.read.format("arrow_ipc")``.
 
 Options: ``paths`` (JSON list of files or directories) or ``path``; ``split_bytes`` (files above it are read by
-several tasks, each a range of record batches). Files may differ in their columns: a column that a file lacks is null,
+several tasks, each a range of record batches); ``columns`` (JSON list of the columns to read). Files may differ in their columns: a column that a file lacks is null,
 numbers take the wider type, kinds that do not combine are an error. Adds ``_file``, ``_block`` (record batch) and ``_pos`` (row in it).
 """
 
 from __future__ import annotations
 
 import json
+import operator
 import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan,
+    LessThanOrEqual)
 from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type, to_arrow_schema
 
 from blockloom.sources.storage import list_files, locate, register_source
@@ -28,9 +31,22 @@ class BatchRange(InputPartition):
         self.uri, self.first, self.last = uri, first, last
 
 
-def _open(uri: str) -> pa.ipc.RecordBatchFileReader:
+def _open(uri: str, names: list[str] | None = None) -> pa.ipc.RecordBatchFileReader:
+    """A file; with ``names`` only the buffers of these columns are read."""
     system, path = locate(uri)
-    return pa.ipc.open_file(system.open_input_file(path))
+    source = system.open_input_file(path)
+    reader = pa.ipc.open_file(source)
+    if names is None or set(reader.schema.names) <= set(names):
+        return reader
+    wanted = [i for i, name in enumerate(reader.schema.names) if name in names]
+    return pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=wanted))
+
+
+#: Comparisons of the order columns that spare files and record batches.
+TESTS = {
+    EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt,
+    LessThanOrEqual: operator.le, In: lambda value, values: value in values,
+}
 
 
 def _rows(uri: str, numbers: range) -> list[int]:
@@ -44,6 +60,18 @@ class ArrowIpcReader(DataSourceReader):
     def __init__(self, files: list[tuple[str, int]], schema, split_bytes: int):
         self.files, self.names, self.split_bytes = files, schema.names, split_bytes
         self.fields = schema
+        self.tests: list[tuple[str, type, object]] = []
+
+    def pushFilters(self, filters):
+        """Filters on ``_file`` and ``_block`` spare what they exclude. Spark applies all filters to the rows that come."""
+        for found in filters:
+            name = found.attribute[0] if len(getattr(found, "attribute", ())) == 1 else None
+            if name in ("_file", "_block") and type(found) in TESTS:
+                self.tests.append((name, type(found), found.value))
+            yield found
+
+    def _wanted(self, name: str, value) -> bool:
+        return all(TESTS[kind](value, other) for tested, kind, other in self.tests if tested == name)
 
     def _column(self, batch: pa.RecordBatch, name: str) -> pa.Array:
         wanted = self.fields[name].dataType
@@ -56,6 +84,8 @@ class ArrowIpcReader(DataSourceReader):
     def partitions(self):
         ranges = []
         for uri, size in self.files:
+            if not self._wanted("_file", uri):
+                continue
             parts = max(1, -(-size // self.split_bytes))
             if parts == 1:
                 ranges.append(BatchRange(uri, 0, None))
@@ -63,13 +93,18 @@ class ArrowIpcReader(DataSourceReader):
             n = _open(uri).num_record_batches
             step = max(1, -(-n // parts))
             ranges += [BatchRange(uri, at, min(at + step, n)) for at in range(0, n, step)]
-        return ranges
+        return ranges or [BatchRange("", 0, 0)]
 
     def read(self, partition: BatchRange):
-        reader = _open(partition.uri)
+        if not partition.uri:
+            return
+        reader = _open(partition.uri, self.names)
         last = reader.num_record_batches if partition.last is None else partition.last
         row = sum(_rows(partition.uri, range(partition.first))) if "_row" in self.names else 0
         for number in range(partition.first, last):
+            if not self._wanted("_block", number):
+                row += _rows(partition.uri, range(number, number + 1))[0] if "_row" in self.names else 0
+                continue
             batch = reader.get_batch(number)
             n = batch.num_rows
             order = {
@@ -139,6 +174,8 @@ class ArrowIpcSource(DataSource):
             schemas = list(pool.map(lambda uri: _open(uri).schema.remove_metadata(), uris[:1] if shards else uris))
         found = pa.unify_schemas(schemas, promote_options="permissive")
         order = [*ORDER_FIELDS, ROW_FIELD] if shards else ORDER_FIELDS
+        if "columns" in self.options:
+            found = pa.schema([found.field(name) for name in json.loads(self.options["columns"])])
         return from_arrow_schema(pa.schema([*found, *[pa.field(n, t) for n, t in order]]))
 
     def streamReader(self, schema):
@@ -150,9 +187,16 @@ class ArrowIpcSource(DataSource):
         return ArrowIpcReader(self._files(), schema, int(self.options.get("split_bytes", 256 << 20)))
 
 
-def read_arrow(spark, *paths: str, schema=None, **options):
-    """Records of Arrow IPC files with their order columns."""
+def read_arrow(spark, *paths: str, schema=None, columns: list[str] | None = None, **options):
+    """Records of Arrow IPC files with their order columns.
+
+    With ``columns`` or a ``schema`` only these columns are read from the files; Spark cannot tell a Python source which
+    ones a query needs. Filters on ``_file`` and ``_block`` are pushed down and spare files and record batches.
+    """
     register_source(spark, ArrowIpcSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if columns is not None:
+        options["columns"] = json.dumps(columns)
     reader = spark.read.format("arrow_ipc").option("paths", json.dumps(list(paths)))
     for key, value in options.items():
         reader = reader.option(key, str(value))

@@ -6,11 +6,14 @@ import random
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, LessThan
 
 from blockloom.operators.packing import pack_blocks
 from blockloom.operators.tokenize import ByteTokenizer
 from blockloom.plans.pipeline import Config, documents, write_datasets
+from blockloom.sources import arrow_ipc
 from blockloom.sources import blocks as B
+from blockloom.sources.arrow_ipc import read_arrow
 from blockloom.sources.files import ROOT, dataset_folders, read_documents
 from blockloom.streaming import ingest as I
 from blockloom.streaming.batches import write_packed, write_unique
@@ -130,3 +133,27 @@ def test_named_dataset_as_input(spark, tmp_path):
     assert [r["text"] for r in documents(spark, run).orderBy("ord").collect()] == ["third", "fourth"]
     with pytest.raises(FileNotFoundError):
         dataset_folders(spark, str(root), "owner/d", split="test")
+
+
+def test_arrow_reads_what_is_asked_for(spark, tmp_path):
+    schema = pa.schema([("x", pa.int64()), ("wide", pa.string())])
+    for name, low in (("a.arrow", 0), ("b.arrow", 100)):
+        with pa.OSFile(str(tmp_path / name), "wb") as sink, pa.ipc.new_file(sink, schema) as writer:
+            for batch in range(4):
+                values = list(range(low + batch * 10, low + batch * 10 + 10))
+                writer.write_batch(pa.record_batch([pa.array(values), pa.array([str(v) * 100 for v in values])], schema=schema))
+    df = read_arrow(spark, str(tmp_path), columns=["x"])
+    assert df.columns == ["x", "_file", "_block", "_pos"] and df.count() == 80
+    names = arrow_ipc._open(str(tmp_path / "a.arrow"), df.columns).get_batch(0).schema.names
+    assert names == ["x"]
+    some = df.where((F.col("_block") >= 1) & (F.col("_block") < 3) & F.col("_file").endswith("b.arrow"))
+    assert sorted(r["x"] for r in some.collect()) == list(range(110, 130))
+    one = df.select("_file").distinct().orderBy("_file").first()["_file"]
+    assert sorted(r["x"] for r in df.where((F.col("_file") == one) & F.col("_block").isin(0, 3)).collect()) == [*range(10), *range(30, 40)]
+    assert df.where("_file = 'none'").count() == 0 and df.where("x > 135").count() == 4
+    reader = arrow_ipc.ArrowIpcReader(arrow_ipc.list_files([str(tmp_path)], (".arrow",)), df.schema, 1)
+    assert len(reader.partitions()) == 8
+    list(reader.pushFilters([EqualTo(("_file",), one), GreaterThan(("x",), 5)]))
+    assert {p.uri for p in reader.partitions()} == {one}
+    list(reader.pushFilters([LessThan(("_block",), 2)]))
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 20

@@ -93,9 +93,9 @@ def test_totals_over_any_orders(spark, keys):
 
 
 def test_no_window_sees_more_than_a_range():
-    """Of any 64-bit orders, a range of each level holds at most 2^14 ranges of the one below, and so has the last window."""
+    """Of any 64-bit orders, a range of each level holds at most 2^19 ranges of the one below, and so has the last window."""
     from blockloom.operators import order
-    assert order.BUCKET_BITS + (order.LEVELS + 1) * order.LEVEL_BITS >= 64 and order.LEVEL_BITS <= 14
+    assert order.BUCKET_BITS + (order.LEVELS + 1) * order.LEVEL_BITS >= 64 and order.LEVEL_BITS <= 19
 
 
 def test_blocks_of_sparse_orders(spark):
