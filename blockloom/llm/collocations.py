@@ -10,8 +10,9 @@ sample proposed.
 
 A full pass runs twice over the texts. First it counts cells, 40 bits of a phrase's hash, as sorted 32-bit numbers with
 a count byte each (counts above 255 stay 255). Then it counts, by the hashes of their words, the phrases of cells that
-reach the minimum, and drops those that do not reach it themselves. Proposals and cells travel as bitmaps of a fixed size
-(``BITS``); full bitmaps let more phrases through to the exact counts and change no result. The hashes of words are
+reach the minimum, and drops those that do not reach it themselves. Both counts are summed in a task first and leave it
+as arrays, one per bucket of cells. Proposals and cells travel as bitmaps of a fixed size
+(``bitmaps.BITS``); full bitmaps let more phrases through to the exact counts and change no result. The hashes of words are
 checked: if two words of a language share one, all is done again with other hashes.
 
 Defined results: a null text counts as empty and a null language as ``und``; rows of one or no ``doc_id`` are documents
@@ -33,6 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.llm import bitmaps
 from blockloom.llm.common import text_of
 from blockloom.llm.encoding import SLICE_BYTES, buffers, text_slices
 from blockloom.session import materialize
@@ -43,11 +45,10 @@ TOP = 2000
 COVERED = (4, 5)
 #: One document in ``SAMPLE_OF`` proposes; a phrase at the minimum occurs there 7.5 times on average.
 SAMPLE_OF, SAMPLE_MIN = 4, 3
-BITS = 26
-CELL_BITS = 40
-#: Words per bucket of cells; at least 256 buckets, so that a cell's number within its bucket has 32 bits.
+#: Words per bucket of cells.
 BUCKET_WORDS = 1 << 19
-HELD_CELLS = 1 << 21
+#: Phrases that a task holds before it sends them, each with its sum so far.
+HELD_PHRASES = 1 << 19
 UND = "und"
 
 BREAKS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
@@ -122,7 +123,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("lang", "word").agg(F.sum("count").alias("count")), "phrase-words")
 
 
-# Hashes, cells and bitmaps.
+# Hashes and cells.
 
 def word_hash(word: Column, salt: str) -> Column:
     """The hash that ``_hashes`` gives."""
@@ -145,53 +146,15 @@ def _first(lang: str, words: np.ndarray) -> np.ndarray:
     return _longer(np.full(words.size, xxhash.xxh64_intdigest(lang.encode(), 1), np.uint64), words)
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - CELL_BITS)
-
-
-def _places(cells: np.ndarray) -> list[np.ndarray]:
-    """The two places of a cell in a bitmap."""
-    return [((cells + np.uint64(1)) * np.uint64(m)) >> np.uint64(64 - BITS) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-
-
-def _has(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    found = np.ones(cells.size, bool)
-    for place in _places(cells):
-        found &= (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-    return found
-
-
-def _empty() -> np.ndarray:
-    return np.zeros(1 << BITS - 6, np.uint64)
-
-
-def _put(bitmap: np.ndarray, cells: np.ndarray) -> None:
-    for place in _places(cells):
-        np.bitwise_or.at(bitmap, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
-
-
-def _held(bitmap: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(bitmap)
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(bitmap[at].view(np.int64))], ["at", "bits"])
-
-
-def _bitmap(parts: DataFrame) -> np.ndarray:
-    """The bitmap whose parts ``at, bits`` the tasks give; its size is fixed, whatever the input."""
-    found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    result = _empty()
-    result[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return result
-
-
 def proposed(phrases: DataFrame) -> np.ndarray:
     """The bitmap of phrases, given as ``lang, words`` (arrays of word hashes)."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = _empty()
+        bitmap = bitmaps.empty()
         for batch in batches:
-            _put(bitmap, _cells(_phrase_hashes(batch)))
-        yield _held(bitmap)
+            bitmaps.put(bitmap, bitmaps.cells(_phrase_hashes(batch)))
+        yield bitmaps.held(bitmap)
 
-    return _bitmap(phrases.select("lang", "words").mapInArrow(each, "at long, bits long"))
+    return bitmaps.merged(phrases.select("lang", "words").mapInArrow(each, bitmaps.SCHEMA))
 
 
 def _phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
@@ -220,7 +183,7 @@ def _phrases(
     for lang, names, numbers, joined, own in _scan(batches):
         words = _hashes(names, salt)
         hashes = _first(lang, words)
-        known, rank = [_has(b, _cells(hashes)) if b is not None else None for b in (new, old)], numbers
+        known, rank = [bitmaps.has(b, bitmaps.cells(hashes)) if b is not None else None for b in (new, old)], numbers
         for n in range(2, max(lengths) + 1):
             # ``rank`` numbers the phrases of n - 1 words by their start, -1 where there is none.
             fits = (rank >= 0) & known[0][rank]
@@ -239,7 +202,7 @@ def _phrases(
                     held &= ~(known[1][head] & known[1][tail])
                 yield lang, words[numbers[some[held][:, None] + np.arange(n)]], longer[held], found[held]
             hashes = longer
-            known = [_has(b, _cells(hashes)) if b is not None else None for b in (new, old)]
+            known = [bitmaps.has(b, bitmaps.cells(hashes)) if b is not None else None for b in (new, old)]
             rank = np.full(numbers.size, -1)
             rank[at] = codes
 
@@ -248,72 +211,75 @@ def frequent_cells(
     texts: DataFrame, salt: str, lengths: tuple[int, ...], least: int, buckets: int, new: Broadcast, old: Broadcast | None = None,
 ) -> np.ndarray:
     """The bitmap of cells whose phrases are counted ``least`` times or more, at most 255."""
-    def sent(cells: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        each, total = np.concatenate(cells), np.concatenate(counts)
-        bucket = each % np.uint64(buckets)
-        order = np.lexsort((each, bucket))
-        each, total, bucket = each[order], total[order], bucket[order]
-        first = np.flatnonzero(np.diff(each, prepend=~each[:1]))
-        total = np.minimum(np.add.reduceat(total, first), 255).astype(np.uint8)
-        inner, bucket = (each[first] // np.uint64(buckets)).astype("<u4"), bucket[first].astype(np.int32)
-        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), bucket.size).astype(np.int32)
-        return pa.RecordBatch.from_arrays([
-            pa.array(bucket[cut[:-1]]),
-            pa.Array.from_buffers(pa.binary(), cut.size - 1, [None, pa.py_buffer(cut * np.int32(4)), pa.py_buffer(inner)]),
-            pa.Array.from_buffers(pa.binary(), cut.size - 1, [None, pa.py_buffer(cut), pa.py_buffer(total)])],
-            ["bucket", "cells", "counts"])
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, counts = [], []
         for _, _, hashes, found in _phrases(batches, salt, lengths, new.value, old and old.value):
             if hashes.size:
-                cells.append(_cells(hashes))
+                cells.append(bitmaps.cells(hashes))
                 counts.append(found)
-            if sum(c.size for c in cells) >= HELD_CELLS:
-                yield sent(cells, counts)
+            if sum(c.size for c in cells) >= bitmaps.HELD_CELLS:
+                yield bitmaps.packed_cells(cells, counts, buckets)
                 cells, counts = [], []
         if cells:
-            yield sent(cells, counts)
+            yield bitmaps.packed_cells(cells, counts, buckets)
 
-    def summed(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        inner = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["cells"]])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table["counts"]])
-        order = np.argsort(inner, kind="stable")
-        inner = inner[order]
-        first = np.flatnonzero(np.diff(inner.astype(np.int64), prepend=-1))
-        total = np.add.reduceat(counts[order], first, dtype=np.int64)
-        held = inner[first[total >= least]].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
-        places = np.unique(np.concatenate(_places(held)))
-        at = (places >> np.uint64(6)).astype(np.int64)
-        begin = np.flatnonzero(np.diff(at, prepend=-1))
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), begin) if at.size else np.zeros(0, np.uint64)
-        return pa.table({"at": at[begin], "bits": bits.view(np.int64)})
-
-    rows = texts.mapInArrow(each, "bucket int, cells binary, counts binary")
-    return _bitmap(rows.groupBy("bucket").applyInArrow(summed, "at long, bits long"))
+    return bitmaps.frequent(texts.mapInArrow(each, bitmaps.CELL_ROWS), least, buckets)
 
 
 def phrase_counts(
-    texts: DataFrame, salt: str, cells: Broadcast, new: Broadcast, old: Broadcast | None, least: int,
+    texts: DataFrame, salt: str, cells: Broadcast, buckets: int, new: Broadcast, old: Broadcast | None, least: int,
 ) -> DataFrame:
     """The written table ``lang, words, count, known`` of phrases counted ``least`` times; ``known`` if proposed."""
     lengths = tuple(range(2, LONGEST + 1))
 
+    def sent(lang: str, n: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket, words, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((*words.T[::-1], bucket))
+        bucket, words, counts = bucket[order], words[order], counts[order]
+        new_one = np.append(True, (bucket[1:] != bucket[:-1]) | (words[1:] != words[:-1]).any(axis=1))
+        first = np.flatnonzero(new_one)
+        counts, words, bucket = np.add.reduceat(counts, first), words[first], bucket[first]
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), bucket.size)
+        return pa.RecordBatch.from_arrays([
+            pa.array([lang] * (cut.size - 1), pa.string()), pa.array(np.full(cut.size - 1, n, np.int32)), pa.array(bucket[cut[:-1]]),
+            pa.array([words[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+            pa.array([counts[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["lang", "n", "bucket", "words", "counts"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+        size = 0
         for lang, words, hashes, found in _phrases(batches, salt, lengths, new.value, old and old.value):
-            held = np.flatnonzero(_has(cells.value, _cells(hashes)))
-            if held.size:
-                words = words[held]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(held.size + 1) * words.shape[1], pa.int32()), pa.array(words.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * held.size, pa.string()), lists, pa.array(found[held]),
-                    pa.array(_has(new.value, _cells(hashes[held])))], ["lang", "words", "count", "known"])
+            own = bitmaps.cells(hashes)
+            at = np.flatnonzero(bitmaps.has(cells.value, own))
+            if at.size:
+                held.setdefault((lang, words.shape[1]), []).append(
+                    ((own[at] % np.uint64(buckets)).astype(np.int64), words[at], found[at]))
+                size += at.size
+            if size >= HELD_PHRASES:
+                yield from (sent(*key, parts) for key, parts in held.items())
+                held, size = {}, 0
+        yield from (sent(*key, parts) for key, parts in held.items())
 
-    rows = texts.mapInArrow(each, "lang string, words array<long>, count long, known boolean")
-    return materialize(
-        rows.groupBy("lang", "words", "known").agg(F.sum("count").alias("count")).where(F.col("count") >= least), "phrase-counts")
+    def summed(table: pa.Table) -> pa.Table:
+        lang, n = table["lang"][0].as_py(), table["n"][0].as_py()
+        words = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["words"]]).reshape(-1, n)
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]])
+        order = np.lexsort(words.T[::-1])
+        words, counts = words[order], counts[order]
+        first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
+        counts, words = np.add.reduceat(counts, first), words[first]
+        words, counts = words[counts >= least], counts[counts >= least]
+        hashes = _first(lang, words[:, 0])
+        for i in range(1, n):
+            hashes = _longer(hashes, words[:, i])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(counts.size + 1) * n, pa.int32()), pa.array(words.ravel().view(np.int64)))
+        return pa.table({
+            "lang": pa.array([lang] * counts.size, pa.string()), "words": lists, "count": counts,
+            "known": bitmaps.has(new.value, bitmaps.cells(hashes))})
+
+    rows = texts.mapInArrow(each, "lang string, n int, bucket long, words binary, counts binary")
+    return materialize(rows.groupBy("lang", "n", "bucket").applyInArrow(
+        summed, "lang string, words array<long>, count long, known boolean"), "phrase-counts")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_of: int = SAMPLE_OF, sample_min: int = SAMPLE_MIN) -> tuple[DataFrame, DataFrame]:
@@ -331,7 +297,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_of: int
             break
     send = spark.sparkContext.broadcast
     total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0
-    buckets = max(256, total // BUCKET_WORDS)
+    buckets = max(bitmaps.BUCKETS, total // BUCKET_WORDS)
     found = words.where(F.col("count") >= min_count).select("lang", F.array("hash").alias("words"), "count")
 
     new = proposed(found)
@@ -343,7 +309,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_of: int
     while True:
         sent = send(new)
         cells = frequent_cells(texts, salt, tuple(range(2, LONGEST + 1)), min_count, buckets, sent, old)
-        counted = phrase_counts(texts, salt, send(cells), sent, old, min_count)
+        counted = phrase_counts(texts, salt, send(cells), buckets, sent, old, min_count)
         found = found.unionByName(counted.drop("known"))
         failed = counted.where((F.size("words") < LONGEST) & ~F.col("known"))
         if failed.isEmpty():

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from blockloom.llm import collocations, encoding
+from blockloom.llm import bitmaps, collocations, encoding
 
 SCHEMA = "doc_id long, text string, lang string, source string, word string, count string, words string, hash string"
 
@@ -93,7 +93,7 @@ def test_windows_of_long_texts(monkeypatch, size):
     rows = [r for r in _rows() if r[1] is not None]
     rows.append((1, " ".join(r[1] for r in rows) + "x" * 500 + " y z", "en"))
     batch = pa.RecordBatch.from_arrays([pa.array([r[2] or "und" for r in rows]), pa.array([r[1] for r in rows])], ["lang", "text"])
-    every = np.full(1 << collocations.BITS - 6, ~np.uint64(0))
+    every = np.full(1 << bitmaps.BITS - 6, ~np.uint64(0))
     got, want = Counter(), Counter()
     names = {}
     for lang, words, _, own in ((a, b, c, e) for a, b, c, _, e in collocations._scan(iter([batch]))):
