@@ -143,5 +143,5 @@ def test_datasets_keep_or_refuse_every_setting(spark, tmp_path):
     assert sorted((r["dataset"], r["total_docs"], r["total_blocks"]) for r in rows) == [("a", 1, 1), ("b", 1, 1)]
     written = spark.read.parquet(config.output_dir).select("dataset", F.size("input_ids").alias("n")).collect()
     assert sorted(map(tuple, written)) == [("a", 3), ("b", 3)]
-    with pytest.raises(ValueError, match="written as parquet"):
-        write_datasets(docs, Config(output_dir="x", format="arrow"))
+    with pytest.raises(ValueError, match="written as parquet or arrow, not bin"):
+        write_datasets(docs, Config(output_dir="x", format="bin"))
