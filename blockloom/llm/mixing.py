@@ -1,14 +1,15 @@
 """Mixing sources to target weights.
 
 The words of every source form one stream, packed into blocks of a fixed length. An output shard draws how many of
-its slots each source fills: the whole part of the expected count is given, the rest is a multinomial draw, given that
-each source's counts over all shards add up to its need. Numbering
-a source's slots over all shards gives each an index; a pseudorandom permutation per source and pass maps the index
+its slots each source fills, a multinomial draw by the sources' needs; then the draws are corrected so that each
+source's counts over all shards add up to its need. Numbering a source's slots over all shards gives each an index; a pseudorandom permutation per source and pass maps the index
 to a block, and the slots join the blocks by (source, block). A pass uses every block of its source once, so with a
 limit of two passes no document is taken more than twice.
 
 Defined results: a null text has no words, as an empty one; documents without words are taken 0 times; a null source
 is a source of its own, last in order; repeated rows are documents of their own; an empty table gives an empty result.
+Other columns, whatever their names, pass through the mixed documents; a very long text is cut by the task that holds its row. One row per
+source meets in a window, so the number of sources is bounded by what one task sorts.
 """
 
 from __future__ import annotations
@@ -72,48 +73,86 @@ def targets(
     )
 
 
+def needs(sources: DataFrame) -> DataFrame:
+    """``s, need, base``: the slots that each source fills in all, and those of the sources before it.
+
+    Needs are rounded in running sums, so that all sources together fill the sum of their needs and thousands of needs
+    under half a slot are not all rounded to none. One row per source meets in a window, as in ``targets``.
+    """
+    need = F.coalesce(F.try_divide(F.col("blocks") * F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    part = F.col("_need") - F.floor("_need")
+    upto = F.floor(F.sum("_part").over(Window.orderBy("s")) + 0.5)
+    return (
+        sources.withColumn("_need", need).withColumn("_part", part).withColumn("_upto", upto)
+        .withColumn("need", F.floor("_need") + F.col("_upto") - F.coalesce(F.lag("_upto").over(Window.orderBy("s")), F.lit(0)))
+        .select("s", "need").withColumn("base", F.sum("need").over(Window.orderBy("s")) - F.col("need"))
+    )
+
+
+def _owned(rows: DataFrame, number: Column, shares: DataFrame, total: int, n_shares: int) -> DataFrame:
+    """``rows`` with the ``s`` of ``shares``, ``s, share, base``, whose numbers from ``base`` on hold ``number``.
+
+    The numbers below ``total`` fall into cells, at least four per share, and meet the shares that reach into their cell.
+    """
+    cells = max(CELLS, 4 * n_shares)
+    width = -(-total // cells) or 1
+    reach = F.sequence(F.floor(F.col("base") / width), F.floor((F.col("base") + F.col("share") - 1) / width))
+    known = shares.where("share > 0").select("s", "share", "base", F.explode(reach).alias("_cell"))
+    rows = rows.withColumn("_number", number).withColumn("_cell", F.floor(F.col("_number") / width))
+    held = (F.col("_number") >= F.col("base")) & (F.col("_number") < F.col("base") + F.col("share"))
+    return rows.join(known, "_cell").where(held).drop("_cell", "_number", "share", "base")
+
+
+def _each(rows: DataFrame, n: str, name: str) -> DataFrame:
+    """Every row repeated with ``name`` from 0 to ``n - 1``, dealt to tasks by number of results, not by bytes read."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.where(F.col(n) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CELLS))).alias("_high"))
+    each = F.sequence(F.lit(0).cast("long"), F.least(F.lit(CELLS).cast("long"), F.col(n) - F.col("_high") * CELLS) - 1)
+    return spread.repartition(tasks).select("*", F.explode(each).alias("_low")).withColumn(
+        name, F.col("_high") * CELLS + F.col("_low")).drop("_high", "_low")
+
+
 def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``s, shard, count``: how many slots of each output shard a source fills.
 
-    A source fills its need in slots, rounded so that all sources together fill the sum of their needs. Each shard gets
-    the whole part of the source's share; the source's slots left over are seats. A permutation deals all seats out
-    evenly over the shards: a multinomial draw for each shard, given the sums of all sources.
+    Every slot of a shard draws its source by its share of all needs, so a shard's counts are a multinomial draw. Over all
+    shards a source then has some slots too many or too few. It gives up those too many, chosen by a permutation of its
+    slots, and they go, in the order of another permutation, to the sources with too few.
     """
-    upto = Window.orderBy("s")
-    sources = sources.withColumn("_need", F.coalesce(
-        F.try_divide(F.col("blocks") * F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
-    need = sources.agg(F.sum("_need").alias("need")).first()["need"] or 0.0
-    shards = max(1, round(need / shard_slots))
-    # Fractions are rounded in running sums: thousands of needs under half a slot are not all rounded to none.
-    sources = sources.withColumn("_part", F.col("_need") - F.floor("_need")).withColumn("_upto", F.sum("_part").over(upto))
-    extra = F.floor(F.col("_upto") + 0.5) - F.coalesce(F.lag(F.floor(F.col("_upto") + 0.5)).over(upto), F.lit(0))
-    filled = sources.select("s", (F.floor("_need") + extra).alias("_slots")).select(
-        "s", F.expr(f"_slots div {shards}").alias("_whole"), (F.col("_slots") % shards).alias("_seats"))
-    filled = materialize(filled.withColumn("_first", F.sum("_seats").over(upto) - F.col("_seats")), "mix-seats")
-    seats = filled.agg(F.sum("_seats").alias("n")).first()["n"] or 0
-
-    def each(name: str, n: Column) -> DataFrame:
-        """Every source's row repeated with ``name`` from 0 to ``n - 1``; no sequence is longer than its cells."""
-        low = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("_low")
-        rows = filled.withColumn("_n", n).where("_n > 0")
-        high = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CELLS))).alias("_high")
-        return rows.select("*", high).select("*", low).withColumn(name, F.col("_high") * CELLS + F.col("_low")).where(F.col(name) < F.col("_n"))
-
-    whole = each("shard", F.when(F.col("_whole") > 0, F.lit(shards).cast("long"))).select("s", "shard", F.col("_whole").alias("count"))
-    place = permuted(F.col("_first") + F.col("_seat"), F.lit(max(seats, 1)).cast("long"), F.lit(-1))
-    drawn = each("_seat", F.col("_seats")).select("s", place.alias("_place")).select(
-        "s", F.expr(f"_place * {shards} div {max(seats, 1)}").alias("shard"), F.lit(1).cast("long").alias("count"))
-    return whole.unionByName(drawn).groupBy("s", "shard").agg(F.sum("count").alias("count"))
+    spark = sources.sparkSession
+    wanted = materialize(needs(sources), "mix-needs")
+    row = wanted.agg(F.sum("need").alias("n"), F.count("*").alias("k")).first()
+    total, n_sources = row["n"] or 0, row["k"]
+    shards = max(1, round(total / shard_slots))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots_ = spark.range(0, total, 1, tasks).select(F.col("id").alias("_slot"), F.expr(f"id * {shards} div {max(1, total)}").alias("shard"))
+    number = F.pmod(F.xxhash64(F.lit(SEED + 4), "_slot"), F.lit(max(1, total)).cast("long"))
+    drawn = _owned(slots_, number, wanted.withColumnRenamed("need", "share"), total, n_sources)
+    drawn = materialize(drawn.groupBy("s", "shard").agg(F.count("*").alias("count")), "mix-drawn")
+
+    sums = materialize(wanted.join(drawn.groupBy("s").agg(F.sum("count").alias("_drawn")), "s", "left").select(
+        "s", "need", F.coalesce("_drawn", F.lit(0)).alias("_drawn")), "mix-sums")
+    over = with_start(drawn, "count", ("s",), "shard").join(sums.where("_drawn > need"), "s")
+    given = _each(over, "count", "_i").where(
+        permuted(F.col("start") + F.col("_i"), F.col("_drawn"), F.col("s"), F.lit(-1)) >= F.col("need"))
+    given = materialize(given.groupBy("s", "shard").agg(F.count("*").alias("_given")), "mix-given")
+
+    short = sums.where("_drawn < need").select("s", (F.col("need") - F.col("_drawn")).alias("share"))
+    short = materialize(short.withColumn("base", F.sum("share").over(Window.orderBy("s")) - F.col("share")), "mix-short")
+    open_ = with_start(given.groupBy("shard").agg(F.sum("_given").alias("_n")), "_n", (), "shard")
+    n_open = given.agg(F.sum("_given").alias("n")).first()["n"] or 0
+    seats = _each(open_, "_n", "_i").select("shard", (F.col("start") + F.col("_i")).alias("_seat"))
+    place = permuted(F.col("_seat"), F.lit(max(1, n_open)).cast("long"), F.lit(-2))
+    added = _owned(seats, place, short, n_open, n_sources).select("s", "shard", F.lit(1).cast("long").alias("count"))
+    changes = given.select("s", "shard", (-F.col("_given")).alias("count")).unionByName(added)
+    return drawn.unionByName(changes).groupBy("s", "shard").agg(F.sum("count").alias("count")).where("count > 0")
 
 
 def slots(sources: DataFrame, limit: int = LIMIT, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``shard, place, s, pass, block``: the block that each slot of the mix takes. ``place`` orders a shard's slots."""
-    counts = with_start(shard_counts(sources, shard_slots), "count", ("s",), "shard")
-    # A count is a few bytes and makes thousands of slots, so tasks go by number, not by the size of what they read.
-    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = with_start(materialize(shard_counts(sources, shard_slots), "mix-counts"), "count", ("s",), "shard")
     return (
-        counts.join(sources.select("s", "blocks"), "s").repartition(tasks, "s", "shard")
-        .select("s", "shard", "blocks", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("_i"))
+        _each(counts.join(sources.select("s", "blocks"), "s"), "count", "_i")
         .withColumn("_index", F.col("start") + F.col("_i"))
         .where(F.col("_index") < F.col("blocks") * limit)
         .withColumn("pass", F.floor(F.col("_index") / F.col("blocks")))
@@ -143,10 +182,11 @@ def mix(rows: DataFrame, sources: DataFrame, block: int = BLOCK_WORDS, limit: in
     """
     rows = rows.join(sources.select("source", "s").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     streams = stream_starts(rows.select("_row", "doc_id", "s", "size", "tie"), "size", ("s",), ("tie", "_row"))
-    return slots(sources, limit, shard_slots).join(pieces(streams, block), ["s", "block"])
+    # Both sides grow with the corpus. Spark would take the slots, a few bytes of counts before they are spread, for small.
+    return slots(sources, limit, shard_slots).hint("merge").join(pieces(streams, block), ["s", "block"])
 
 
-def measured(docs: DataFrame, *columns: str) -> DataFrame:
+def measured(docs: DataFrame, *columns: Column) -> DataFrame:
     """The written table of documents with ``_row``, ``size`` in words and ``tie``, an order among equal ids."""
     text = text_of()
     return materialize(numbered(docs.select(
@@ -171,21 +211,22 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document that a pass takes whole keeps its text unchanged. Documents without words are passed on once.
     Other columns keep their values, ``n_chars`` follows the text.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "source", "size", "tie")]
-    rows = measured(docs, *others)
+    rows = measured(docs, F.struct("*").alias("_doc"))
     sources = materialize(targets(rows), "mix-sources")
     held = (
         mix(rows.select("_row", "doc_id", "source", "size", "tie"), sources).groupBy("_row", "pass")
         .agg(F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_pieces"))
     )
-    words = F.regexp_extract_all("text", F.lit(rf"(?:\A[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*"), F.lit(0))
+    text = F.col("_doc.text")
+    words = F.regexp_extract_all(text, F.lit(rf"(?:\A[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*"), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(
         F.col("_words"), (p["first"] + 1).cast("int"), p["words"].cast("int")))), "")
     whole = F.col("_taken") == F.col("size")
     mixed = (
         rows.where("size > 0").join(held, "_row")
         .withColumn("_words", F.when(~whole, words))
-        .withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+        .withColumn("_text", F.when(whole, text).otherwise(cut))
     )
-    result = mixed.select(*[c for c in docs.columns]).unionByName(rows.where("size = 0").select(*docs.columns))
-    return result.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else result
+    result = mixed.select("_doc", "_text").unionByName(rows.where("size = 0").select("_doc", text.alias("_text")))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return result.select(*[made.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
