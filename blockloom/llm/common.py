@@ -93,6 +93,20 @@ def placed(found: DataFrame, kinds: list[str]) -> DataFrame:
     )
 
 
+def with_overlaps(spans: DataFrame, base: DataFrame) -> DataFrame:
+    """``spans`` with ``_overlaps``: whether a span of ``base`` has a place in common, in the same ``_row``.
+
+    The spans of a row go by start; the furthest end so far and the nearest start still to come decide.
+    """
+    marked = spans.withColumn("_base", F.lit(False)).unionByName(
+        base.select("_row", "start", "end").withColumn("_base", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy("_row").orderBy("start")
+    ends = F.max(F.when(F.col("_base"), F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    starts = F.min(F.when(F.col("_base"), F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+    overlaps = F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
+    return marked.withColumn("_overlaps", overlaps).where(~F.col("_base")).drop("_base")
+
+
 def joined_spans(spans: DataFrame, name: str) -> DataFrame:
     """Per ``_row``: ``kind:start:end`` of its spans by start, then rank, comma-joined."""
     listed = F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind")))
