@@ -1,15 +1,19 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over encoded strings.
 
-Candidates are runs of at least 20 characters of the base-64 alphabets with a digit. The smallest alphabet that holds
-a candidate is its encoding. Over the places of its characters in that alphabet run three tests: chi-squared against
-the uniform alphabet, runs above and below the middle, and serial correlation. Fisher's method combines their
-p-values; a string that looks random goes on. Short or wide-alphabet strings can look random by chance, so each is
-held against the skewed letter use of ordinary names: the p-value is that of a chi-squared statistic as low as this
-under such use, whose distance from the random one grows with the length. Benjamini and Hochberg's procedure over
-all distinct candidates of an encoding and length class then bounds the share of ordinary names among the findings.
+Candidates are runs of at least 20 characters of the base-64 alphabets with a digit, or with letters of both cases. The
+smallest alphabet that holds a candidate is its encoding; digits alone are a number, not a key. Over the places of its
+characters in that alphabet run three tests: chi-squared against the uniform alphabet, runs above and below the middle,
+and serial correlation. Fisher's method combines their p-values; a string that looks random goes on. Short strings can
+look random by chance, so each is held against what else is written in its alphabet. In the wide alphabets those are
+ordinary names: the p-value is that of a chi-squared statistic as low as this under the skewed letter use of names, whose
+distance from the random one grows with the length. No name is written in sixteen digits; there it is repetition, periods
+and sequences: at least half of the pairs of neighbours have occurred before, and the p-value is that of so few repeated
+pairs under such a share. Benjamini and Hochberg's procedure over all distinct candidates of an encoding and length class
+then bounds the share of such strings among the findings.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned each; repeated candidates
-count once in the discovery control; an empty table gives an empty result.
+count once in the discovery control; an empty table gives an empty result. Other columns are not
+read, whatever their names; a very long text is walked once per kind by one task.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import joined_spans, matches_if, numbered, placed, text_of
+from blockloom.llm.common import joined_spans, matches_if, numbered, placed, text_of, with_overlaps
 from blockloom.session import materialize
 
 # The patterns of the base kinds.
@@ -27,15 +31,20 @@ HEX = r"[0-9a-f]{24,}"  # runs are maximal, so shorter ones need not be matched
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 KINDS = ["assign", "access", "hex", "random"]
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+"
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[a-z0-9+/_-]*+[A-Z][A-Z0-9+/_-]*+[a-z]|[A-Z0-9+/_-]*+[a-z][a-z0-9+/_-]*+[A-Z])"
+    r"[A-Za-z0-9+/_-]{20,}+"
+)
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = {
-    "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER,
+    "digits": DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER,
     "BASE36": DIGITS + UPPER, "base62": DIGITS + LOWER + UPPER, "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_", "mixed": UPPER + LOWER + DIGITS + "+/-_",
 }
 #: Sum of squared letter shares of ordinary names; a uniform alphabet of k letters has 1 / k.
 NAME_COINCIDENCE = 0.066
+#: Alphabets without names, and the least share of repeated pairs in strings written in them that are not random.
+NAMELESS, REPEATED = ("hex", "HEX"), 0.5
 ALPHA = 0.01
 FALSE_DISCOVERIES = 0.05
 
@@ -59,7 +68,7 @@ def statistics(values: DataFrame) -> DataFrame:
     for name in reversed(list(ALPHABETS)[:-1]):
         inside = "[" + ALPHABETS[name].replace("-", r"\-") + "]+"
         encoding = F.when(F.regexp_like("value", F.lit(rf"\A{inside}\z")), name).otherwise(encoding)
-    rows = materialize(values.select("value", encoding.alias("encoding")), "candidates")
+    rows = materialize(values.select("value", encoding.alias("encoding")).where("encoding <> 'digits'"), "candidates")
     alphabets = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
     rows = rows.withColumn("_alphabet", F.element_at(alphabets, F.col("encoding")))
     rows = materialize(rows.select(
@@ -77,6 +86,7 @@ def statistics(values: DataFrame) -> DataFrame:
         F.expr("aggregate(pairs, 0D, (s, p) -> s + (p.a - mean) * (p.b - mean))").alias("lag"),
         F.expr("cast(size(filter(at, x -> x >= k / 2)) as double)").alias("high"),
         F.expr("1D + size(filter(pairs, p -> (p.a >= k / 2) <> (p.b >= k / 2)))").alias("runs"),
+        F.expr("cast(size(pairs) - size(array_distinct(pairs)) as double)").alias("repeats"),
     ), "candidate-sums")
 
 
@@ -89,6 +99,8 @@ def battery(values: DataFrame) -> DataFrame:
     shift = F.expr(f"n * greatest(k * {NAME_COINCIDENCE}D - 1, 0.25D)")
     rows = rows.withColumn("shift", shift)
     z_name = F.expr("(k - 1 + shift - chi) / sqrt(2 * (k - 1) + 4 * shift)")
+    z_same = F.expr(f"((n - 1) * {REPEATED}D - repeats) / sqrt((n - 1) * {REPEATED}D * (1 - {REPEATED}D))")
+    z_name = F.when(F.col("encoding").isin(*NAMELESS), z_same).otherwise(z_name)
     rows = materialize(rows.select(
         "value", "encoding", "n", _normal_tails(F.array(z_chi, F.abs(z_runs), F.abs(z_lag), z_name)).alias("p")), "candidate-tails")
     half = F.expr("-(ln(greatest(p[0], 1e-12D)) + ln(greatest(2 * p[1], 1e-12D)) + ln(greatest(2 * p[2], 1e-12D)))")
@@ -132,12 +144,8 @@ def secret_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         f"(kind = 'assign' AND length(value) >= {ASSIGN_MIN}) OR (kind = 'access' AND length(match) >= {ACCESS_MIN}) OR kind = 'hex'"
     )
     passed = discoveries(spans.where("kind = 'random'").select(F.col("match").alias("value")).distinct())
-    taken = base.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_taken"))
-    new = (
-        spans.where("kind = 'random'").join(passed.select(F.col("value").alias("match")), "match", "left_semi")
-        .join(taken, "_row", "left")
-        .where("_taken IS NULL OR NOT exists(_taken, t -> t.start < end AND t.end > start)")
-    )
+    new = spans.where("kind = 'random'").join(passed.select(F.col("value").alias("match")), "match", "left_semi")
+    new = with_overlaps(new, base).where(~F.col("_overlaps"))
     columns = ["_row", "kind", "rank", "start", "end", "match"]
     return found.select("_row", "doc_id"), base.select(columns).unionByName(new.select(columns))
 
