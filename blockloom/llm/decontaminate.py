@@ -11,17 +11,21 @@ every document is searched against every block.
 
 Defined results: a null text counts as empty and holds no passage; items without characters match nothing; items shorter
 than ``q`` match only a whole text; repeated items and rows are reported each; null ids are kept; empty tables give an
-empty result.
+empty result. Other columns, whatever their names, are kept by the filter and not read. A very long text is searched whole by
+one task, in some sixteen bytes of memory per character and gram.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import text_of
+from blockloom.session import materialize
 
 Q = 8
 EDIT_SHARE = 0.08
@@ -207,28 +211,40 @@ def leaks(text: Column, items: Items) -> Column:
     return search(text)
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[tuple[list[int | None], list[str]]]:
-    """The query set's ids and texts, in blocks of a bounded number of characters."""
-    made: list[tuple[list[int | None], list[str]]] = []
-    total = block_chars
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list[int | None], list[str]]]:
+    """The query set's ids and texts, in blocks of a bounded number of characters or of one longer item, one at a time."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    total = 0
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        if total >= block_chars:
-            made.append(([], []))
-            total = 0
-        made[-1][0].append(row["item_id"])
-        made[-1][1].append(row["text"])
+        if ids and total >= block_chars:
+            yield ids, texts
+            ids, texts, total = [], [], 0
+        ids.append(row["item_id"])
+        texts.append(row["text"])
         total += len(row["text"])
-    return made
+    if ids:
+        yield ids, texts
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, start, end, edits`` for every passage of an item in a document.
 
+    Each block of items is a job of its own whose hits are written; the driver holds one block at a time.
+    """
+    def hits(items: Items) -> DataFrame:
+        return docs.select("doc_id", F.explode(leaks(text_of(), items)).alias("h")).select("doc_id", "h.*")
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, start, end, edits`` for every passage of an item in a document."""
-    found = [leaks(text_of(), Items(ids, texts)) for ids, texts in blocks(benchmark) or [([], [])]]
-    return docs.select("doc_id", F.explode(F.concat(*found)).alias("h")).select("doc_id", "h.*")
+    found = None
+    for ids, texts in blocks(benchmark, block_chars):
+        part = materialize(hits(Items(ids, texts)), "leaks")
+        found = part if found is None else found.unionByName(part)
+    return hits(Items([], [])) if found is None else found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no passage of any item, unchanged."""
-    for ids, texts in blocks(benchmark):
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no passage of any item, unchanged. Beyond the first block, what is left is written first."""
+    for n, (ids, texts) in enumerate(blocks(benchmark, block_chars)):
+        docs = materialize(docs, "leak-free") if n else docs
         docs = docs.where(F.size(leaks(text_of(), Items(ids, texts))) == 0)
     return docs
