@@ -8,7 +8,7 @@ are equal if and only if their recipes are. Only the recipes are grouped and joi
 
 Defined results: a null text counts as empty, and all empty texts are equal; of equal texts the row with the most code
 points stays, then the smallest ``doc_id`` (null last), then one of the repeated rows; an empty table gives an empty
-result.
+result. Other columns are not read, whatever their names; a very long text is chunked by one task and only its chunks move.
 """
 
 from __future__ import annotations

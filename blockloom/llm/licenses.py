@@ -9,6 +9,7 @@ Known are the whole texts in ``license_texts``, their usual variants, and header
 
 Defined results: a null text counts as empty; empty texts and lines are no licence; repeated rows and lines are reported
 each; the line of a text over several lines is its first; known texts that are equal in canonical form are all reported; empty tables give an empty result.
+Other columns are not read, whatever their names; a very long text is canonicalised by one task, which holds a few copies of it.
 """
 
 from __future__ import annotations

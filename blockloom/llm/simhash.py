@@ -8,7 +8,8 @@ equi-join. Groups are the connected components of the links.
 
 Defined results: a null text has no words, as an empty one, and its fingerprint is zero; rows with equal fingerprints
 are linked; a null ``doc_id`` is never the smallest unless all ids of its group are null; repeated rows share a group;
-an empty table gives an empty result.
+an empty table gives an empty result. Other columns, whatever their names, pass through unchanged; a very long text is
+hashed by one task, shingle by shingle.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > last, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, columns: list[str] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, columns: list[Column] | None = None) -> DataFrame:
     """The written table of ``_row``, the columns (``doc_id`` unless given) and ``fp`` (signed 64 bits)."""
     @F.arrow_udf("long")
     def each(texts: pa.Array) -> pa.Array:
@@ -133,9 +134,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
     The documents are written with their fingerprints, so both reads see the same rows; the texts do not move unless
     too many rows go for a broadcast of their numbers.
     """
-    rows = fingerprints(docs, shingle, docs.columns)
-    found = grouped(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "fp"), bits)
-    return first_of_each(rows, found).select(*docs.columns)
+    rows = fingerprints(docs, shingle, [F.struct("*").alias("_doc")])
+    found = grouped(rows.select("_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), "fp"), bits)
+    return first_of_each(rows, found).select("_doc.*")
 
 
 def first_of_each(rows: DataFrame, found: DataFrame) -> DataFrame:

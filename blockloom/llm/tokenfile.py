@@ -11,6 +11,7 @@ both as Parquet, written through Spark's commit, so a retried task leaves no hal
 Defined results: a null text counts as empty and has only the end id; rows of one ``doc_id`` follow the order of their
 ids' checksum; null ids come first; the string of an added
 token in a text is that token, as the tokenizer has it; an empty table gives an empty corpus.
+Other columns are not read, whatever their names; a very long text is encoded in slices, and its ids are held by one task.
 """
 
 from __future__ import annotations

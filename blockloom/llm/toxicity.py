@@ -9,7 +9,8 @@ label (the first by a hash of their id); scoring reads every whole text and need
 Defined results: a null or empty text has no terms and gets the bias's score; a null ``doc_id`` is not held out and has
 no label; null labels and labels without a document are ignored; a document with contradicting labels counts as toxic;
 with one label only, every score is that label's share; repeated rows get equal scores; an empty table gives an empty
-result.
+result. Other columns, whatever their names, are kept by the filter and never read by a score; a very long text is hashed by
+one task.
 """
 
 from __future__ import annotations
