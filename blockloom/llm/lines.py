@@ -14,7 +14,8 @@ The words of lines are made from the texts wherever they are needed, and never w
 
 Defined results: a null text counts as empty; lines without words are kept; a ``doc_id`` that is no whole number comes
 last; repeated rows follow each other in any order, and of equal lines the first stays; an empty table gives an empty
-result. Words and sets are told apart by 64-bit hashes.
+result. Words and sets are told apart by 64-bit hashes. Other columns are not read, whatever their names. Long texts are walked by
+lines and long lines by words, some hundred kilobytes at a time; a task holds the distinct words of one line.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockloom.llm import bitmaps
 from blockloom.llm.common import numbered, stream_starts, text_of
-from blockloom.session import materialize
+from blockloom.llm.encoding import buffers, text_slices
+from blockloom.session import discard, materialize
 
 SIMILARITY = (4, 5)
 CELL_SHIFT = 46
 COUNT_CELLS = 1 << 64 - CELL_SHIFT
 COUNT_PART = 1 << 12
-SLICE_BYTES = 1 << 22
+#: Bytes that are hashed at once: small enough for a processor's cache.
+SLICE_BYTES = 1 << 18
 #: Added to the places of lines whose document has no whole-number id.
 LAST = 1 << 60
 #: Sets a task remembers to have sent; it forgets them when full, which changes no result.
@@ -83,17 +87,49 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def _line_slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """The lines of texts, some megabytes at a time: the text of each line, its place there, and the lines."""
-    lists = pc.split_pattern(texts, "\n")
-    sizes = np.diff(lists.offsets.to_numpy())
-    lines = lists.flatten()
-    owner = np.repeat(np.arange(sizes.size), sizes)
-    place = np.arange(owner.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    upto = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    cuts = np.flatnonzero(np.diff(upto // SLICE_BYTES)) + 1
-    for start, stop in zip([0, *cuts], [*cuts, owner.size]):
-        if stop > start:
-            yield owner[start:stop], place[start:stop], lines[start:stop]
+    """The lines of texts, some hundred kilobytes at a time: the text of each line, its place there, and the lines."""
+    done = 0
+    for part in text_slices(texts, SLICE_BYTES):
+        lists = pc.split_pattern(part, "\n")
+        sizes = np.diff(lists.offsets.to_numpy())
+        lines = lists.flatten()
+        owner = np.repeat(np.arange(sizes.size), sizes)
+        place = np.arange(owner.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start = 0
+        for some in text_slices(lines, SLICE_BYTES):
+            stop = start + len(some)
+            yield done + owner[start:stop], place[start:stop], some
+            start = stop
+        done += len(part)
+
+
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts, and which text it is in; ``lower`` takes A-Z as a-z.
+
+    The bytes are walked in windows that end between two words, so a long text takes no more memory than its words.
+    """
+    data, offsets = buffers(texts)
+    at, hashes, owners = 0, [], []
+    while at < data.size:
+        end, reach = data.size, SLICE_BYTES
+        while at + reach < data.size and end == data.size:
+            gaps = np.flatnonzero(_IS_SPACE[data[at + 1:at + reach]])
+            border = offsets[np.searchsorted(offsets, at + reach) - 1]
+            last = max(at + 1 + int(gaps[-1]) if gaps.size else 0, int(border))
+            end, reach = last if last > at else end, reach * 4
+        window = data[at:end]
+        if lower:
+            window = np.where((window >= 65) & (window <= 90), window + np.uint8(32), window)
+        inside = ~_IS_SPACE[window]
+        edge = np.zeros(window.size + 1, bool)  # where a text starts or ends
+        edge[offsets[np.searchsorted(offsets, at):np.searchsorted(offsets, end, "right")] - at] = True
+        edge[0] = edge[-1] = True
+        starts = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])))
+        ends = np.flatnonzero(inside & (edge[1:] | np.concatenate([~inside[1:], [True]]))) + 1
+        hashes.append(_hashed(window, starts, ends))
+        owners.append(np.searchsorted(offsets, starts + at, "right") - 1)
+        at = end
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *owners])
 
 
 def _word_sets(lines: pa.Array, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -101,16 +137,7 @@ def _word_sets(lines: pa.Array, places: np.ndarray | None = None) -> tuple[np.nd
 
     The words of a set go by hash or, with the place of each hash cell, by the place of their cells and hash.
     """
-    offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset:lines.offset + len(lines) + 1].astype(np.int64)
-    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
-    inside = ~_IS_SPACE[data]
-    edge = np.zeros(data.size + 1, bool)  # where a line starts or ends
-    edge[offsets] = True
-    starts = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])))
-    ends = np.flatnonzero(inside & (edge[1:] | np.concatenate([~inside[1:], [True]]))) + 1
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    words = _hashed(data, starts, ends)
+    words, owner = word_hashes(lines)
     if places is not None:
         words = _moved(words, places)
     order = np.argsort(words)
@@ -250,17 +277,24 @@ def distinct_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``set_id, words``: the word hashes of the wanted sets."""
+    """``set_id, words``: the word hashes of the wanted sets.
+
+    A bitmap of the wanted ids keeps most other sets from leaving Python; the join decides exactly.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(bitmaps.of(wanted))
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsent = _Unsent()
         for batch in batches:
             for _, _, lines in _line_slices(batch.column(0)):
                 sizes, words = _word_sets(lines)
                 ids = _set_ids(sizes, words)
-                new = unsent(sizes, ids)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[new]), _list_array(sizes[new], pa.array(words[np.repeat(new, sizes)].view(np.int64)))],
-                    ["set_id", "words"])
+                new = bitmaps.has(known.value, ids.view(np.uint64))
+                new[new] = unsent(sizes[new], ids[new])
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(ids[new]), _list_array(sizes[new], pa.array(words[np.repeat(new, sizes)].view(np.int64)))],
+                        ["set_id", "words"])
 
     sets = _texts(docs).mapInArrow(each, "set_id long, words array<long>")
     return sets.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
@@ -284,12 +318,30 @@ def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     pairs = materialize(pairs.distinct(), f"{label}-pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), f"{label}-wanted")
     words = materialize(words_of(docs, wanted), f"{label}-words")
-    matching = (
+    matching = materialize((
         pairs.join(words.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")
         .join(words.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
         .where(_enough(F.size("wa"), F.size("wb"), F.size(F.array_intersect("wa", "wb"))))
-    )
-    return materialize(matching.select(F.col("b").alias("set_id")).distinct(), f"{label}-matched")
+    ).select(F.col("b").alias("set_id")).distinct(), f"{label}-matched")
+    for table in (words, wanted, pairs):
+        discard(table)
+    return matching
+
+
+def postings(sets: DataFrame) -> DataFrame:
+    """``set_id, at, word``: the prefix words that occur in two sets or more, as far as a bitmap of them can tell."""
+    known = sets.sparkSession.sparkContext.broadcast(bitmaps.repeated(sets.select("prefix")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            owner, at, words = bitmaps.shared_items(batch.column(batch.num_columns - 1), known.value)
+            rows = rest.take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at), pa.array(words)], [*rest.schema.names, "at", "word"])
+
+    names = [c for c in sets.columns if c != "prefix"]
+    schema = T.StructType([*[sets.schema[c] for c in names], T.StructField("at", T.IntegerType()), T.StructField("word", T.IntegerType())])
+    return sets.select(*names, "prefix").mapInArrow(each, schema)
 
 
 def matched_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -303,9 +355,9 @@ def matched_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     ).select(F.col("e.set_id").alias("a"), F.col("set_id").alias("b")), "line-near")
 
     # Both sides of the join are the same postings, moved once: the place of a matched set is marked, not filtered out.
-    index = sets.join(near.withColumn("done", F.lit(1)), "set_id", "left").select(
-        "set_id", "n", "sketch", (F.col("first") * 2 + F.coalesce("done", F.lit(0))).alias("order"),
-        F.posexplode("prefix").alias("at", "word"))
+    index = postings(sets.select("set_id", "n", "sketch", "first", "prefix")).join(near.withColumn("done", F.lit(1)), "set_id", "left")
+    index = materialize(index.select(
+        "set_id", "n", "sketch", (F.col("first") * 2 + F.coalesce("done", F.lit(0))).alias("order"), "at", "word"), "line-postings")
     left, right = (index.select("word", *[F.col(c).alias(c + side) for c in ("set_id", "n", "sketch", "at", "order")]) for side in "ab")
     na, nb = F.col("na"), F.col("nb")
     rest = F.least(na - F.col("ata"), nb - F.col("atb")) + F.least("ata", "atb")
@@ -313,6 +365,8 @@ def matched_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     pairs = left.join(right, (left["word"] == right["word"]) & (F.col("ordera") < searched) & _enough(na, nb, rest)
                       & _may_match(na, F.col("sketcha"), nb, F.col("sketchb")))
     others = _verified(docs, pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")), "line-other")
+    for table in (index, sets):
+        discard(table)
     return near.unionByName(others)
 
 
