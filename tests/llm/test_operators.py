@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blockloom.llm import decontaminate, exact, licenses, lines, mixing, pii, queries, secrets, simhash, tokenfile, toxicity
+from blockloom.llm import common, decontaminate, exact, licenses, lines, mixing, pii, queries, secrets, shingles, simhash, tokenfile, toxicity
 from tests.llm import reference
 
 TOKENIZER = queries.TOKENIZER
@@ -100,6 +101,97 @@ def test_context_finds_unseen_identifiers(spark):
     assert [r["match"] for r in spans.where("kind = 'context'").collect()] == ["4111111111111112"]
 
 
+def test_power_by_alphabet(spark):
+    """Of random keys of 32 and more letters at least nine in ten are found among a hundred of their class."""
+    rng = random.Random(17)
+    for size in (32, 40, 64):
+        made = {
+            (name, "".join(rng.choice(letters) for _ in range(size)))
+            for name, letters in secrets.ALPHABETS.items() if name not in ("digits", "mixed", "hex") for _ in range(100)}
+        found = {r["value"] for r in secrets.discoveries(spark.createDataFrame([(v,) for _, v in made], "value string")).collect()}
+        for name in secrets.ALPHABETS:
+            keys = [v for n, v in made if n == name]
+            assert sum(v in found for v in keys) >= 0.9 * len(keys), (size, name, sum(v in found for v in keys))
+    others = [
+        "DEADBEEF" * 4, "0123456789ABCDEF" * 2, "A1" * 16, "FFFFFFFF00000000FFFFFFFF00000000", "20240131123456789012", "1" * 40,
+        "getUserAccountInformationFromDatabase", "ReleaseNotesForTheVersionOfJanuary", "alpha/beta/gamma/release-2024-01-31-final",
+        "INTERNAL_2_EXTERNAL_3_VERSION_4_OF_NOTES", "the_number_of_the_release_is_version_4",
+    ]
+    assert discoveries_of(spark, others) == set()
+
+
+def discoveries_of(spark, values):
+    return {r["value"] for r in secrets.discoveries(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+
+
+def test_discovery_control_against_a_plain_version(spark):
+    rng = random.Random(23)
+    values = {"".join(rng.choice(secrets.ALPHABETS[rng.choice(["base62", "base36", "HEX"])]) for _ in range(rng.choice([20, 24, 33, 48]))) for _ in range(150)}
+    values |= {f"{a}_{b}_{i}_of_the_release" for i, (a, b) in enumerate(zip(["internal", "external"] * 20, ["notes", "version"] * 20))}
+    tested = secrets.battery(spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    classes, want = {}, set()
+    for r in tested:
+        letters = next(a for a in secrets.ALPHABETS.values() if set(r["value"]) <= set(a))
+        at, n, k = [letters.index(c) for c in r["value"]], len(r["value"]), len(letters)
+        chi = sum(at.count(x) ** 2 for x in set(at)) * k / n - n
+        if r["encoding"] in secrets.NAMELESS:
+            pairs = list(zip(at, at[1:]))
+            z = ((n - 1) / 2 - (len(pairs) - len(set(pairs)))) / (0.5 * (n - 1) ** 0.5)
+        else:
+            shift = n * max(k * secrets.NAME_COINCIDENCE - 1, 0.25)
+            z = (k - 1 + shift - chi) / (2 * (k - 1) + 4 * shift) ** 0.5
+        assert r["p_name"] == pytest.approx(max(0.5 * math.erfc(z / 2 ** 0.5), 1e-15), rel=0.01, abs=1e-7)
+        if r["p_random"] >= secrets.ALPHA:
+            classes.setdefault((r["encoding"], math.floor(2 * math.log2(n))), []).append((math.floor(-10 * math.log(r["p_name"])), r["value"]))
+    for held in classes.values():
+        passing = [c for c, _ in held if math.exp(-c / 10) * len(held) <= 0.05 * sum(d >= c for d, _ in held)]
+        want |= {v for c, v in held if passing and c >= min(passing)}
+    assert discoveries_of(spark, values) == want and len(want) > 60
+
+
+def test_context_finds_an_unseen_address(spark):
+    known = [f"please write a mail to user{i}.name@host{i % 7}.example for help" for i in range(40)]
+    texts = known + ["please write a mail to john.doe@localhost for help", "write a mail to anna(at)mail.example now", "the ratio of a/b was 3"]
+    texts += [f"his number is +1 (555) 010-{i:04} at home" for i in range(60)] + ["his number is 555 010 9999 at home", "his number is 12 at home"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, spans = pii.personal_spans(df)
+    assert sorted(r["match"] for r in spans.where("kind = 'context'").collect()) == ["12", "555 010 9999", "john.doe@localhost"]
+
+
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    """Instances that were found make the next pattern trusted, more rounds than three."""
+    edges, n = [], 6
+    for step in range(n):
+        for i in range(10):
+            edges.append((f"p{step}", f"v{step}_{i}", step == 0))
+            edges.append((f"p{step + 1}", f"v{step}_{i}", step == 0))
+        edges += [(f"p{step}", f"s{step}_{i}", True) for i in range(5)] + [(f"p{step + 1}", f"s{step}_{i}", True) for i in range(5)]
+    edges.append((f"p{n}", "last", False))
+    got = {r["value"] for r in pii.trusted_instances(spark.createDataFrame(edges, "pattern string, value string, seed boolean"), min_trust=0.45).collect()}
+    known, want = {v for _, v, s in edges if s}, set()
+    while True:
+        new = set()
+        for p in {p for p, _, _ in edges}:
+            held = {v for q, v, _ in edges if q == p}
+            if len({v for q, v, s in edges if q == p and s}) >= 5 and len(held & known) / (len(held) + 1) >= 0.45:
+                new |= held - known
+        if not new:
+            break
+        known |= new
+        want |= new
+    assert got == want and "last" in want
+
+
+def test_overlaps_of_spans(spark):
+    rng = random.Random(6)
+    made = [(row, s, s + rng.randint(1, 9)) for row in range(4) for s in rng.choices(range(200), k=30)]
+    base = [(row, s, s + rng.randint(1, 30)) for row in range(3) for s in rng.choices(range(200), k=8)]
+    schema = "_row long, start long, end long"
+    got = common.with_overlaps(spark.createDataFrame(made, schema), spark.createDataFrame(base, schema)).collect()
+    want = [(r, s, e, any(r == x and a < e and b > s for x, a, b in base)) for r, s, e in made]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_simhash_groups(docs, empty, rows):
     found = by_id(simhash.near_groups(docs))
     fps = {i: reference.fingerprint(t) for i, t, *_ in rows}
@@ -112,6 +204,18 @@ def test_simhash_groups(docs, empty, rows):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_clashing_columns_pass_through(spark):
+    """Columns named like the operators' own keep their values."""
+    names = ["_row", "set_id", "fp", "size", "tie", "_doc", "root", "node", "s", "pass", "first", "score", "_text"]
+    rows = [(i, f"some words of document {i} " * 9, "en", f"s{i % 2}", 3, *[f"{n}{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for kept in (simhash.one_of_each(df), shingles.one_of_each(df), mixing.mixed_documents(df), decontaminate.without_leaks(
+            df, spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string"))):
+        found = kept.collect()
+        assert kept.columns == df.columns and found
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names)
+
+
 def test_links_are_complete(spark):
     rng = random.Random(9)
     centers = [rng.getrandbits(64) for _ in range(20)]
@@ -217,6 +321,52 @@ def test_small_sources_meet_their_need_over_many_shards(spark):
         assert taken == {s: n for s, n in held.items() if n}
 
 
+def test_shards_draw_their_counts(spark):
+    rows = spark.createDataFrame([(f"s{i}", 128 * n) for i, n in enumerate((40_000, 30_000, 30_000, 500))], "source string, size long")
+    sources = mixing.targets(rows).cache()
+    wanted = {r["s"]: r["need"] for r in mixing.needs(sources).collect()}
+    total = sum(wanted.values())
+    counts = {(r["s"], r["shard"]): r["count"] for r in mixing.shard_counts(sources, 1000).collect()}
+    shards = {k for _, k in counts}
+    assert len(shards) == round(total / 1000)
+    for s, need in wanted.items():
+        got = [counts.get((s, k), 0) for k in shards]
+        p = need / total
+        assert sum(got) == need
+        spread = sum((c - need / len(shards)) ** 2 for c in got) / len(shards)
+        assert 0.5 < spread / (1000 * p * (1 - p)) < 1.6  # as counts of 1000 independent draws
+
+
+def test_words_taken_follow_from_the_blocks(spark, docs):
+    rows = mixing.measured(docs)
+    sources = mixing.targets(rows).cache()
+    drawn = mixing.slots(sources).collect()
+    assert len({(r["s"], r["pass"], r["block"]) for r in drawn}) == len(drawn)
+    number = {r["source"]: r["s"] for r in sources.collect()}
+    used = {}
+    for r in drawn:
+        used.setdefault(r["s"], []).append(r["block"])
+    want = {}
+    for source, s in number.items():
+        at = 0
+        own = [r for r in rows.collect() if r["source"] == source]
+        for r in sorted(own, key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["tie"], r["_row"])):
+            low, high = at, at + r["size"]
+            want.setdefault(r["doc_id"], []).append(sum(
+                max(0, min(high, 128 * (b + 1)) - max(low, 128 * b)) for b in used.get(s, [])))
+            at = high
+    assert {i: sorted(r["taken"] for r in rs) for i, rs in by_id(mixing.taken(docs)).items()} == {i: sorted(t) for i, t in want.items()}
+
+
+def test_slots_are_never_broadcast(spark, docs):
+    rows = mixing.measured(docs)
+    held = mixing.mix(rows.select("_row", "doc_id", "source", "size", "tie"), mixing.targets(rows))
+    held.write.format("noop").mode("overwrite").save()
+    held.collect()
+    plan = held._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [s#" in plan
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("p")).collect()
@@ -256,7 +406,7 @@ def test_toxic_only_together():
     assert ((scores >= toxicity.THRESHOLD) == (labels == 1)).mean() >= 0.97
 
 
-def test_decontamination(spark, empty):
+def test_decontamination(spark, docs, empty):
     rng = random.Random(4)
     words = "sing thorn ble erst ouin heath reon the of and".split()
     item = " ".join(rng.choices(words, k=40))
@@ -284,6 +434,12 @@ def test_decontamination(spark, empty):
     left = decontaminate.without_leaks(table, benchmark)
     assert {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - want - {2}
     assert decontaminate.contaminated(empty, benchmark).count() == 0
+    # Item by item, the hits and what is left are the same.
+    assert sorted(map(str, decontaminate.contaminated(table, benchmark, block_chars=1).collect())) == sorted(map(str, hits))
+    left = [sorted(map(str, decontaminate.without_leaks(table, benchmark, n).collect())) for n in (1, 1 << 20)]
+    assert left[0] == left[1] and len(left[0]) == table.count() - len({h["doc_id"] for h in hits})
+    hostile = decontaminate.without_leaks(docs, benchmark)
+    assert hostile.columns == docs.columns and hostile.count() == docs.count()
     assert decontaminate.contaminated(table, benchmark.where("false")).count() == 0
 
 
