@@ -201,8 +201,13 @@ def _phrases(
                 if old is not None:
                     held &= ~(known[1][head] & known[1][tail])
                 yield lang, words[numbers[some[held][:, None] + np.arange(n)]], longer[held], found[held]
+            if old is not None:
+                # A bitmap admits others too: earlier passes only reached phrases whose ends they had reached themselves.
+                reached = known[1][head] & known[1][tail]
             hashes = longer
             known = [bitmaps.has(b, bitmaps.cells(hashes)) if b is not None else None for b in (new, old)]
+            if old is not None:
+                known[1] &= reached
             rank = np.full(numbers.size, -1)
             rank[at] = codes
 

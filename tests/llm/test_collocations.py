@@ -104,3 +104,15 @@ def test_windows_of_long_texts(monkeypatch, size):
     for lang, counts in counted([(r[0], r[1], r[2] or "und") for r in rows]).items():
         want.update({(lang, g): c for g, c in counts.items() if len(g) > 1})
     assert got == want
+
+
+def test_chance_members_of_a_full_bitmap_lose_no_phrase():
+    """An earlier pass that was not given ``a b`` never reached ``a b c``, even if its bitmap held that by chance."""
+    words = collocations._hashes([b"a", b"b", b"c", b"d"], "0")
+    first = collocations._first("en", words)
+    triples = [collocations._longer(collocations._longer(first[i:i + 1], words[i + 1:i + 2]), words[i + 2:i + 3]) for i in (0, 1)]
+    old, every = bitmaps.empty(), np.full(1 << bitmaps.BITS - 6, ~np.uint64(0))
+    bitmaps.put(old, bitmaps.cells(np.concatenate([first, *triples])))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a b c d"])], ["lang", "text"])
+    found = {tuple(w.shape): c.tolist() for _, w, _, c in collocations._phrases(iter([batch]), "0", (2, 3, 4), every, old)}
+    assert found == {(0, 2): [], (2, 3): [1, 1], (1, 4): [1]}
