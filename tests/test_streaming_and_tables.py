@@ -142,3 +142,16 @@ def test_heldout_loss(spark):
     loss = -(2 * math.log(4 / 14) + math.log(1 / 14) + math.log(1 / 10)) / 4
     assert row["n_pairs"] == 4 and row["loss"] == pytest.approx(loss) and row["perplexity"] == pytest.approx(math.exp(loss))
     assert N.heldout_perplexity(train, val, 10**12).first()["perplexity"] == math.inf
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streamed_table_is_a_file_or_a_folder_of_files(spark, tmp_path, files):
+    from blockloom.catalog.streams import stream_extract
+    rows = [(i, f"{i} " + "text " * 20, "en", "web", 102) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    target = tmp_path / "documents.parquet"
+    if files == 1:
+        docs.toPandas().to_parquet(target)
+    else:
+        docs.repartition(files).write.parquet(str(target))
+    assert sorted(r["doc_id"] for r in stream_extract(spark, str(tmp_path)).collect()) == list(range(30))
