@@ -46,14 +46,19 @@ class Bytes:
         return np.frombuffer(self.file.read(end - start), np.uint8)
 
 
-def file_ranges(spark: SparkSession, paths: list[str], split_bytes: int) -> DataFrame:
-    """``path, file, start, end``: the ranges of all files, one per task; ``file`` is the name that orders files."""
+def file_ranges(spark: SparkSession, paths: list[str], split_bytes: int) -> tuple[DataFrame, int]:
+    """``path, file, start, end``: the ranges of all files; ``file`` is the name that orders files. And how many tasks they take.
+
+    A task takes some ``split_bytes``: one whole range, or many small files, so tasks follow the bytes and not the files.
+    """
     files = spark.read.format("binaryFile").load(paths).where("length > 0").select(
         "path", F.col("_metadata.file_path").alias("file"), "length")
     last = F.expr(f"(length - 1) div {split_bytes}")
     ranges = files.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_n")).select(
         "path", "file", (F.col("_n") * split_bytes).alias("start"), F.least("length", (F.col("_n") + 1) * split_bytes).alias("end"))
-    return ranges.repartition(max(1, ranges.count()))
+    found = ranges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("size")).first()
+    tasks = max(1, min(found["n"], max(-(-(found["size"] or 0) // split_bytes), spark.sparkContext.defaultParallelism)))
+    return ranges.repartition(tasks), tasks
 
 
 def _effects(ranges: DataFrame, effect: Callable[[Bytes, int, int], dict], schema: str) -> DataFrame:
@@ -68,7 +73,7 @@ def _effects(ranges: DataFrame, effect: Callable[[Bytes, int, int], dict], schem
     return ranges.mapInArrow(each, f"path STRING, file STRING, start BIGINT, end BIGINT, {schema}")
 
 
-def _cut(ranges: DataFrame, records: Callable[[Bytes, dict], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def _cut(ranges: DataFrame, tasks: int, records: Callable[[Bytes, dict], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """``_file, _block, _pos, record``: the records that begin in each range, by their place in the file."""
     def batch_of(row: dict, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
         n = len(held)
@@ -91,7 +96,7 @@ def _cut(ranges: DataFrame, records: Callable[[Bytes, dict], Iterator[tuple[int,
                     yield batch_of(row, held)
 
     # Records are known by their byte, so all of a file is one block.
-    return ranges.repartition(max(1, ranges.count()), "path", "start").mapInArrow(each, RECORDS)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(each, RECORDS)
 
 
 def _in_order(path: str = "path") -> Window:
@@ -193,12 +198,13 @@ def _csv_records(delimiter: bytes) -> Callable[[Bytes, dict], Iterator[tuple[int
 def csv_records(spark: SparkSession, paths: list[str], delimiter: str, split_bytes: int) -> DataFrame:
     """``_file, _block, _pos, record``: the records of CSV files, with their line ends; ``_pos`` is the first byte."""
     named = delimiter.encode()
-    ranges = _effects(file_ranges(spark, paths, split_bytes), _csv_effect(named), "closed BIGINT, odd BIGINT")
+    ranges, tasks = file_ranges(spark, paths, split_bytes)
+    ranges = _effects(ranges, _csv_effect(named), "closed BIGINT, odd BIGINT")
     ranges = ranges.withColumn("_closed", F.sum("closed").over(_in_order()))
     behind = F.sum("odd").over(Window.partitionBy("path", "_closed").orderBy("start")) % 2
     ranges = ranges.withColumn("_behind", behind)
     ranges = ranges.withColumn("quoted", F.coalesce(F.lag("_behind").over(_in_order()), F.lit(0)))
-    return _cut(ranges.select("path", "file", "start", "end", "quoted"), _csv_records(named))
+    return _cut(ranges.select("path", "file", "start", "end", "quoted"), tasks, _csv_records(named))
 
 
 # ---------------------------------------------------------------- JSON arrays
@@ -312,9 +318,10 @@ def _json_records(read: Bytes, row: dict) -> Iterator[tuple[int, bytes]]:
 
 def array_records(spark: SparkSession, paths: list[str], split_bytes: int) -> DataFrame:
     """``_file, _block, _pos, record``: the objects of files that hold one JSON array; a broken array fails the job."""
-    ranges = _effects(file_ranges(spark, paths, split_bytes), _json_effect, "odd BIGINT, outer BIGINT, inner BIGINT")
+    ranges, tasks = file_ranges(spark, paths, split_bytes)
+    ranges = _effects(ranges, _json_effect, "odd BIGINT, outer BIGINT, inner BIGINT")
     earlier = _in_order().rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("quoted", F.coalesce(F.sum("odd").over(earlier) % 2, F.lit(0)))
     ranges = ranges.withColumn("_change", F.when(F.col("quoted") == 1, F.col("inner")).otherwise(F.col("outer")))
     ranges = ranges.withColumn("depth", F.coalesce(F.sum("_change").over(earlier), F.lit(0)))
-    return _cut(ranges.select("path", "file", "start", "end", "quoted", "depth"), _json_records)
+    return _cut(ranges.select("path", "file", "start", "end", "quoted", "depth"), tasks, _json_records)

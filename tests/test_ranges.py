@@ -123,3 +123,15 @@ def test_readers_at_small_splits(spark, tmp_path, split):
     got = [tuple(r)[:4] for r in df.orderBy("_pos").collect()]
     want = [(int(a), b.replace("\r\n", "\n") or None, float(c) if c else None, d == "true") for a, b, c, d in rows]
     assert [(a, b and b.replace("\r\n", "\n"), c, d) for a, b, c, d in got] == [*want, (8, "short", None, None)]
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    from blockloom.sources.ranges import csv_records, file_ranges
+    for i in range(40):
+        (tmp_path / f"f{i:02d}.csv").write_text(f"a,b\n{i},x\n")
+    (tmp_path / "long.csv").write_text("a,b\n" + "1,x\n" * 300)
+    ranges, tasks = file_ranges(spark, [str(tmp_path)], 1 << 20)
+    assert tasks == ranges.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and ranges.count() == 41
+    assert file_ranges(spark, [str(tmp_path / "long.csv")], 100)[1] == 13  # ranges of one file still are tasks of their own
+    records = csv_records(spark, [str(tmp_path)], ",", 100)
+    assert records.where("_pos > 0").count() == 340
