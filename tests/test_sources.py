@@ -246,3 +246,14 @@ def test_jsonl_records_beyond_the_variant_limit_fail(spark, tmp_path):
     path = put(tmp_path, "large.jsonl", '{"t": "' + large + '"}\n{"t": "kept"}')
     with pytest.raises(Exception, match="does not fit a variant"):
         S.read_jsonl(spark, path).count()
+
+
+def test_mixed_folder_holds_many_rows_per_file(spark, sf, monkeypatch):
+    from blockloom.catalog import files
+    folders, read = [], files.S.read_documents
+    monkeypatch.setattr(files.S, "read_documents", lambda s, folder, *a, **k: folders.append(folder) or read(s, folder, *a, **k))
+    found = sorted(r["ord"] for r in files.scan_mixed_dir(spark, sf).collect())
+    assert found == list(range(len(found)))
+    n_files = len(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folders[0]).select("path").collect())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert n_files == docs.where("lang = 'es'").selectExpr("doc_id div 100").distinct().count()
