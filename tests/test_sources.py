@@ -257,3 +257,11 @@ def test_mixed_folder_holds_many_rows_per_file(spark, sf, monkeypatch):
     n_files = len(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folders[0]).select("path").collect())
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert n_files == docs.where("lang = 'es'").selectExpr("doc_id div 100").distinct().count()
+
+
+def test_no_task_holds_the_whole_landed_dataset(spark, sf):
+    from blockloom.catalog.files import run_named_dataset
+    frame = run_named_dataset(spark, sf)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(ord" not in plan  # a window over all rows is one task
+    assert sorted(r["place"] for r in frame.collect()) == list(range(frame.count()))
