@@ -155,3 +155,25 @@ def test_streamed_table_is_a_file_or_a_folder_of_files(spark, tmp_path, files):
     else:
         docs.repartition(files).write.parquet(str(target))
     assert sorted(r["doc_id"] for r in stream_extract(spark, str(tmp_path)).collect()) == list(range(30))
+
+
+def test_a_micro_batch_is_as_many_files_as_its_bytes_need(spark, sf, tmp_path):
+    from blockloom.catalog import streams
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        wanted = spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions()
+        ids = []
+        I.write_resumable(streams._arriving(spark, sf), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+        assert wanted > 3 and spark.read.parquet(str(tmp_path / "out")).select("batch_id").distinct().count() <= 3
+
+        def note(stream):
+            def each(batch, number):
+                files = batch.selectExpr("input_file_name() AS f").distinct().count()
+                ids.append((number, files, *batch.selectExpr("min(doc_id)", "max(doc_id)").first()))
+            return stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "notes")).trigger(availableNow=True).start()
+        streams._in_order(spark, sf, note)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [n for n, *_ in ids] == [0, 1, 2] and all(a[3] < b[2] for a, b in zip(ids, ids[1:]))
