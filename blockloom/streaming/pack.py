@@ -14,7 +14,7 @@ from blockloom.fixed import SEED
 from blockloom.functions.draws import draw_below
 from blockloom.operators.packing import finish_tail
 from blockloom.operators.tokenize import EOS_ID, PAD_ID, ByteTokenizer
-from blockloom.session import STATE_STORE
+from blockloom.session import STATE_STORE, small_batches
 
 OUTPUT = "lane STRING, block_id BIGINT, complete BOOLEAN, tokens ARRAY<INT>"
 
@@ -68,6 +68,7 @@ def stream_pack(docs: DataFrame, block_size: int, lane: str = "lane", tokenizer=
     tokenizer = tokenizer or ByteTokenizer()
     # Map state needs the RocksDB store; memory then holds the tails of the lanes in use, nothing more.
     docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col(lane).alias("lane"), tokenizer.ids(F.col("text")).alias("ids"))
     return ids.groupBy("lane").transformWithStateInPandas(
         statefulProcessor=PackProcessor(block_size + 1, eos_id), outputStructType=OUTPUT,

@@ -171,3 +171,15 @@ def test_no_single_task_window_over_documents(spark, sf):
     plan = P.pack_blocks(df, 64, ByteTokenizer())._jdf.queryExecution().executedPlan().toString()
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
     assert len(single) == 1 and "text" not in single[0]  # the totals of the last level only
+
+
+def test_python_workers_take_batches_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+    from blockloom.operators.packing import cut_pieces
+    from blockloom.session import BATCH_BYTES
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(4000, numPartitions=1).select((F.col("id") * 4097).alias("start"), F.repeat(F.lit("a"), 4096).alias("text"))
+    pieces = cut_pieces(docs, 1025, (), 1)
+    sizes = docs.mapInArrow(lambda batches: (b.select(["start"]).slice(0, 1) for b in batches), "start long").count()
+    assert sizes >= 4000 * 4096 // BATCH_BYTES
+    assert pieces.agg(F.sum(F.size("part"))).first()[0] == 4000 * 4097
