@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from blockloom.sources.storage import list_files, locate, register_source
+from blockloom.sources.storage import in_tasks, list_files, locate, register_source
 
 TOKEN_BYTES = 4
 
@@ -37,6 +37,7 @@ def token_files(paths: list[str]) -> list[tuple[str, int]]:
 class ByteRange(InputPartition):
     def __init__(self, uri: str, offset: int, n_tokens: int, start: int):
         self.uri, self.offset, self.n_tokens, self.start = uri, offset, n_tokens, start
+        self.after: list[ByteRange] = []  # ranges that the same task reads next
 
 
 class FlatTokenReader(DataSourceReader):
@@ -51,6 +52,10 @@ class FlatTokenReader(DataSourceReader):
         self.files, self.run, self.only = files, run, only
         self.split = max(run, split_bytes // TOKEN_BYTES // run * run)
 
+    def __getstate__(self):
+        """What every task is sent: partitions name their files themselves."""
+        return {**self.__dict__, "files": []}
+
     def partitions(self):
         ranges, start = [], 0
         for uri, size in self.files:
@@ -65,11 +70,14 @@ class FlatTokenReader(DataSourceReader):
                 if a < b:
                     ranges.append(ByteRange(uri, (a - start) * TOKEN_BYTES, b - a, a))
             start = end
-        return ranges or [ByteRange("", 0, 0, 0)]
+        return in_tasks(ranges, [r.n_tokens * TOKEN_BYTES for r in ranges]) or [ByteRange("", 0, 0, 0)]
 
     def read(self, partition: ByteRange):
-        if not partition.n_tokens:
-            return
+        for one in (partition, *partition.after):
+            if one.n_tokens:
+                yield from self._runs(one)
+
+    def _runs(self, partition: ByteRange):
         system, path = locate(partition.uri)
         rows_per_batch = max(1, (4 << 20) // self.run)
         with system.open_input_file(path) as source:
@@ -101,9 +109,9 @@ class FlatTokenSource(DataSource):
         return "start BIGINT, n BIGINT, ids ARRAY<INT>"
 
     def reader(self, schema):
-        files = token_files(json.loads(self.options["paths"]))
-        return FlatTokenReader(
-            files, int(self.options["run"]), int(self.options.get("split_bytes", 128 << 20)), self.options.get("only", ALL))
+        options, self.options = self.options, {}  # the source goes to every task, the list of paths need not
+        files = token_files(json.loads(options["paths"]))
+        return FlatTokenReader(files, int(options["run"]), int(options.get("split_bytes", 128 << 20)), options.get("only", ALL))
 
 
 def read_flat_tokens(spark: SparkSession, *paths: str, run: int = 1024, **options) -> DataFrame:
