@@ -82,10 +82,10 @@ def _dir_paths(spark: SparkSession, directory: str, split: str, layout: str) ->
         return [f"{directory}/split={split}/*"]
     from blockloom.sources.storage import list_files
 
-    names = [uri for uri, _ in list_files([directory], (".arrow",)) if uri.rsplit("/", 1)[-1].startswith(f"{split}_shard_")]
-    if not names:
+    pattern = f"{directory}/{split}_shard_*.arrow"  # not the names: every read would carry the list of them
+    if not list_files([pattern], (".arrow",)):
         raise FileNotFoundError(f"no {split} shards in {directory}")
-    return names
+    return [pattern]
 
 
 def read_dir_blocks(spark: SparkSession, directory: str, split: str = "train", layout: str = "parquet") -> DataFrame:

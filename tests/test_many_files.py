@@ -6,8 +6,13 @@ import json
 import pickle
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
+from blockloom.sources.arrow_ipc import ArrowIpcSource, read_arrow
+from blockloom.sources.blocks import read_dir_blocks
 from blockloom.sources.flat_tokens import FlatTokenSource, read_flat_tokens
+from blockloom.sources.storage import list_files
 
 FILES, TASKS = 700, 64
 
@@ -23,3 +28,25 @@ def test_flat_files_share_tasks(spark, tmp_path):
     source = FlatTokenSource({"paths": json.dumps([str(p) for p in sorted(tmp_path.iterdir())]), "run": "7"})
     reader = source.reader(None)
     assert len(reader.partitions()) <= 3 * TASKS and len(pickle.dumps((reader, source))) < 1000
+
+
+@pytest.mark.parametrize("split", ["train", "val"])
+def test_arrow_shards_share_tasks(spark, tmp_path, split):
+    schema = pa.schema([("input_ids", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())), ("length", pa.int32())])
+    for name, n in (("train", FILES), ("val", 3)):
+        for i in range(n):
+            with pa.ipc.new_file(str(tmp_path / f"{name}_shard_{i:05}.arrow"), schema) as writer:
+                writer.write_batch(pa.record_batch([pa.array([[i], [i]]), pa.array([[1], [2]]), pa.array([1, 1])], schema=schema))
+    n = FILES if split == "train" else 3
+    rows = read_dir_blocks(spark, str(tmp_path), split, "arrow")
+    found = sorted((r["shard_idx"], r["row"], r["input_ids"][0], r["labels"][0], r["split"]) for r in rows.collect())
+    assert found == [(i, k, i, k + 1, split) for i in range(n) for k in range(2)]
+    assert rows.rdd.getNumPartitions() <= 2 * TASKS
+    names = [str(p) for p in sorted(tmp_path.iterdir())]
+    frame = read_arrow(spark, *names, rows="true")
+    source = ArrowIpcSource({"paths": json.dumps(names)})
+    reader = source.reader(frame.schema)
+    assert len(reader.partitions()) <= 2 * TASKS and len(pickle.dumps((reader, source))) < 5000
+    assert len(list_files([f"{tmp_path}/{split}_shard_*.arrow"], ())) == n
+    with pytest.raises(FileNotFoundError):
+        read_dir_blocks(spark, str(tmp_path), "other", "arrow")
