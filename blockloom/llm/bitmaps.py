@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.session import passing_shuffles
+
 BITS = 26
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SCHEMA = "at long, bits long"
@@ -49,7 +51,8 @@ def held(bitmap: np.ndarray) -> pa.RecordBatch:
 
 def merged(parts: DataFrame) -> np.ndarray:
     """The bitmap of the rows ``at, bits`` of many tasks: at most 2^(``BITS`` - 6) rows reach the driver."""
-    found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    with passing_shuffles(parts.sparkSession):
+        found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     result = empty()
     result[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return result

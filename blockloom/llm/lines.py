@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from blockloom.llm import bitmaps
 from blockloom.llm.common import numbered, stream_starts, text_of
 from blockloom.llm.encoding import buffers, text_slices
-from blockloom.session import discard, materialize
+from blockloom.session import discard, materialize, passing_shuffles
 
 SIMILARITY = (4, 5)
 CELL_SHIFT = 46
@@ -222,9 +222,11 @@ def word_counts(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(counts.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 
-    sums = _texts(docs).mapInArrow(each, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    with passing_shuffles(docs.sparkSession):
+        sums = _texts(docs).mapInArrow(each, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+        rows = sums.toArrow().to_pylist()  # COUNT_CELLS numbers, whatever the input
     result = np.zeros(COUNT_CELLS, np.int64)
-    for row in sums.toLocalIterator():  # COUNT_CELLS numbers, whatever the input
+    for row in rows:
         result[row["part"] * COUNT_PART:(row["part"] + 1) * COUNT_PART] = np.frombuffer(row["counts"], np.int64)
     return result
 

@@ -1,12 +1,15 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
+"""Near duplicates by SimHash, then by the exact Jaccard similarity of word shingles.
 
 A document is its set of distinct runs of five words, lower case in A-Z; a shorter one is the run of all its words.
 All pairs at similarity 0.8 or more are linked, by the set join of ``lines``: shingles are ordered by their count over
 all documents, rarest first, only the prefixes that two such sets must share are posted, and pairs that meet and pass
-the filters by length and place are verified on whole sets. SimHash cannot promise that: at this similarity two
-64-bit fingerprints differ in about ten bits on average, beyond any limit a byte index covers. Before the join over all
-prefixes each set is verified against the earliest set of the same least hashes; sets which that connects are not
-paired again, so a large group of near copies yields few pairs. Groups are the connected components of the links.
+the filters by length and place are verified on whole sets. Groups are the connected components of the links.
+
+SimHash groups (``simhash``) come first: each set of one is verified against the group's first set. SimHash alone cannot
+promise all pairs: at this similarity two 64-bit fingerprints differ in about ten bits on average, beyond any limit a
+byte index covers. So each set is verified against the earliest set of the same least hashes as well, and the join over
+all prefixes finds the rest. Sets which the first two connect are not paired again, so a large group of near copies yields few
+pairs.
 
 Shingles are made from the texts wherever they are needed, and told apart by 64-bit hashes.
 
@@ -22,17 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm import bitmaps
+from blockloom.llm import bitmaps, simhash
 from blockloom.llm.common import numbered, text_of
 from blockloom.llm.encoding import text_slices
 from blockloom.llm.lines import (
     _BASE, COUNT_CELLS, SIMILARITY, SLICE_BYTES, _cell, _enough, _list_array, _mixed, _moved, _per_set, _set_ids,
     _Unsent, word_hashes)
 from blockloom.llm.simhash import components, first_of_each
-from blockloom.session import discard, materialize
+from blockloom.session import discard, materialize, passing_shuffles
 
 SHINGLE = 5
 #: Least hashes of a set under so many orders; sets meet an earliest set by the first ``KEYS`` of them and are compared
@@ -74,13 +77,19 @@ def _shingle_sets(texts: pa.Array, places: np.ndarray | None = None) -> tuple[np
 
 
 def with_set_ids(docs: DataFrame) -> DataFrame:
-    """The written table ``_doc, set_id, _row``: each document as it is, in a column of its own; equal sets have equal ids."""
-    @F.arrow_udf("long")
+    """The written table ``_doc, set_id, fp, _row``: each document as it is, in a column of its own; equal sets have equal ids.
+
+    ``fp`` is the SimHash of the text.
+    """
+    @F.arrow_udf("struct<set_id: bigint, fp: bigint>")
     def each(texts: pa.Array) -> pa.Array:
         parts = [_set_ids(*_shingle_sets(part)) for part in _slices(texts)]
-        return pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
+        ids = pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
+        data = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+        return pa.StructArray.from_arrays([ids, simhash.fingerprints_of(data)], names=["set_id", "fp"])
 
-    return materialize(numbered(docs.select(F.struct("*").alias("_doc"), each(text_of()).alias("set_id"))), "shingle-rows")
+    rows = docs.select(F.struct("*").alias("_doc"), each(text_of()).alias("_made"))
+    return materialize(numbered(rows.select("_doc", "_made.set_id", "_made.fp")), "shingle-rows")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -97,8 +106,9 @@ def cell_counts(rows: DataFrame) -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "count"])
 
-    sums = _texts(rows).mapInArrow(each, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count"))
-    found = sums.toPandas()  # at most COUNT_CELLS numbers, whatever the input
+    with passing_shuffles(rows.sparkSession):
+        sums = _texts(rows).mapInArrow(each, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count"))
+        found = sums.toPandas()  # at most COUNT_CELLS numbers, whatever the input
     result = np.zeros(COUNT_CELLS, np.int64)
     result[found["cell"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
     return result
@@ -177,17 +187,31 @@ def postings(sets: DataFrame) -> DataFrame:
     return sets.select("set_id", "n", "prefix").mapInArrow(each, "set_id long, n int, at int, run long")
 
 
+def _lengths_fit(n: Column, m: Column) -> Column:
+    """Whether sets of such sizes can reach the similarity."""
+    over, under = SIMILARITY
+    return (n * under >= m * over) & (m * under >= n * over)
+
+
+def simhash_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: each set of a SimHash group with the first set of the group, if their sizes allow the similarity."""
+    grouped = simhash.grouped(rows.select("_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), "fp", "set_id"))
+    found = grouped.select("root", "set_id").distinct().join(sets.select("set_id", "n"), "set_id")
+    first = found.groupBy("root").agg(F.min(F.struct("set_id", "n")).alias("first"))
+    return found.join(first, "root").where((F.col("set_id") != F.col("first.set_id")) & _lengths_fit(F.col("n"), F.col("first.n"))).select(
+        F.col("first.set_id").alias("a"), F.col("set_id").alias("b"))
+
+
 def links(rows: DataFrame) -> DataFrame:
     """``a, b``: verified pairs of set ids whose components are those of all pairs that reach the similarity."""
-    over, under = SIMILARITY
     sets = distinct_sets(rows, cell_counts(rows))
     keyed = sets.select("set_id", "n", "least", F.explode(F.slice("least", 1, KEYS)).alias("key"))
     earliest = keyed.groupBy("key").agg(F.min(F.struct("set_id", "n", "least")).alias("e"))
     same = F.size(F.filter(F.zip_with("least", "e.least", lambda x, y: x == y), lambda x: x))
-    near = _verified(rows, keyed.join(earliest, "key").where(
-        (F.col("e.set_id") < F.col("set_id")) & (F.col("n") * under >= F.col("e.n") * over) & (F.col("e.n") * under >= F.col("n") * over)
-        & (same >= AGREEING)
-    ).select(F.col("e.set_id").alias("a"), F.col("set_id").alias("b")), "shingle-near")
+    agreeing = keyed.join(earliest, "key").where(
+        (F.col("e.set_id") < F.col("set_id")) & _lengths_fit(F.col("n"), F.col("e.n")) & (same >= AGREEING)
+    ).select(F.col("e.set_id").alias("a"), F.col("set_id").alias("b"))
+    near = _verified(rows, simhash_pairs(rows, sets).unionByName(agreeing), "shingle-near")
 
     joined = materialize(components(near), "shingle-joined")
     index = postings(sets).join(joined, F.col("set_id") == F.col("node"), "left").select(

@@ -47,12 +47,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > last, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> pa.Array:
+    """The fingerprints of binary texts, as signed 64 bits."""
+    made = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
+    return pa.array(made.view(np.int64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, columns: list[Column] | None = None) -> DataFrame:
     """The written table of ``_row``, the columns (``doc_id`` unless given) and ``fp`` (signed 64 bits)."""
     @F.arrow_udf("long")
     def each(texts: pa.Array) -> pa.Array:
-        made = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-        return pa.array(made.view(np.int64))
+        return fingerprints_of(texts, shingle)
 
     kept = columns or [F.col("doc_id").cast("long").alias("doc_id")]
     return materialize(numbered(docs.select(*kept, each(text_of().cast("binary")).alias("fp"))), "simhash")

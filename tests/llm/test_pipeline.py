@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import corpus_pipeline
-from blockloom.llm import toxicity
+from blockloom.llm import shingles, simhash, toxicity
+from blockloom.session import SHUFFLE_CLEANUP, materialize
 from tests.llm import reference
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +68,55 @@ def test_near_duplicates_at_five_words(spark):
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SF)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.where("false"), SF).count() == 0
+
+
+def test_near_duplicates_go_through_simhash(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for _ in range(8):
+        base = rng.choices(words, k=300)
+        for edits in range(4):
+            near = list(base)
+            for at in rng.sample(range(len(near)), edits):
+                near[at] = rng.choice(words)
+            texts.append(" ".join(near))
+    prints = {simhash.fingerprint((t or "").encode()) for t in texts}
+    found = []
+    plain = simhash.links
+
+    def noted(fps, bits=simhash.BITS):
+        found.extend((r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in plain(fps, bits).collect())
+        return plain(fps, bits)
+
+    monkeypatch.setattr(simhash, "links", noted)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SF)
+    sets = [_shingles(t) for t in texts]
+    want = reference.roots(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    near = {frozenset((a, b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= simhash.BITS}
+    assert near and {frozenset(pair) for pair in found} == near
+
+    rows = shingles.with_set_ids(docs)
+    pairs = shingles.simhash_pairs(rows, shingles.distinct_sets(rows, shingles.cell_counts(rows))).collect()
+    print_of = {r["set_id"]: r["fp"] & (1 << 64) - 1 for r in rows.collect()}
+    groups = reference.roots(prints, lambda a, b: (a ^ b).bit_count() <= simhash.BITS)
+    assert pairs and all(r["a"] < r["b"] and groups[print_of[r["a"]]] == groups[print_of[r["b"]]] for r in pairs)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def blocks():
+        root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {b.name() for b in (found.apply(i) for found in [root.getAllBlocks()] for i in range(found.size()))
+                if b.name().startswith("shuffle_")}
+
+    before = blocks()
+    rows = materialize(spark.range(10_000).repartition(5, "id").groupBy("id").count(), "gone")
+    for _ in range(50):
+        if blocks() <= before:
+            break
+        time.sleep(0.2)
+    assert blocks() <= before and rows.count() == 10_000
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
