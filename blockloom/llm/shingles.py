@@ -22,6 +22,7 @@ task, in some twelve bytes per byte of its text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ SHINGLE = 5
 #: with it if ``AGREEING`` of all are the same. Whatever that passes over is left to the join over all prefixes.
 ORDERS = tuple(pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 9))
 KEYS, AGREEING = 3, 5
+#: Pairs are verified in so many parts, one after the other, so that less lies on disk at once.
+PARTS = 4
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -156,17 +159,20 @@ def shingles_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """The written table of the pairs ``a, b`` that reach the similarity."""
+    """The written pairs ``a, b`` that reach the similarity."""
     pairs = materialize(pairs.distinct(), f"{label}-pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), f"{label}-wanted")
     runs = shingles_of(rows, wanted)
-    found = materialize(
-        pairs.join(runs.select(F.col("set_id").alias("a"), F.col("runs").alias("ra")), "a")
-        .join(runs.select(F.col("set_id").alias("b"), F.col("runs").alias("rb")), "b")
-        .where(_enough(F.size("ra"), F.size("rb"), F.size(F.array_intersect("ra", "rb")))).select("a", "b"), label)
+    found = []
+    for part in range(PARTS):  # the sets that move for a part are gone before the next one; by b, as one a may be in most pairs
+        mine = lambda column: F.pmod(F.xxhash64(column), F.lit(PARTS)) == part
+        found.append(materialize(
+            pairs.where(mine("b")).join(runs.select(F.col("set_id").alias("a"), F.col("runs").alias("ra")), "a")
+            .join(runs.where(mine("set_id")).select(F.col("set_id").alias("b"), F.col("runs").alias("rb")), "b")
+            .where(_enough(F.size("ra"), F.size("rb"), F.size(F.array_intersect("ra", "rb")))).select("a", "b"), label))
     for table in (runs, wanted, pairs):
         discard(table)
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
 def postings(sets: DataFrame) -> DataFrame:
