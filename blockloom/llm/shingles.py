@@ -7,9 +7,13 @@ the filters by length and place are verified on whole sets. Groups are the conne
 
 SimHash groups (``simhash``) come first: each set of one is verified against the group's first set. SimHash alone cannot
 promise all pairs: at this similarity two 64-bit fingerprints differ in about ten bits on average, beyond any limit a
-byte index covers. So each set is verified against the earliest set of the same least hashes as well, and the join over
-all prefixes finds the rest. Sets which the first two connect are not paired again, so a large group of near copies yields few
-pairs.
+byte index covers. So each set is verified against the central set of those with the same least hash as well, the one whose
+posted shingles are in the most sets, and the join over all prefixes finds the rest. Sets which the first two connect are not
+paired again. Copies of one text, each edited in its own way, resemble the text more than each other, so a large group of
+them is connected by its central set and yields few pairs.
+
+The join lets a pair pass only where what follows in both sets, the shingle they meet under included, is enough for the
+similarity. A pair that reaches it passes at the first shingle the two share, so none is lost.
 
 Shingles are made from the texts wherever they are needed, and told apart by 64-bit hashes.
 
@@ -36,10 +40,10 @@ from blockloom.llm.lines import (
     _BASE, COUNT_CELLS, SIMILARITY, SLICE_BYTES, _cell, _enough, _list_array, _mixed, _moved, _per_set, _set_ids,
     _Unsent, word_hashes)
 from blockloom.llm.simhash import components, first_of_each
-from blockloom.session import discard, materialize, passing_shuffles
+from blockloom.session import discard, materialize, passing_shuffles, small_batches
 
 SHINGLE = 5
-#: Least hashes of a set under so many orders; sets meet an earliest set by the first ``KEYS`` of them and are compared
+#: Least hashes of a set under so many orders; sets meet a central set by the first ``KEYS`` of them and are compared
 #: with it if ``AGREEING`` of all are the same. Whatever that passes over is left to the join over all prefixes.
 ORDERS = tuple(pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 9))
 KEYS, AGREEING = 3, 5
@@ -91,6 +95,7 @@ def with_set_ids(docs: DataFrame) -> DataFrame:
         data = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
         return pa.StructArray.from_arrays([ids, simhash.fingerprints_of(data)], names=["set_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("_doc"), each(text_of()).alias("_made"))
     return materialize(numbered(rows.select("_doc", "_made.set_id", "_made.fp")), "shingle-rows")
 
@@ -208,28 +213,45 @@ def simhash_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
         F.col("first.set_id").alias("a"), F.col("set_id").alias("b"))
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """``a, b``: verified pairs of set ids whose components are those of all pairs that reach the similarity."""
-    sets = distinct_sets(rows, cell_counts(rows))
-    keyed = sets.select("set_id", "n", "least", F.explode(F.slice("least", 1, KEYS)).alias("key"))
-    earliest = keyed.groupBy("key").agg(F.min(F.struct("set_id", "n", "least")).alias("e"))
+def central_pairs(sets: DataFrame, posted: DataFrame) -> DataFrame:
+    """``a, b``: each set with the central one of those with the same least hash, if enough of their least hashes agree.
+
+    The central set is the one whose posted shingles are in the most sets; sets that share none of theirs are in no pair.
+    """
+    common = posted.groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialize(posted.join(common, "run").groupBy("set_id").agg(F.sum("c").alias("shared")), "shingle-shared")
+    keyed = sets.join(shared, "set_id").select("set_id", "n", "least", "shared", F.explode(F.slice("least", 1, KEYS)).alias("key"))
+    central = keyed.groupBy("key").agg(F.max(F.struct("shared", "set_id", "n", "least")).alias("e"))
     same = F.size(F.filter(F.zip_with("least", "e.least", lambda x, y: x == y), lambda x: x))
-    agreeing = keyed.join(earliest, "key").where(
-        (F.col("e.set_id") < F.col("set_id")) & _lengths_fit(F.col("n"), F.col("e.n")) & (same >= AGREEING)
+    return keyed.join(central, "key").where(
+        (F.col("e.set_id") != F.col("set_id")) & _lengths_fit(F.col("n"), F.col("e.n")) & (same >= AGREEING)
     ).select(F.col("e.set_id").alias("a"), F.col("set_id").alias("b"))
-    near = _verified(rows, simhash_pairs(rows, sets).unionByName(agreeing), "shingle-near")
 
-    joined = materialize(components(near), "shingle-joined")
-    index = postings(sets).join(joined, F.col("set_id") == F.col("node"), "left").select(
-        "set_id", "n", F.coalesce("root", "set_id").alias("group"), "at", "run")
-    index = materialize(index, "shingle-postings")
+
+def prefix_pairs(index: DataFrame) -> DataFrame:
+    """``a, b``: the sets of different groups that meet under a posted shingle, and may match if it is their first."""
     left, right = (index.select("run", *[F.col(c).alias(c + side) for c in ("set_id", "n", "group", "at")]) for side in "ab")
     na, nb = F.col("na"), F.col("nb")
-    rest = F.least(na - F.col("ata"), nb - F.col("atb")) + F.least("ata", "atb")
+    rest = F.least(na - F.col("ata"), nb - F.col("atb"))
     pairs = left.join(right, (left["run"] == right["run"]) & (F.col("set_ida") < F.col("set_idb"))
                       & (F.col("groupa") != F.col("groupb")) & _enough(na, nb, rest))
-    others = _verified(rows, pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")), "shingle-other")
-    for table in (index, sets, joined):
+    return pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b"))
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """``a, b``: verified pairs of set ids whose components are those of all pairs that reach the similarity."""
+    sets = distinct_sets(rows, cell_counts(rows))
+    posted = materialize(postings(sets), "shingle-posted")
+    near = _verified(rows, simhash_pairs(rows, sets).unionByName(central_pairs(sets, posted)), "shingle-near")
+    discard(sets)
+
+    joined = materialize(components(near), "shingle-joined")
+    index = posted.join(joined, F.col("set_id") == F.col("node"), "left").select(
+        "set_id", "n", F.coalesce("root", "set_id").alias("group"), "at", "run")
+    index = materialize(index, "shingle-postings")
+    discard(posted)
+    others = _verified(rows, prefix_pairs(index), "shingle-other")
+    for table in (index, joined):
         discard(table)
     return near.unionByName(others)
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.llm.common import stream_starts, text_of
-from blockloom.llm.encoding import encoder, text_slices, with_ends
-from blockloom.session import fresh_path, materialize
+from blockloom.llm.encoding import ENCODED_BYTES, encoder, text_slices, with_ends
+from blockloom.session import fresh_path, materialize, small_batches
 
 END_ID = 0
 MAX_BITS = 20
@@ -41,7 +41,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         encode = encoder(tokenizer).encode
         for batch in batches:
             done = 0
-            for part in text_slices(batch.column(1)):
+            for part in text_slices(batch.column(1), ENCODED_BYTES):
                 ids, counts = encode(part)
                 stream, upto = with_ends(ids, counts, end_id)
                 raw = memoryview(stream).cast("B")
@@ -52,6 +52,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                 ], ["doc_id", "n", "crc", "ids"])
                 done += len(part)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
     return materialize(rows.mapInArrow(each, "doc_id long, n long, crc long, ids binary"), "token-ids")
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import text_of
+from blockloom.session import small_batches
 
 CELLS = 1 << 18
 FACTORS = 8
@@ -227,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 def score(text: Column, machine: Machine, docs: DataFrame) -> Column:
     """The score of each text; only the hashed terms reach Python."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")

@@ -7,8 +7,10 @@ import re
 import time
 
 import corpus_pipeline
-from blockloom.llm import shingles, simhash, toxicity
-from blockloom.session import SHUFFLE_CLEANUP, materialize
+import pyarrow as pa
+from blockloom.llm import encoding, shingles, simhash, tokenfile, toxicity
+from blockloom.llm.queries import TOKENIZER
+from blockloom.session import BATCH_BYTES, SHUFFLE_CLEANUP, materialize
 from tests.llm import reference
 
 SF = "/root/testdata/sf0.001"
@@ -106,6 +108,52 @@ def test_near_duplicates_go_through_simhash(spark, monkeypatch):
     assert pairs and all(r["a"] < r["b"] and groups[print_of[r["a"]]] == groups[print_of[r["b"]]] for r in pairs)
 
 
+def test_copies_of_one_text_meet_it_and_not_each_other(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(80):
+        near = list(base)
+        for at in rng.sample(range(len(near)), 5):
+            near[at] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(near))
+    rng.shuffle(texts)
+    sets = [_shingles(t) for t in texts]
+    want = reference.roots(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    asked, plain = {}, shingles._verified
+
+    def noted(rows, pairs, label):
+        asked[label] = pairs.distinct().count()
+        return plain(rows, pairs, label)
+
+    monkeypatch.setattr(shingles, "_verified", noted)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert asked["shingle-near"] + asked["shingle-other"] < 4 * len(texts)
+
+
+def test_pairs_meet_only_where_the_rest_is_enough(spark):
+    # Sets of 9 that first share place 2 keep 7 shingles at most, where 8 are needed.
+    index = spark.createDataFrame(
+        [(1, 9, 1, 1, 7), (2, 9, 2, 1, 7), (1, 9, 1, 2, 8), (2, 9, 2, 2, 8), (3, 9, 3, 2, 9), (4, 9, 4, 2, 9)],
+        "set_id long, n int, group long, at int, run long")
+    assert [tuple(r) for r in shingles.prefix_pairs(index).collect()] == [(1, 2)]
+
+
+def test_token_workers_hold_little(spark, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
+    assert tokenfile.tokenized(docs, TOKENIZER).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+    sizes, plain = [], encoding.Encoder._slice
+    monkeypatch.setattr(encoding.Encoder, "_slice", lambda self, data, borders: sizes.append(data.size) or plain(self, data, borders))
+    texts = pa.array([f"word{i % 50} " * 2000 for i in range(400)])
+    ids, counts = encoding.encoder(TOKENIZER).encode(texts)
+    assert counts.sum() == ids.size and sum(sizes) == sum(len(t) for t in texts.to_pylist()) and max(sizes) < 1 << 21
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     def blocks():
         root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
