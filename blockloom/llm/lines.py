@@ -360,15 +360,15 @@ def matched_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     index = postings(sets.select("set_id", "n", "sketch", "first", "prefix")).join(near.withColumn("done", F.lit(1)), "set_id", "left")
     index = materialize(index.select(
         "set_id", "n", "sketch", (F.col("first") * 2 + F.coalesce("done", F.lit(0))).alias("order"), "at", "word"), "line-postings")
+    discard(sets)
     left, right = (index.select("word", *[F.col(c).alias(c + side) for c in ("set_id", "n", "sketch", "at", "order")]) for side in "ab")
     na, nb = F.col("na"), F.col("nb")
-    rest = F.least(na - F.col("ata"), nb - F.col("atb")) + F.least("ata", "atb")
+    rest = F.least(na - F.col("ata"), nb - F.col("atb"))  # enough at the first word that a matching pair shares
     searched = F.when(F.col("orderb") % 2 == 0, F.col("orderb")).otherwise(-1)
     pairs = left.join(right, (left["word"] == right["word"]) & (F.col("ordera") < searched) & _enough(na, nb, rest)
                       & _may_match(na, F.col("sketcha"), nb, F.col("sketchb")))
     others = _verified(docs, pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")), "line-other")
-    for table in (index, sets):
-        discard(table)
+    discard(index)
     return near.unionByName(others)
 
 
