@@ -86,7 +86,8 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
         first = first + F.when(same & (seen < need), 1 << position).otherwise(0)
         seen = seen + same.cast("int")
     mask = F.element_at(F.array(*[F.lit(sum(1 << p for p in c)) for c in choices]), F.col("choice") + 1)
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b"))
+    # Spark sizes the index as the fingerprints, not as their 70 postings each, and would broadcast it.
+    pairs = left.join(right.hint("merge"), (left["key"] == right["key"]) & (F.col("a") < F.col("b"))
                       & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (first == mask))
     return pairs.select("a", "b")
 
