@@ -5,7 +5,8 @@ counts of ``COUNT_CELLS`` hash cells, ties by hash: any one order for all lines
 words with Jaccard similarity ``t`` or more share a word among their first ``n - ceil(t n) + 1`` and
 ``m - ceil(t m) + 1``, so only these prefixes are posted. Pairs that meet are filtered by length, by what their places
 still allow, and by a sketch: bit ``h mod 64`` flips for every word of a set, so two sketches differ in at most as many
-bits as their sets differ in words. The rest is verified on whole sets. A line goes when an earlier line, by document id
+bits as their sets differ in words. Such a sketch of 64 bits is full for sets of a hundred words, so pairs of sets of more
+than ``WIDE_FROM`` words are filtered by a wider one as well. The rest is verified on whole sets. A line goes when an earlier line, by document id
 and place, matches it. Lines with equal sets are one set throughout, so copies are never paired with each other. Of a
 large group of near copies most need one look: each set is first compared with the earliest set of the same least hash,
 and only sets that no such set matches look for an earlier one among all.
@@ -21,7 +22,7 @@ lines and long lines by words, some hundred kilobytes at a time; a task holds th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,10 @@ LAST = 1 << 60
 KNOWN_SETS = 500_000
 #: Least hashes by which a set meets an earliest set; more of them leave fewer sets to the join over all.
 LEAST = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Sets of more words have a wide sketch, of so many times 64 bits.
+WIDE_FROM, WIDE = 48, 8
+#: Postings are joined, and pairs verified, in so many parts, one after the other, so that less lies on disk at once.
+PARTS = 4
 
 
 _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -247,8 +252,19 @@ class _Unsent:
         return new
 
 
+def _wide_sketches(sizes: np.ndarray, words: np.ndarray) -> pa.Array:
+    """The wide sketch of each set of more than ``WIDE_FROM`` words, an empty list for the others."""
+    long = sizes > WIDE_FROM
+    bits = 64 * WIDE
+    owner = np.repeat(np.arange(long.sum()), sizes[long])
+    cell = (words[np.repeat(long, sizes)] >> np.uint64(6)) % np.uint64(bits)
+    flips = np.bincount(owner * bits + cell.astype(np.int64), minlength=int(long.sum()) * bits) & 1
+    sketches = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+    return _list_array(np.where(long, WIDE, 0), pa.array(sketches))
+
+
 def distinct_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``set_id, n, sketch, least, prefix``: each distinct set once, with the 32 bits of its prefix words, rarest first.
+    """``set_id, n, sketch, least, wide, prefix``: each distinct set once, with the 32 bits of its prefix words, rarest first.
 
     Two words of the same 32 bits only make more pairs meet.
     """
@@ -272,9 +288,11 @@ def distinct_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[new]), pa.array(sizes[new].astype(np.int32)), pa.array(sketch[new]),
                     _list_array(np.full(new.sum(), len(LEAST)), pa.array(least[new].ravel())),
-                    _list_array(prefix[new], pa.array(posted))], ["set_id", "n", "sketch", "least", "prefix"])
+                    _wide_sketches(sizes[new], words[np.repeat(new, sizes)]),
+                    _list_array(prefix[new], pa.array(posted))], ["set_id", "n", "sketch", "least", "wide", "prefix"])
 
-    sets = _texts(docs).mapInArrow(each, "set_id long, n int, sketch long, least array<long>, prefix array<int>")
+    sets = _texts(docs).mapInArrow(
+        each, "set_id long, n int, sketch long, least array<long>, wide array<long>, prefix array<int>")
     return sets.dropDuplicates(["set_id"])
 
 
@@ -320,19 +338,36 @@ def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     pairs = materialize(pairs.distinct(), f"{label}-pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), f"{label}-wanted")
     words = materialize(words_of(docs, wanted), f"{label}-words")
-    matching = materialize((
-        pairs.join(words.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")
-        .join(words.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
-        .where(_enough(F.size("wa"), F.size("wb"), F.size(F.array_intersect("wa", "wb"))))
-    ).select(F.col("b").alias("set_id")).distinct(), f"{label}-matched")
+    matching = []
+    for part in range(PARTS):  # by b, so that a set is found once
+        mine = lambda column: _part(F.col(column)) == part
+        matching.append(materialize((
+            pairs.where(mine("b")).join(words.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")
+            .join(words.where(mine("set_id")).select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
+            .where(_enough(F.size("wa"), F.size("wb"), F.size(F.array_intersect("wa", "wb"))))
+        ).select(F.col("b").alias("set_id")).distinct(), f"{label}-matched"))
     for table in (words, wanted, pairs):
         discard(table)
-    return matching
+    return reduce(DataFrame.unionByName, matching)
+
 
+def _part(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(PARTS))
 
-def postings(sets: DataFrame) -> DataFrame:
+
+def _resembling(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that their wide sketches allow; ``sketches`` has ``set_id, n, wide`` of the sets with one."""
+    over, under = SIMILARITY
+    for side in "ab":
+        pairs = pairs.join(sketches.select(*[F.col(c).alias(n) for c, n in (("set_id", side), ("n", f"n{side}"), ("wide", f"w{side}"))]), side, "left")
+    differing = sum(F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WIDE))
+    fits = differing * (over + under) <= (F.col("na") + F.col("nb")) * (under - over)
+    return pairs.where(F.coalesce(fits, F.lit(True))).select("a", "b")
+
+
+def postings(sets: DataFrame, repeated: np.ndarray) -> DataFrame:
     """``set_id, at, word``: the prefix words that occur in two sets or more, as far as a bitmap of them can tell."""
-    known = sets.sparkSession.sparkContext.broadcast(bitmaps.repeated(sets.select("prefix")))
+    known = sets.sparkSession.sparkContext.broadcast(repeated)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,24 +387,41 @@ def matched_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         distinct_sets(docs, word_counts(docs)).join(firsts.select("set_id", "first"), "set_id"), "line-distinct")
     keyed = sets.select("set_id", "n", "sketch", "first", F.explode("least").alias("key"))
     earliest = keyed.groupBy("key").agg(F.min(F.struct("first", "set_id", "n", "sketch")).alias("e"))
-    near = _verified(docs, keyed.join(earliest, "key").where(
+    pairs = keyed.join(earliest, "key").where(
         (F.col("e.first") < F.col("first")) & _may_match(F.col("e.n"), F.col("e.sketch"), F.col("n"), F.col("sketch"))
-    ).select(F.col("e.set_id").alias("a"), F.col("set_id").alias("b")), "line-near")
-
-    # Both sides of the join are the same postings, moved once: the place of a matched set is marked, not filtered out.
-    index = postings(sets.select("set_id", "n", "sketch", "first", "prefix")).join(near.withColumn("done", F.lit(1)), "set_id", "left")
-    index = materialize(index.select(
-        "set_id", "n", "sketch", (F.col("first") * 2 + F.coalesce("done", F.lit(0))).alias("order"), "at", "word"), "line-postings")
+    ).select(F.col("e.set_id").alias("a"), F.col("set_id").alias("b"))
+    sketches = materialize(sets.where(F.size("wide") > 0).select("set_id", "n", "wide"), "line-sketches")
+    near = _verified(docs, _resembling(pairs.distinct(), sketches), "line-near")
+
+    repeated = bitmaps.repeated(sets.select("prefix"))
+    # The place of a matched set is marked before its words are posted, so postings need not move for it.
+    order = (F.col("first") * 2 + F.coalesce("done", F.lit(0))).alias("order")
+    marked = sets.join(near.withColumn("done", F.lit(1)), "set_id", "left").select("set_id", "n", "sketch", order, "prefix")
+    index = materialize(postings(marked, repeated), "line-postings")
     discard(sets)
+    found = [materialize(posting_pairs(index.where(_part(F.col("word")) == part)).distinct(), "line-candidates") for part in range(PARTS)]
+    discard(index)
+    others = _verified(docs, _resembling(reduce(DataFrame.unionByName, found).distinct(), sketches), "line-other")
+    for table in (*found, sketches):
+        discard(table)
+    return near.unionByName(others)
+
+
+def posting_pairs(index: DataFrame) -> DataFrame:
+    """``a, b``: sets that meet under a posted word and may match, an unmatched one ``b`` with an earlier one ``a``.
+
+    Both sides of the join are the same postings, moved once: matched sets are marked, not filtered out, and the filters
+    that Spark derives for one side hold for the other.
+    """
+    index = index.where(" AND ".join(f"{c} IS NOT NULL" for c in index.columns))
     left, right = (index.select("word", *[F.col(c).alias(c + side) for c in ("set_id", "n", "sketch", "at", "order")]) for side in "ab")
     na, nb = F.col("na"), F.col("nb")
     rest = F.least(na - F.col("ata"), nb - F.col("atb"))  # enough at the first word that a matching pair shares
     searched = F.when(F.col("orderb") % 2 == 0, F.col("orderb")).otherwise(-1)
-    pairs = left.join(right, (left["word"] == right["word"]) & (F.col("ordera") < searched) & _enough(na, nb, rest)
+    # A posting's columns repeat from row to row, so the table's files are far smaller than a broadcast of it.
+    pairs = left.join(right.hint("merge"), (left["word"] == right["word"]) & (F.col("ordera") < searched) & _enough(na, nb, rest)
                       & _may_match(na, F.col("sketcha"), nb, F.col("sketchb")))
-    others = _verified(docs, pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")), "line-other")
-    discard(index)
-    return near.unionByName(others)
+    return pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
