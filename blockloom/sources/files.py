@@ -397,9 +397,17 @@ def read_named_dataset(
     return df.where(F.col("config") == config) if config is not None else df
 
 
+def written_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """The written table of the lines of text files, for ``chunks_of``."""
+    return materialize(read_text(spark, *paths, mode="lines"), "lines")
+
+
 def chunk_lines(spark: SparkSession, *paths: str, chunk_size: int = LINES_PER_CHUNK) -> DataFrame:
     """``(file, chunk, text)``: every ``chunk_size`` lines of a text file joined into one document."""
-    lines = materialize(read_text(spark, *paths, mode="lines"), "lines")
+    return chunks_of(written_lines(spark, *paths), chunk_size)
+
+
+def chunks_of(lines: DataFrame, chunk_size: int = LINES_PER_CHUNK) -> DataFrame:
     numbered = number_rows(lines, keys=(), out="line_no", per_file=True)
     joined = F.array_join(
         F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda e: e["text"]), "\n"

@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
+from blockloom.plans.pipeline import run_text
 from blockloom.sinks import token_files
 from blockloom.sources.flat_tokens import read_flat_tokens
 
@@ -45,3 +46,14 @@ def test_ids_of_any_size_keep_their_value(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
     found = read_flat_tokens(spark, str(tmp_path / "flat")).orderBy("start").collect()
     assert [i for r in found for i in r["ids"]] == [i for x in lists for i in x or []]
+
+
+def test_a_run_over_text_leaves_no_lines_and_chunks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n\nthree\nfour")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {p.name for p in shared.iterdir()}
+    totals = run_text(spark, [str(tmp_path / "a.txt")], str(tmp_path / "out.bin"), val_split=0.5, chunk_size=2)
+    assert not [p for p in shared.iterdir() if p.name not in before and p.name.startswith(("lines-", "chunks-"))]
+    assert totals.first()["total_tokens"] == 20
+    found = [i for name in ("out.bin", "out_val.bin") for f in sorted((tmp_path / name).glob("*.bin")) for i in np.fromfile(f, "<u4").tolist()]
+    assert found == [i for chunk in (b"one\ntwo", b"\nthree", b"four") for i in [*(b + 3 for b in chunk), 1]]
