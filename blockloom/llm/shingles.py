@@ -233,7 +233,8 @@ def prefix_pairs(index: DataFrame) -> DataFrame:
     left, right = (index.select("run", *[F.col(c).alias(c + side) for c in ("set_id", "n", "group", "at")]) for side in "ab")
     na, nb = F.col("na"), F.col("nb")
     rest = F.least(na - F.col("ata"), nb - F.col("atb"))
-    pairs = left.join(right, (left["run"] == right["run"]) & (F.col("set_ida") < F.col("set_idb"))
+    # A posting's columns repeat from row to row, so the table's files are far smaller than a broadcast of it.
+    pairs = left.join(right.hint("merge"), (left["run"] == right["run"]) & (F.col("set_ida") < F.col("set_idb"))
                       & (F.col("groupa") != F.col("groupb")) & _enough(na, nb, rest))
     return pairs.select(F.col("set_ida").alias("a"), F.col("set_idb").alias("b"))
 

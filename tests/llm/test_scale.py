@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from blockloom.llm import lines, simhash
+from blockloom.llm import lines, shingles, simhash
 from blockloom.session import materialize
 
 
@@ -49,3 +49,10 @@ def test_postings_of_words_move_once(spark):
     pairs.collect()
     plan = plan_of(pairs)
     assert "ReusedExchange" in plan and "Broadcast" not in plan
+
+
+def test_postings_of_shingles_are_never_broadcast(spark):
+    """The files of postings are far smaller than their rows, so their size must not decide."""
+    rows = spark.range(400).selectExpr("id AS set_id", "5 AS n", "id AS group", "0 AS at", "id % 20 AS run")
+    plan = plan_of(shingles.prefix_pairs(materialize(rows, "test-postings")))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
