@@ -219,7 +219,7 @@ def central_pairs(sets: DataFrame, posted: DataFrame) -> DataFrame:
     The central set is the one whose posted shingles are in the most sets; sets that share none of theirs are in no pair.
     """
     common = posted.groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
-    shared = materialize(posted.join(common, "run").groupBy("set_id").agg(F.sum("c").alias("shared")), "shingle-shared")
+    shared = materialize(posted.hint("merge").join(common, "run").groupBy("set_id").agg(F.sum("c").alias("shared")), "shingle-shared")
     keyed = sets.join(shared, "set_id").select("set_id", "n", "least", "shared", F.explode(F.slice("least", 1, KEYS)).alias("key"))
     central = keyed.groupBy("key").agg(F.max(F.struct("shared", "set_id", "n", "least")).alias("e"))
     same = F.size(F.filter(F.zip_with("least", "e.least", lambda x, y: x == y), lambda x: x))
